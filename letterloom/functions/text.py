@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ INLINE_ELEMENTS = (
 POSITION_GAP = 100
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row however often ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased tokens of one text, in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
@@ -60,10 +66,9 @@ def term_entries(token_array: Column, stop_words: list[str] | tuple[str, ...] =
             ),
             lambda i: i.isNotNull(),
         )
-        return F.transform(F.array(F.struct(sorted_pairs.alias("s"), starts.alias("b"))), entries_of)[0]
+        return bind(starts, lambda b: entries_of(sorted_pairs, b))
 
-    def entries_of(bound: Column) -> Column:
-        s, b = bound["s"], bound["b"]
+    def entries_of(s: Column, b: Column) -> Column:
         return F.transform(
             b,
             lambda start, j: F.struct(
@@ -72,8 +77,7 @@ def term_entries(token_array: Column, stop_words: list[str] | tuple[str, ...] =
             ),
         )
 
-    # transform over a one-element array binds the sorted pairs once for all uses below it
-    return F.transform(F.array(F.sort_array(pairs)), cut)[0]
+    return bind(F.sort_array(pairs), cut)
 
 
 def decode_entities(text: Column) -> Column:
@@ -93,12 +97,17 @@ def decode_entities(text: Column) -> Column:
             F.concat(F.lit("&"), ref, F.lit(";")),
         )
 
-    between = F.split(text, reference, -1)
-    refs = F.regexp_extract_all(text, F.lit(reference), F.lit(1))
-    joined = F.array_join(
-        F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(value(F.get(refs, i)), F.lit("")))), ""
-    )
-    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+    def decoded(t: Column) -> Column:
+        pieces = F.split(t, reference, -1)
+        joined = bind(
+            F.regexp_extract_all(t, F.lit(reference), F.lit(1)),
+            lambda refs: F.array_join(
+                F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(value(F.get(refs, i)), F.lit("")))), ""
+            ),
+        )
+        return F.when(F.contains(t, F.lit("&")), joined).otherwise(t)
+
+    return bind(text, decoded)
 
 
 _NAMED = {**name2codepoint, "apos": 39, "nbsp": 32}

@@ -120,8 +120,10 @@ def expand_fuzzy(clauses: DataFrame, terms: DataFrame) -> DataFrame:
         .drop("slot")
     )
     near = words.join(keyed, ["field", "slop", "word_len", "piece", "text"])
-    near = near.where(F.levenshtein("term", "word") <= F.col("slop"))
-    return near.drop("piece", "text", "word", "word_len").dropDuplicates(["query_id", "clause_id", "field", "term"])
+    # with a threshold the distance is -1 as soon as it is known to be larger
+    near = near.where(F.levenshtein("term", "word", MAX_EDITS).between(0, F.col("slop")))
+    # several pieces may survive in one term
+    return near.drop("piece", "text", "word", "word_len").distinct()
 
 
 def _piece(text: Column, word_len: Column, edits: Column, piece: Column, shift: Column) -> Column:

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterloom.functions.text import tokens
+from letterloom.functions.text import bind, tokens
 from letterloom.operators.expand import PATTERN_KINDS, expand_fuzzy, expand_patterns
 from letterloom.plans.index import Index, bucket_of
 from letterloom.session import written
@@ -64,16 +64,25 @@ def query_words(queries: DataFrame, occur: str = "should", field: str = DEFAULT_
 
 
 def _with_totals(clauses: DataFrame) -> DataFrame:
-    """Add per query how many clauses it requires and how many can score."""
-    totals = clauses.groupBy("query_id").agg(
-        F.count(F.when(F.col("occur") == "must", 1)).alias("n_must"),
-        F.sum(F.when(F.col("occur") != "must_not", F.col("times")).otherwise(0)).alias("n_scoring"),
+    """Clauses with flags, and per query how many it requires and how many can score.
+
+    Written out, so that Spark knows their size when it joins them with the dictionary.
+    """
+    scoring = F.col("occur") != "must_not"
+    flagged = clauses.select(
+        "*",
+        (F.col("occur") == "must").cast("int").alias("must"),
+        (~scoring).cast("int").alias("prohibited"),
+        F.when(scoring, F.col("times")).otherwise(0).alias("counted"),
     )
-    return clauses.join(totals, "query_id")
+    totals = flagged.groupBy("query_id").agg(
+        F.sum("must").cast("int").alias("n_must"), F.sum("counted").cast("int").alias("n_scoring")
+    )
+    return written(flagged.drop("occur", "times").join(totals, "query_id"), "clauses")
 
 
 def _single_terms(clauses: DataFrame) -> DataFrame:
-    return clauses.where("kind = 'term'").withColumn("term", F.lower("term")).withColumn("i", F.lit(0)).withColumn("n_terms", F.lit(1))
+    return clauses.where("kind = 'term'").withColumn("term", F.lower("term"))
 
 
 def _phrase_terms(clauses: DataFrame) -> DataFrame:
@@ -107,26 +116,36 @@ def _resolved(words: DataFrame) -> DataFrame:
 def _meet(words: DataFrame, index: Index, *columns: str) -> DataFrame:
     """Join resolved words to their postings.
 
-    Only the buckets of the batch's words are read. In a shuffled join the shards keep a hot
-    word from landing in one task.
+    Only the buckets of the batch's words are read, and in them the row groups between its
+    first and last word. In a shuffled join the shards keep a hot word from landing in one task.
     """
-    # at most index.buckets numbers
-    buckets = [row.bucket for row in words.select("bucket").distinct().collect()]
+    # one row with at most index.buckets numbers
+    span = words.agg(F.collect_set("bucket").alias("buckets"), F.min("term").alias("low"), F.max("term").alias("high")).first()
     keys = ["bucket", "field", "term", "shard"]
-    rows = index.raw_postings().where(F.col("bucket").isin(buckets)).select(*keys, "doc_id", "gen", *columns)
-    return index.live(words.join(rows, keys)).drop("bucket", "shard", "gen")
+    rows = index.raw_postings().where(F.col("bucket").isin(span.buckets) & F.col("term").between(span.low, span.high))
+    return index.live(words.join(rows.select(*keys, "doc_id", "gen", *columns), keys)).drop("bucket", "shard", "gen")
 
 
-_CLAUSE_KEYS = ["query_id", "clause_id", "occur", "kind", "times", "n_must", "n_scoring"]
+_QUERY_FLAGS = ["must", "prohibited", "counted", "n_must", "n_scoring"]
+_HIT = ["query_id", "clause_id", "doc_id", "constant", *_QUERY_FLAGS, "weight"]
 
 
-def _term_hits(words: DataFrame, index: Index) -> DataFrame:
-    """``words`` with df and shards to weighted matches, one row per word and document."""
+def _weighted(words: DataFrame, index: Index) -> DataFrame:
+    """Words with ``base``, the part of the weight that does not depend on the document."""
     idf = _idf(index)
-    normal = F.col("boost") * F.col("times") * F.sqrt("tf") * idf * idf / F.sqrt("len")
-    constant = F.col("boost") * F.col("times")
-    weight = F.when(F.col("kind").isin(*PATTERN_KINDS), constant).otherwise(normal)
-    return _meet(words, index, "tf", "len").select(*_CLAUSE_KEYS, "doc_id", weight.alias("weight"))
+    constant = F.col("kind").isin(*PATTERN_KINDS)
+    base = F.when(constant, F.col("boost") * F.col("counted")).otherwise(F.col("boost") * F.col("counted") * idf * idf)
+    return words.select(
+        "query_id", "clause_id", "bucket", "field", "term", "df", "shards", *_QUERY_FLAGS,
+        (F.col("kind") == "term").alias("exact"), constant.alias("constant"), base.alias("base"),
+    )
+
+
+def _term_hits(words: DataFrame, index: Index) -> DataFrame:
+    """Resolved words to weighted matches, one row per word and document."""
+    base = F.col("base")
+    weight = F.when(F.col("constant"), base).otherwise(base * F.sqrt("tf") / F.sqrt("len"))
+    return _meet(words, index, "tf", "len").withColumn("weight", weight).select(*_HIT)
 
 
 def _phrase_hits(words: DataFrame, index: Index) -> DataFrame:
@@ -145,17 +164,25 @@ def _phrase_hits(words: DataFrame, index: Index) -> DataFrame:
         .drop("found")
     )
     ranked = _resolved(ranked)
-    idf = _idf(index)
+    if ranked.isEmpty():
+        return _no_hits(index)
     lead = written(_meet(ranked.where("rarity = 1"), index).select(*keys, "doc_id"), "phrase-docs")
     met = _meet(ranked, index, "pos", "len").join(lead, [*keys, "doc_id"], "left_semi")
-    gathered = met.groupBy(*_CLAUSE_KEYS, "doc_id", "n_terms", "slop", "boost", "len").agg(
+    gathered = met.groupBy(*keys, "doc_id", *_QUERY_FLAGS, "n_terms", "slop", "boost", "len").agg(
         F.count("*").alias("n"),
-        F.sum(idf).alias("idf"),
+        F.sum(_idf(index)).alias("idf"),
         F.sort_array(F.collect_list(F.struct("i", "term", "pos"))).alias("w"),
     )
     scored = gathered.where("n = n_terms").withColumn("freq", phrase_frequency(F.col("w"), F.col("slop"))).where("freq > 0")
-    weight = F.col("boost") * F.col("times") * F.sqrt("freq") * F.col("idf") * F.col("idf") / F.sqrt("len")
-    return scored.select(*_CLAUSE_KEYS, "doc_id", weight.alias("weight"))
+    weight = F.col("boost") * F.col("counted") * F.sqrt("freq") * F.col("idf") * F.col("idf") / F.sqrt("len")
+    return scored.withColumn("constant", F.lit(False)).withColumn("weight", weight).select(*_HIT)
+
+
+def _no_hits(index: Index) -> DataFrame:
+    flags = ", ".join(f"{name} int" for name in _QUERY_FLAGS)
+    kind = dict(index.docs().dtypes)["doc_id"]
+    schema = f"query_id bigint, clause_id int, doc_id {kind}, constant boolean, {flags}, weight double"
+    return index.spark.createDataFrame([], schema)
 
 
 def phrase_frequency(words: Column, slop: Column) -> Column:
@@ -168,31 +195,33 @@ def phrase_frequency(words: Column, slop: Column) -> Column:
     """
 
     def windows(w: Column) -> Column:
-        return F.flatten(F.transform(w["pos"], lambda p: F.sequence(p - w["i"] - slop, p - w["i"])))
-
-    per_word = F.transform(words, windows)
-    common = F.aggregate(
-        F.slice(per_word, 2, F.size(per_word)), F.array_distinct(per_word[0]), lambda acc, w: F.array_intersect(acc, w)
-    )
-    names = F.transform(words, lambda w: w["term"])
-    repeats = F.size(F.array_distinct(names)) < F.size(names)
-
-    def apart(start: Column) -> Column:
-        """Every repeated word gets positions of its own, earliest first."""
-        def placed(name: Column) -> Column:
-            return F.aggregate(
-                F.filter(words, lambda w: w["term"] == name),
-                F.lit(-1),
-                lambda last, w: F.array_min(
-                    F.filter(w["pos"], lambda p: (p > last) & (p >= start + w["i"]) & (p <= start + w["i"] + slop))
-                ),
-            )
-
-        return F.forall(F.array_distinct(names), lambda name: placed(name).isNotNull())
-
-    starts = F.when(repeats & (slop > 0), F.filter(common, apart)).otherwise(common)
-    first = words[0]["pos"]
-    return F.size(F.filter(first, lambda p: F.arrays_overlap(F.sequence(p - slop, p), starts)))
+        exact = F.transform(w["pos"], lambda p: p - w["i"])
+        loose = F.flatten(F.transform(w["pos"], lambda p: F.sequence(p - w["i"] - slop, p - w["i"])))
+        return F.when(slop == 0, exact).otherwise(loose)
+
+    def placed(ws: Column, name: Column, start: Column) -> Column:
+        """The last position given out when every use of a repeated word gets its own, earliest first."""
+        return F.aggregate(
+            F.filter(ws, lambda w: w["term"] == name),
+            F.lit(-1),
+            lambda last, w: F.array_min(
+                F.filter(w["pos"], lambda p: (p > last) & (p >= start + w["i"]) & (p <= start + w["i"] + slop))
+            ),
+        )
+
+    def starts(ws: Column) -> Column:
+        common = F.aggregate(
+            F.slice(ws, 2, F.size(ws)), F.array_distinct(windows(ws[0])), lambda acc, w: F.array_intersect(acc, windows(w))
+        )
+        names = F.array_distinct(F.transform(ws, lambda w: w["term"]))
+        apart = F.filter(common, lambda s: F.forall(names, lambda name: placed(ws, name, s).isNotNull()))
+        return F.when((slop > 0) & (F.size(names) < F.size(ws)), apart).otherwise(common)
+
+    def count(ws: Column, found: Column) -> Column:
+        near = F.filter(ws[0]["pos"], lambda p: F.arrays_overlap(F.sequence(p - slop, p), found))
+        return F.when(slop == 0, F.size(found)).otherwise(F.size(near))
+
+    return bind(words, lambda ws: bind(starts(ws), lambda found: count(ws, found)))
 
 
 def clause_hits(index: Index, clauses: DataFrame, kinds=KINDS, occurs=OCCURS) -> DataFrame:
@@ -201,36 +230,42 @@ def clause_hits(index: Index, clauses: DataFrame, kinds=KINDS, occurs=OCCURS) ->
     clauses = _with_totals(clauses)
     words = []
     if "term" in kinds:
-        words.append(_look_up(_single_terms(clauses).drop("i", "n_terms"), index))
+        words.append(_look_up(_single_terms(clauses), index))
     if set(kinds) & set(PATTERN_KINDS):
         words.append(expand_patterns(clauses, index.terms()))
     if "fuzzy" in kinds:
         words.append(expand_fuzzy(clauses, index.terms()))
     branches = []
     if words:
-        resolved = _resolved(_union(words))
-        branches.append(_required_first(resolved, index) if "must" in occurs else _term_hits(resolved, index))
+        resolved = _resolved(_weighted(_union(words), index))
+        if not resolved.isEmpty():
+            branches.append(_required_first(resolved, index) if "must" in occurs else _term_hits(resolved, index))
     if "phrase" in kinds:
         branches.append(_phrase_hits(_phrase_terms(clauses), index))
-    hits = _union(branches)
+    hits = _union(branches) if branches else _no_hits(index)
     if set(kinds) & {"fuzzy", *PATTERN_KINDS}:
         # several words of one clause meet in a document; partitioned for the sum over clauses too
-        weight = F.when(F.col("kind").isin(*PATTERN_KINDS), F.max("weight")).otherwise(F.sum("weight"))
-        hits = hits.repartition("query_id", "doc_id").groupBy(*_CLAUSE_KEYS, "doc_id").agg(weight.alias("weight"))
-    return hits
+        weight = F.when(F.col("constant"), F.max("weight")).otherwise(F.sum("weight"))
+        by = [c for c in _HIT if c != "weight"]
+        hits = hits.repartition("query_id", "doc_id").groupBy(*by).agg(weight.alias("weight"))
+    return hits if set(occurs) - {"should"} else hits.drop("must", "prohibited", "n_must")
 
 
 def _required_first(words: DataFrame, index: Index) -> DataFrame:
     """Matches of queries with required words are kept only in documents that hold the rarest."""
-    usable = (F.col("occur") == "must") & (F.col("kind") == "term")
+    usable = (F.col("must") == 1) & F.col("exact")
     rarest = words.where(usable).groupBy("query_id").agg(F.min(F.struct("df", "clause_id")).alias("rarest"))
     marked = words.join(rarest, "query_id", "left")
-    lead = marked.where(usable & (F.col("clause_id") == F.col("rarest.clause_id"))).drop("rarest")
-    lead = written(_meet(lead, index).select("query_id", "doc_id"), "required-docs")
-    bound = written(marked.where("rarest is not null").drop("rarest"), "words")
-    held = _term_hits(bound, index).join(lead, ["query_id", "doc_id"], "left_semi")
-    free = written(marked.where("rarest is null").drop("rarest"), "words")
-    return held if free.isEmpty() else held.unionByName(_term_hits(free, index))
+    bound = written(marked.where("rarest is not null"), "words")
+    free = written(marked.where("rarest is null"), "words")
+    frames = []
+    if not bound.isEmpty():
+        lead = bound.where(usable & (F.col("clause_id") == F.col("rarest.clause_id")))
+        lead = written(_meet(lead, index).select("query_id", "doc_id"), "required-docs")
+        frames.append(_term_hits(bound, index).join(lead, ["query_id", "doc_id"], "left_semi").select(*_HIT))
+    if not free.isEmpty():
+        frames.append(_term_hits(free, index))
+    return _union(frames)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -242,17 +277,14 @@ def scored(hits: DataFrame) -> DataFrame:
 
     The score is the sum of the clause weights times the share of clauses that matched.
     """
-    scoring = F.col("occur") != "must_not"
-    per_doc = hits.groupBy("query_id", "doc_id").agg(
-        F.sum(F.when(scoring, F.col("weight"))).alias("total"),
-        F.sum(F.when(scoring, F.col("times")).otherwise(0)).alias("matched"),
-        F.count(F.when(F.col("occur") == "must", 1)).alias("must"),
-        F.count(F.when(~scoring, 1)).alias("prohibited"),
-        F.max("n_must").alias("n_must"),
-        F.max("n_scoring").alias("n_scoring"),
-    )
+    sums = [F.sum("weight").alias("total"), F.sum("counted").alias("matched"), F.max("n_scoring").alias("n_scoring")]
+    kept = F.col("matched") > 0
+    if "must" in hits.columns:
+        sums += [F.sum("must").alias("met"), F.sum("prohibited").alias("against"), F.max("n_must").alias("n_must")]
+        kept &= (F.col("met") == F.col("n_must")) & (F.col("against") == 0)
     score = F.round(F.col("total") * F.col("matched") / F.col("n_scoring"), 6)
-    return per_doc.where("must = n_must and prohibited = 0 and matched > 0").select("query_id", "doc_id", score.alias("score"))
+    per_doc = hits.groupBy("query_id", "doc_id").agg(*sums)
+    return per_doc.where(kept).select("query_id", "doc_id", score.alias("score"))
 
 
 def top_k(results: DataFrame, k: int = TOP_K) -> DataFrame:

@@ -79,8 +79,9 @@ _PHRASE = (
     _BASE
     + """, sizes AS (SELECT query_id, count(*) AS m, sum(idf) AS idf FROM qtoks JOIN dfs USING (term) GROUP BY ALL),
 places AS (
-  SELECT query_id, doc_id, pos - i AS start FROM qtoks JOIN toks USING (term)
-  GROUP BY ALL HAVING count(*) = (SELECT len(w) FROM qarrays WHERE qarrays.query_id = qtoks.query_id)),
+  SELECT query_id, doc_id, pos - i AS start
+  FROM qtoks JOIN toks USING (term) JOIN qarrays USING (query_id)
+  GROUP BY query_id, doc_id, pos - i HAVING count(*) = any_value(len(qarrays.w))),
 freqs AS (SELECT query_id, doc_id, count(*) AS freq FROM places GROUP BY ALL),
 clauses AS (SELECT item_id AS query_id, 0 AS clause, 'should' AS occur, 1 AS times FROM benchmark),
 hits AS (

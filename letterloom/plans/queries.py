@@ -269,17 +269,22 @@ def refresh_terms(spark, sf_dir):
 
 
 def newest_version(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("stamp"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", _micros(F.col("ts")).alias("stamp"))
     return newest(rows, "user_id", "stamp", "event_id").select("user_id", "event_id", "event_type")
 
 
+def _micros(ts: Column) -> Column:
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", start, ts.cast("timestamp_ntz"))
+
+
 # --- load ------------------------------------------------------------------------------------
 
 
 def event_rows(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     return events.select(
-        F.col("event_type").alias("folder"), F.col("event_id").alias("uid"), F.col("value").alias("size"), F.unix_micros("ts").alias("us")
+        F.col("event_type").alias("folder"), F.col("event_id").alias("uid"), F.col("value").alias("size"), _micros(F.col("ts")).alias("us")
     )
 
 
