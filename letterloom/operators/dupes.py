@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.functions.bytes import PREFIX_BYTES, prefix_hash
-from letterloom.operators.skew import for_each_shard, hot_keys, with_shard
+from letterloom.operators.skew import HOT_ROWS, for_each_shard, hot_keys, with_shard
 
 
 def hashed(
@@ -44,7 +44,7 @@ def dup_groups(df: DataFrame, key: str, **options) -> DataFrame:
     return _groups(hashed(df, key, **options), key, by)
 
 
-def dup_members(df: DataFrame, key: str, **options) -> DataFrame:
+def dup_members(df: DataFrame, key: str, hot_rows: int = HOT_ROWS, **options) -> DataFrame:
     """One row per member of a group: hash, key, ``n``, ``first_key``.
 
     The long form holds groups of any size: a group is never gathered into one row, and the
@@ -53,6 +53,6 @@ def dup_members(df: DataFrame, key: str, **options) -> DataFrame:
     by = _group_columns(options.get("verify", False))
     rows = hashed(df, key, **options)
     groups = _groups(rows, key, by)
-    hot = hot_keys(groups, by, "n")
+    hot = hot_keys(groups, by, "n", least_rows=hot_rows)
     members = with_shard(rows, hot, by, F.col(key))
     return members.join(for_each_shard(groups, hot, by), [*by, "shard"]).select(*by, key, "n", "first_key")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from letterloom.functions.text import bind, tokens
 from letterloom.operators.expand import PATTERN_KINDS, expand_fuzzy, expand_patterns
 from letterloom.plans.index import Index, bucket_of
-from letterloom.session import written
+from letterloom.session import empty, written
 from letterloom.sources.messages import DEFAULT_FIELD
 
 KINDS = ("term", "phrase", "fuzzy", *PATTERN_KINDS)
@@ -182,7 +182,7 @@ def _no_hits(index: Index) -> DataFrame:
     flags = ", ".join(f"{name} int" for name in _QUERY_FLAGS)
     kind = dict(index.docs().dtypes)["doc_id"]
     schema = f"query_id bigint, clause_id int, doc_id {kind}, constant boolean, {flags}, weight double"
-    return index.spark.createDataFrame([], schema)
+    return empty(index.spark, schema)
 
 
 def phrase_frequency(words: Column, slop: Column) -> Column:
@@ -255,9 +255,8 @@ def _required_first(words: DataFrame, index: Index) -> DataFrame:
     """Matches of queries with required words are kept only in documents that hold the rarest."""
     usable = (F.col("must") == 1) & F.col("exact")
     rarest = words.where(usable).groupBy("query_id").agg(F.min(F.struct("df", "clause_id")).alias("rarest"))
-    marked = words.join(rarest, "query_id", "left")
-    bound = written(marked.where("rarest is not null"), "words")
-    free = written(marked.where("rarest is null"), "words")
+    marked = written(words.join(rarest, "query_id", "left"), "words")
+    bound, free = marked.where("rarest is not null"), marked.where("rarest is null")
     frames = []
     if not bound.isEmpty():
         lead = bound.where(usable & (F.col("clause_id") == F.col("rarest.clause_id")))

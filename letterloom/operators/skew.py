@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than one row in HOT_SHARE. Counts sum to the total, so there
-# are fewer than HOT_SHARE hot keys however large the data is; that bounds what is broadcast.
+# A key is hot when it holds more than one row in HOT_SHARE, and at least HOT_ROWS rows. Counts sum
+# to the total, so there are fewer than HOT_SHARE hot keys however large the data is; that bounds
+# what is broadcast.
 HOT_SHARE = 1000
+HOT_ROWS = 100_000
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str, share: int = HOT_SHARE) -> DataFrame:
+def hot_keys(counts: DataFrame, keys: list[str], n: str, share: int = HOT_SHARE, least_rows: int = HOT_ROWS) -> DataFrame:
     """``keys + shards`` for the hot rows of ``counts``, which has one row per key."""
     total = counts.agg(F.sum(n).alias("total")).scalar()
-    return counts.where(F.col(n) * share > total).select(
-        *keys, F.ceil(F.col(n) * share / total).cast("int").alias("shards")
-    )
+    count = F.col(n)
+    shards = F.least(F.ceil(count * share / total), F.ceil(count / least_rows)).cast("int")
+    return counts.where((count >= least_rows) & (count * share > total)).select(*keys, shards.alias("shards"))
 
 
 def with_shard(rows: DataFrame, hot: DataFrame, keys: list[str], spread_by: Column) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql.utils import AnalysisException
 from letterloom.functions.text import ENGLISH_STOP_WORDS
 from letterloom.operators import postings as stats
 from letterloom.operators.refresh import classify, stale
-from letterloom.operators.skew import hot_keys, with_shard
+from letterloom.operators.skew import HOT_ROWS, hot_keys, with_shard
 from letterloom.session import new_folder
 
 ROWS_PER_BUCKET = 20_000_000
@@ -109,13 +109,20 @@ def has_index(spark: SparkSession, root: str) -> bool:
 
 
 def _publish(index: Index) -> Index:
-    row = (index.version, list(index.gens), index.buckets, index.n_docs, index.n_removed)
-    schema = "version int, gens array<int>, buckets int, n_docs bigint, n_removed bigint"
-    index.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{index.root}/versions")
+    row = index.spark.range(1).select(
+        F.lit(index.version).alias("version"),
+        F.array(*[F.lit(g) for g in index.gens]).alias("gens"),
+        F.lit(index.buckets).alias("buckets"),
+        F.lit(index.n_docs).cast("bigint").alias("n_docs"),
+        F.lit(index.n_removed).cast("bigint").alias("n_removed"),
+    )
+    row.coalesce(1).write.mode("append").parquet(f"{index.root}/versions")
     return index
 
 
-def _write_postings(spark: SparkSession, root: str, gen: int, buckets: int | None) -> tuple[int, DataFrame]:
+def _write_postings(
+    spark: SparkSession, root: str, gen: int, buckets: int | None, hot_rows: int = HOT_ROWS
+) -> tuple[int, DataFrame]:
     """Lay out generation ``gen`` of the forward table by term; return buckets and term counts."""
     forward = spark.read.parquet(f"{root}/forward/gen={gen}")
     counts_path = f"{root}/counts/gen={gen}"
@@ -124,7 +131,7 @@ def _write_postings(spark: SparkSession, root: str, gen: int, buckets: int | Non
     total = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     if buckets is None:
         buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, -(-total // ROWS_PER_BUCKET)))
-    hot = hot_keys(counts, ["field", "term"], "df")
+    hot = hot_keys(counts, ["field", "term"], "df", least_rows=hot_rows)
     # A bucket is cut into as many slices as its rows need; a hot term goes to several of them.
     slices = max(1, -(-total // (buckets * ROWS_PER_FILE)))
     rows = (
@@ -171,11 +178,12 @@ def write_index(
     root: str,
     stop_words=ENGLISH_STOP_WORDS,
     buckets: int | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> Index:
     """Build version 1 from ``docs (doc_id, path, id, stamp)`` and ``texts (doc_id, field, values)``."""
     spark = docs.sparkSession
     stats.forward_index(texts, stop_words).write.mode("overwrite").parquet(f"{root}/forward/gen=1")
-    buckets, terms = _write_postings(spark, root, 1, buckets)
+    buckets, terms = _write_postings(spark, root, 1, buckets, hot_rows)
     _write_terms(terms.select("field", "term", "df", "shards"), root, 1, buckets)
     live = _write_small(_file_docs(docs, 1), root, "docs", 1)
     _write_small(live.select("doc_id", "gen").where(F.lit(False)), root, "removed", 1)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from letterloom.session import empty
+
 
 def _glob(suffix: str, ignore_case: bool) -> str:
     def one(ch: str) -> str:
@@ -39,7 +41,7 @@ def scan_files(
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
     if not present:
-        return spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
+        return empty(spark, "path string, modificationTime timestamp, length bigint, content binary")
     files = _binary_files(spark, suffix, ignore_case).load(present)
     return files if modified_since is None else files.where(F.col("modificationTime") >= F.lit(modified_since))
 

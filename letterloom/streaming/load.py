@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from letterloom.operators.refresh import apply_tombstones
-from letterloom.session import written
+from letterloom.session import empty, written
 
 KEYS = ["folder", "uid"]
 
@@ -76,7 +76,7 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)
 
 
 def stored_marks(spark: SparkSession, root: str) -> DataFrame:
