@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -26,7 +26,17 @@ from letterloom.functions.text import ENGLISH_STOP_WORDS
 from letterloom.operators import postings as stats
 from letterloom.operators.refresh import classify, stale
 from letterloom.operators.skew import HOT_ROWS, hot_keys, with_shard
-from letterloom.session import new_folder
+from letterloom.session import written
+
+# Schemas of the tables; {id} is the type of the document id.
+SCHEMAS = {
+    "forward": "doc_id {id}, field string, len int, entries array<struct<term:string,pos:array<int>>>, gen int",
+    "postings": "field string, term string, doc_id {id}, tf int, pos array<int>, len int, shard int, gen int, bucket int",
+    "counts": "field string, term string, df bigint",
+    "terms": "field string, term string, df bigint, shards int, bucket int",
+    "docs": "doc_id {id}, gen int, path string, id string, stamp bigint",
+    "removed": "doc_id {id}, gen int",
+}
 
 ROWS_PER_BUCKET = 20_000_000
 ROWS_PER_FILE = 10_000_000
@@ -48,9 +58,13 @@ class Index:
     buckets: int
     n_docs: int
     n_removed: int
+    id_type: str
+
+    def _reader(self, name: str) -> DataFrameReader:
+        return self.spark.read.schema(SCHEMAS[name].format(id=self.id_type))
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/version={self.version}")
+        return self._reader(name).parquet(f"{self.root}/{name}/version={self.version}")
 
     def docs(self) -> DataFrame:
         return self._table("docs")
@@ -68,10 +82,8 @@ class Index:
         return rows.join(self.removed(), ["doc_id", "gen"], "left_anti")
 
     def _generations(self, name: str) -> DataFrame:
-        rows = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(
-            *[f"{self.root}/{name}/gen={g}" for g in self.gens]
-        )
-        return rows
+        paths = [f"{self.root}/{name}/gen={g}" for g in self.gens]
+        return self._reader(name).option("basePath", f"{self.root}/{name}").parquet(*paths)
 
     def raw_postings(self) -> DataFrame:
         """Postings of all generations; pass what is left of them through :meth:`live`."""
@@ -97,7 +109,7 @@ def open_index(spark: SparkSession, root: str, version: int | None = None) -> In
     )
     if row is None:
         raise ValueError(f"no such version in {root}")
-    return Index(spark, root, row.version, tuple(row.gens), row.buckets, row.n_docs, row.n_removed)
+    return Index(spark, root, row.version, tuple(row.gens), row.buckets, row.n_docs, row.n_removed, row.id_type)
 
 
 def has_index(spark: SparkSession, root: str) -> bool:
@@ -115,19 +127,20 @@ def _publish(index: Index) -> Index:
         F.lit(index.buckets).alias("buckets"),
         F.lit(index.n_docs).cast("bigint").alias("n_docs"),
         F.lit(index.n_removed).cast("bigint").alias("n_removed"),
+        F.lit(index.id_type).alias("id_type"),
     )
     row.coalesce(1).write.mode("append").parquet(f"{index.root}/versions")
     return index
 
 
 def _write_postings(
-    spark: SparkSession, root: str, gen: int, buckets: int | None, hot_rows: int = HOT_ROWS
+    spark: SparkSession, root: str, gen: int, id_type: str, buckets: int | None, hot_rows: int = HOT_ROWS
 ) -> tuple[int, DataFrame]:
     """Lay out generation ``gen`` of the forward table by term; return buckets and term counts."""
-    forward = spark.read.parquet(f"{root}/forward/gen={gen}")
+    forward = _read(spark, "forward", id_type, f"{root}/forward/gen={gen}").drop("gen")
     counts_path = f"{root}/counts/gen={gen}"
     stats.term_counts(forward).write.mode("overwrite").parquet(counts_path)
-    counts = spark.read.parquet(counts_path)
+    counts = _read(spark, "counts", id_type, counts_path)
     total = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     if buckets is None:
         buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, -(-total // ROWS_PER_BUCKET)))
@@ -162,10 +175,14 @@ def _write_terms(terms: DataFrame, root: str, version: int, buckets: int) -> Non
     )
 
 
+def _read(spark: SparkSession, name: str, id_type: str, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name].format(id=id_type)).parquet(path)
+
+
 def _write_small(rows: DataFrame, root: str, name: str, version: int) -> DataFrame:
     path = f"{root}/{name}/version={version}"
     rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _file_docs(texts_docs: DataFrame, gen: int) -> DataFrame:
@@ -183,11 +200,12 @@ def write_index(
     """Build version 1 from ``docs (doc_id, path, id, stamp)`` and ``texts (doc_id, field, values)``."""
     spark = docs.sparkSession
     stats.forward_index(texts, stop_words).write.mode("overwrite").parquet(f"{root}/forward/gen=1")
-    buckets, terms = _write_postings(spark, root, 1, buckets, hot_rows)
+    id_type = dict(docs.dtypes)["doc_id"]
+    buckets, terms = _write_postings(spark, root, 1, id_type, buckets, hot_rows)
     _write_terms(terms.select("field", "term", "df", "shards"), root, 1, buckets)
     live = _write_small(_file_docs(docs, 1), root, "docs", 1)
     _write_small(live.select("doc_id", "gen").where(F.lit(False)), root, "removed", 1)
-    return _publish(Index(spark, root, 1, (1,), buckets, live.count(), 0))
+    return _publish(Index(spark, root, 1, (1,), buckets, live.count(), 0, id_type))
 
 
 def refresh_index(index: Index, docs: DataFrame, texts_of, stop_words=ENGLISH_STOP_WORDS) -> Index:
@@ -199,15 +217,10 @@ def refresh_index(index: Index, docs: DataFrame, texts_of, stop_words=ENGLISH_ST
     spark, root = index.spark, index.root
     version, gen = index.version + 1, max(index.gens) + 1
     states = classify(docs, index.docs().drop("id", "doc_id"), "path")
-    scratch = new_folder(spark, "refresh")
-    todo_path = f"{scratch}/todo"
-    states.where("state <> 'unchanged'").write.mode("overwrite").parquet(todo_path)
-    todo = spark.read.parquet(todo_path)
+    todo = written(states.where("state <> 'unchanged'"), "refresh-todo")
     gone = stale(index.docs(), docs, "path")
-    out_path = f"{scratch}/dropped"
     replaced = index.docs().join(todo.where("state = 'changed'").select("path"), "path", "left_semi")
-    gone.unionByName(replaced).select("doc_id", "gen").write.mode("overwrite").parquet(out_path)
-    dropped = spark.read.parquet(out_path)
+    dropped = written(gone.unionByName(replaced).select("doc_id", "gen"), "refresh-dropped")
     n_todo, n_dropped = todo.count(), dropped.count()
     if not n_todo and not n_dropped:
         return index
@@ -222,7 +235,7 @@ def refresh_index(index: Index, docs: DataFrame, texts_of, stop_words=ENGLISH_ST
     if n_todo:
         fresh = stats.forward_index(texts_of(todo.drop("state")), stop_words)
         fresh.write.mode("overwrite").parquet(f"{root}/forward/gen={gen}")
-        _, plus = _write_postings(spark, root, gen, index.buckets)
+        _, plus = _write_postings(spark, root, gen, index.id_type, index.buckets)
         parts.append(plus.select("field", "term", "df", "shards"))
         gens = (*gens, gen)
     terms = parts[0]
@@ -234,7 +247,7 @@ def refresh_index(index: Index, docs: DataFrame, texts_of, stop_words=ENGLISH_ST
     live = index.docs().join(dropped, ["doc_id", "gen"], "left_anti").unionByName(_file_docs(todo, gen))
     live = _write_small(live, root, "docs", version)
     removed = _write_small(index.removed().unionByName(dropped), root, "removed", version)
-    return _publish(Index(spark, root, version, gens, index.buckets, live.count(), removed.count()))
+    return _publish(Index(spark, root, version, gens, index.buckets, live.count(), removed.count(), index.id_type))
 
 
 def compact_index(index: Index) -> Index:
@@ -242,8 +255,8 @@ def compact_index(index: Index) -> Index:
     spark, root = index.spark, index.root
     version, gen = index.version + 1, max(index.gens) + 1
     index.forward().drop("gen").write.mode("overwrite").parquet(f"{root}/forward/gen={gen}")
-    _, terms = _write_postings(spark, root, gen, index.buckets)
+    _, terms = _write_postings(spark, root, gen, index.id_type, index.buckets)
     _write_terms(terms.select("field", "term", "df", "shards"), root, version, index.buckets)
     live = _write_small(index.docs().withColumn("gen", F.lit(gen)), root, "docs", version)
     _write_small(live.select("doc_id", "gen").where(F.lit(False)), root, "removed", version)
-    return _publish(Index(spark, root, version, (gen,), index.buckets, index.n_docs, 0))
+    return _publish(Index(spark, root, version, (gen,), index.buckets, index.n_docs, 0, index.id_type))

@@ -39,7 +39,7 @@ def ingest_messages(files: DataFrame, depth: int | None = None) -> DataFrame:
         for batch in batches:
             rows = []
             for path, id_, stamp, size, content in batch.itertuples(index=False):
-                row = {"path": path, "id": id_, "stamp": stamp, "size": size, "error": None}
+                row = dict.fromkeys(_COLUMNS) | {"path": path, "id": id_, "stamp": stamp, "size": size}
                 try:
                     row.update(mime.parse_message(bytes(content), depth))
                 except Exception as error:  # noqa: BLE001 - a bad message is a row, not a failed task
