@@ -31,10 +31,9 @@ def running_bytes(rows: DataFrame, block_uids: int = BLOCK_UIDS) -> DataFrame:
     rows are summed within blocks of uids, and each block starts from the sum of those before.
     """
     blocked = rows.select("folder", "uid", "size", F.floor(F.col("uid") / block_uids).alias("block"))
-    # both uses below share this exchange
-    blocked = blocked.repartition("folder", "block")
     inside = Window.partitionBy("folder", "block").orderBy("uid").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("folder").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # a second read of three columns, summed before its shuffle
     sums = blocked.groupBy("folder", "block").agg(F.sum("size").alias("bytes"))
     starts = sums.select("folder", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"))
     return (

@@ -39,7 +39,7 @@ SCHEMAS = {
 }
 
 ROWS_PER_BUCKET = 20_000_000
-ROWS_PER_FILE = 10_000_000
+ROWS_PER_FILE = 20_000_000
 MIN_BUCKETS, MAX_BUCKETS = 8, 4096
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterloom.functions.bytes import format_bytes
-from letterloom.functions.text import html_to_text, tokens
+from letterloom.functions.text import tokens
 from letterloom.operators import search as s
 from letterloom.operators.dupes import dup_groups, dup_members
 from letterloom.operators.postings import doc_lengths, forward_index, postings, spread_few_files, term_counts
@@ -22,6 +22,7 @@ from letterloom.operators.report import load_report, running_bytes
 from letterloom.plans.index import Index, has_index, open_index, refresh_index, write_index
 from letterloom.session import new_folder, shared_folder
 from letterloom.sources.messages import header_lines, ingest_messages, message_texts
+from letterloom.sources.pages import page_text
 from letterloom.streaming.load import incremental_batch, incremental_load, load_marks, loaded
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -353,9 +354,8 @@ def format_sizes(spark, sf_dir):
 # --- pages and messages ----------------------------------------------------------------------
 
 
-def page_text(spark, sf_dir):
-    pages = spread_few_files(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
-    return pages.select("page_id", html_to_text(F.col("html")).alias("text"))
+def page_text_query(spark, sf_dir):
+    return page_text(spread_few_files(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id"), "page_id")
 
 
 def _file(content: Column, key: Column) -> list[Column]:
@@ -439,7 +439,7 @@ QUERIES: dict[str, Query] = {
     "load_stream": load_stream,
     "load_report": load_report_query,
     "format_sizes": format_sizes,
-    "page_text": page_text,
+    "page_text": page_text_query,
     "message_ingest": message_ingest,
     "html_body": html_body,
     "header_lines": header_lines_query,

@@ -45,9 +45,11 @@ def above(source: DataFrame, marks: DataFrame) -> DataFrame:
 def incremental_batch(source: DataFrame, marks: DataFrame, stored: DataFrame) -> DataFrame:
     """Source rows to load: above the folder's mark, or passed by it but not stored.
 
-    Only the rows that were passed are looked up. Their keys are written first: where they are
-    few, as they are in a regular load, the stored keys are read without a shuffle.
+    Only the rows that were passed are looked up. The marks and the keys of those rows are
+    written first: where they are few, as they are in a regular load, neither the source nor the
+    stored keys are shuffled.
     """
+    marks = written(marks, "marks")
     late = at_or_below(source, marks)
     late_keys = written(late.select(*KEYS), "late-keys")
     if late_keys.isEmpty():
