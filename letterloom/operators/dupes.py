@@ -17,17 +17,15 @@ def hashed(
     prefix_bytes: int = PREFIX_BYTES,
     verify: bool = False,
 ) -> DataFrame:
-    """``(key, hash)`` of each non-empty content, plus size and whole digest with ``verify``.
-
-    The repartition by key makes one exchange of narrow rows that every later use of this
-    frame shares, so the contents themselves are read and hashed once.
-    """
+    """``(key, hash)`` of each non-empty content, plus size and whole digest with ``verify``."""
     body = F.col(content).cast("binary")
-    columns = [F.col(key), prefix_hash(body, algorithm, prefix_bytes).alias("hash")]
+    code = prefix_hash(body, algorithm, prefix_bytes)
+    # never null here; said so, a join on the hash adds no filter that would hash everything again
+    code = F.coalesce(code, F.lit("" if algorithm == "md5" else 0))
+    columns = [F.col(key), code.alias("hash")]
     if verify:
-        columns += [F.length(body).alias("bytes"), F.sha2(body, 256).alias("digest")]
-    narrow = df.where(F.length(body) > 0).select(*columns).where(F.col("hash").isNotNull())
-    return narrow.repartition(key)
+        columns += [F.length(body).alias("bytes"), F.coalesce(F.sha2(body, 256), F.lit("")).alias("digest")]
+    return df.where(F.length(body) > 0).select(*columns)
 
 
 def _group_columns(verify: bool) -> list[str]:
@@ -48,10 +46,12 @@ def dup_members(df: DataFrame, key: str, hot_rows: int = HOT_ROWS, **options) ->
     """One row per member of a group: hash, key, ``n``, ``first_key``.
 
     The long form holds groups of any size: a group is never gathered into one row, and the
-    rows of a hot hash are joined to their group over as many shards as their share needs.
+    rows of a hot hash are joined to their group over as many shards as their share needs. The
+    repartition makes one exchange of narrow rows that all later uses share, so the contents
+    themselves are read and hashed once.
     """
     by = _group_columns(options.get("verify", False))
-    rows = hashed(df, key, **options)
+    rows = hashed(df, key, **options).repartition(key)
     groups = _groups(rows, key, by)
     hot = hot_keys(groups, by, "n", least_rows=hot_rows)
     members = with_shard(rows, hot, by, F.col(key))

@@ -24,10 +24,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterloom.functions.text import bind, tokens
+from letterloom.functions.text import bind, term_entries, tokens
 from letterloom.operators.expand import PATTERN_KINDS, expand_fuzzy, expand_patterns
 from letterloom.plans.index import Index, bucket_of
-from letterloom.session import empty, written
+from letterloom.session import written
 from letterloom.sources.messages import DEFAULT_FIELD
 
 KINDS = ("term", "phrase", "fuzzy", *PATTERN_KINDS)
@@ -55,12 +55,16 @@ def as_clauses(
 
 def query_words(queries: DataFrame, occur: str = "should", field: str = DEFAULT_FIELD, boost: float = 1.0) -> DataFrame:
     """One term clause per distinct word of ``queries (query_id, text)``; blank texts give none."""
-    words = tokens(F.col("text"))
-    exploded = queries.where(F.length(F.trim("text")) > 0).select(
-        "query_id", words.alias("words"), F.posexplode(F.array_distinct(words)).alias("clause_id", "term")
+    words = queries.where(F.length(F.trim("text")) > 0).select(
+        "query_id", F.explode_outer(term_entries(tokens(F.col("text")))).alias("word")
     )
-    times = F.size(F.filter("words", lambda w: w == F.col("term")))
-    return as_clauses(exploded.withColumn("times", times).drop("words"), occur=occur, field=field, boost=boost)
+    clauses = words.where("word is not null").select(
+        "query_id",
+        F.col("word.term").alias("term"),
+        F.get("word.pos", 0).alias("clause_id"),
+        F.size("word.pos").alias("times"),
+    )
+    return as_clauses(clauses, occur=occur, field=field, boost=boost)
 
 
 def _with_totals(clauses: DataFrame) -> DataFrame:
@@ -119,7 +123,7 @@ def _meet(words: DataFrame, index: Index, *columns: str) -> DataFrame:
     Only the buckets of the batch's words are read, and in them the row groups between its
     first and last word. In a shuffled join the shards keep a hot word from landing in one task.
     """
-    # one row with at most index.buckets numbers
+    # one row with at most index.buckets numbers; no words, no buckets, no rows
     span = words.agg(F.collect_set("bucket").alias("buckets"), F.min("term").alias("low"), F.max("term").alias("high")).first()
     keys = ["bucket", "field", "term", "shard"]
     rows = index.raw_postings().where(F.col("bucket").isin(span.buckets) & F.col("term").between(span.low, span.high))
@@ -164,8 +168,6 @@ def _phrase_hits(words: DataFrame, index: Index) -> DataFrame:
         .drop("found")
     )
     ranked = _resolved(ranked)
-    if ranked.isEmpty():
-        return _no_hits(index)
     lead = written(_meet(ranked.where("rarity = 1"), index).select(*keys, "doc_id"), "phrase-docs")
     met = _meet(ranked, index, "pos", "len").join(lead, [*keys, "doc_id"], "left_semi")
     gathered = met.groupBy(*keys, "doc_id", *_QUERY_FLAGS, "n_terms", "slop", "boost", "len").agg(
@@ -178,13 +180,6 @@ def _phrase_hits(words: DataFrame, index: Index) -> DataFrame:
     return scored.withColumn("constant", F.lit(False)).withColumn("weight", weight).select(*_HIT)
 
 
-def _no_hits(index: Index) -> DataFrame:
-    flags = ", ".join(f"{name} int" for name in _QUERY_FLAGS)
-    kind = dict(index.docs().dtypes)["doc_id"]
-    schema = f"query_id bigint, clause_id int, doc_id {kind}, constant boolean, {flags}, weight double"
-    return empty(index.spark, schema)
-
-
 def phrase_frequency(words: Column, slop: Column) -> Column:
     """How many positions of the first word start a match of ``array<struct<i, term, pos>>``.
 
@@ -238,11 +233,10 @@ def clause_hits(index: Index, clauses: DataFrame, kinds=KINDS, occurs=OCCURS) ->
     branches = []
     if words:
         resolved = _resolved(_weighted(_union(words), index))
-        if not resolved.isEmpty():
-            branches.append(_required_first(resolved, index) if "must" in occurs else _term_hits(resolved, index))
+        branches.append(_required_first(resolved, index) if "must" in occurs else _term_hits(resolved, index))
     if "phrase" in kinds:
         branches.append(_phrase_hits(_phrase_terms(clauses), index))
-    hits = _union(branches) if branches else _no_hits(index)
+    hits = _union(branches)
     if set(kinds) & {"fuzzy", *PATTERN_KINDS}:
         # several words of one clause meet in a document; partitioned for the sum over clauses too
         weight = F.when(F.col("constant"), F.max("weight")).otherwise(F.sum("weight"))
@@ -262,7 +256,7 @@ def _required_first(words: DataFrame, index: Index) -> DataFrame:
         lead = bound.where(usable & (F.col("clause_id") == F.col("rarest.clause_id")))
         lead = written(_meet(lead, index).select("query_id", "doc_id"), "required-docs")
         frames.append(_term_hits(bound, index).join(lead, ["query_id", "doc_id"], "left_semi").select(*_HIT))
-    if not free.isEmpty():
+    if not frames or not free.isEmpty():
         frames.append(_term_hits(free, index))
     return _union(frames)
 

@@ -72,3 +72,8 @@ def listing(files: DataFrame) -> DataFrame:
         F.unix_millis("modificationTime").alias("stamp"),
         F.col("length").alias("size"),
     )
+
+
+def oldest_first(files: DataFrame) -> DataFrame:
+    """A scan in the order of modification, for a listing that is shown."""
+    return files.orderBy("modificationTime", "path")

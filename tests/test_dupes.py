@@ -1,4 +1,5 @@
 import collections
+import os
 import random
 import zlib
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from letterloom.functions.bytes import prefix_hash
 from letterloom.operators.dupes import dup_groups, dup_members
-from letterloom.sources.files import outermost, scan_files
+from letterloom.sources.files import oldest_first, outermost, scan_files
 
 
 @pytest.fixture(scope="module")
@@ -39,12 +40,15 @@ def test_groups_summarise_members(spark, texts):
     assert {r.hash: r.n for r in dup_groups(frame, "doc_id", content="text", algorithm="md5").collect()} == sizes
 
 
-def test_contents_are_read_once(spark, texts, tmp_path):
+@pytest.mark.parametrize("algorithm", ["md5", "adler32"])
+def test_contents_are_read_once(spark, texts, tmp_path, algorithm):
     texts[1].write.parquet(str(tmp_path / "t"))
-    frame = dup_members(spark.read.parquet(str(tmp_path / "t")), "doc_id", content="text", algorithm="md5")
+    frame = dup_members(spark.read.parquet(str(tmp_path / "t")), "doc_id", content="text", algorithm=algorithm)
     frame.collect()
-    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert "ReusedExchange" in plan or "Reused" in plan
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==\n   Project")[0]
+    rows = plan.split("Subquery")[0]
+    assert rows.count("FileScan") == 1 and "ReusedExchange" in plan
+    assert plan.split("FileScan")[0].count("ArrowEvalPython") == (algorithm == "adler32")
 
 
 def test_adler32_is_the_standard_checksum(spark):
@@ -88,3 +92,10 @@ def test_scan_finds_by_suffix_and_skips_missing_roots(spark, tmp_path):
 
 def test_outermost():
     assert outermost(["/a/b", "/a", "/ab", "/a/"]) == ["/a", "/ab"]
+
+
+def test_oldest_first(spark, tmp_path):
+    for n, stamp in (("a", 300), ("b", 100), ("c", 200)):
+        (tmp_path / n).write_bytes(b"x")
+        os.utime(tmp_path / n, (stamp, stamp))
+    assert [r.path[-1] for r in oldest_first(scan_files(spark, str(tmp_path))).select("path").collect()] == ["b", "c", "a"]
