@@ -34,6 +34,9 @@ KINDS = ("term", "phrase", "fuzzy", *PATTERN_KINDS)
 OCCURS = ("should", "must", "must_not")
 TOP_K = 25
 
+# Words of a batch that are broadcast: about 100 MB on each executor.
+BROADCAST_WORDS = 500_000
+
 
 def as_clauses(
     rows: DataFrame, kind: str = "term", occur: str = "should", field: str = DEFAULT_FIELD, slop: int = 0, boost: float = 1.0
@@ -98,7 +101,7 @@ def _phrase_terms(clauses: DataFrame) -> DataFrame:
 
 
 def _look_up(words: DataFrame, index: Index) -> DataFrame:
-    """Add ``df`` and ``shards`` of each word; words that no document holds drop out."""
+    """Add ``df`` of each word; words that no document holds drop out."""
     keyed = words.withColumn("bucket", bucket_of(index.buckets, F.col("field"), F.col("term")))
     return keyed.join(index.terms(), ["bucket", "field", "term"])
 
@@ -107,27 +110,26 @@ def _idf(index: Index) -> Column:
     return 1 + F.log(F.lit(float(index.n_docs)) / (F.col("df") + 1))
 
 
-def _resolved(words: DataFrame) -> DataFrame:
-    """Words with df and shards, written out with one row per shard.
-
-    The dictionary is read once, and since the table's size is known, the join with the postings
-    is planned as a broadcast of small batches and as a shuffle of large ones before it starts.
-    """
-    by_shard = words.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    return written(by_shard.drop("shards"), "words")
-
-
 def _meet(words: DataFrame, index: Index, *columns: str) -> DataFrame:
-    """Join resolved words to their postings.
+    """Join written words to their postings.
 
     Only the buckets of the batch's words are read, and in them the row groups between its
-    first and last word. In a shuffled join the shards keep a hot word from landing in one task.
+    first and last word. A batch of up to BROADCAST_WORDS words is broadcast. A larger one is
+    shuffled with the postings, by slice too, so that a hot word does not land in one task.
     """
     # one row with at most index.buckets numbers; no words, no buckets, no rows
-    span = words.agg(F.collect_set("bucket").alias("buckets"), F.min("term").alias("low"), F.max("term").alias("high")).first()
-    keys = ["bucket", "field", "term", "shard"]
+    span = words.agg(
+        F.count("*").alias("n"), F.collect_set("bucket").alias("buckets"), F.min("term").alias("low"), F.max("term").alias("high")
+    ).first()
+    keys = ["bucket", "field", "term"]
     rows = index.raw_postings().where(F.col("bucket").isin(span.buckets) & F.col("term").between(span.low, span.high))
-    return index.live(words.join(rows.select(*keys, "doc_id", "gen", *columns), keys)).drop("bucket", "shard", "gen")
+    if span.n <= BROADCAST_WORDS:
+        met = F.broadcast(words).join(rows.select(*keys, "doc_id", "gen", *columns), keys)
+    else:
+        sliced = words.join(F.broadcast(index.slices()), "bucket")  # one row per bucket
+        sliced = sliced.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+        met = sliced.join(rows.select(*keys, "slice", "doc_id", "gen", *columns), [*keys, "slice"]).drop("slice")
+    return index.live(met).drop("bucket", "gen")
 
 
 _QUERY_FLAGS = ["must", "prohibited", "counted", "n_must", "n_scoring"]
@@ -140,13 +142,13 @@ def _weighted(words: DataFrame, index: Index) -> DataFrame:
     constant = F.col("kind").isin(*PATTERN_KINDS)
     base = F.when(constant, F.col("boost") * F.col("counted")).otherwise(F.col("boost") * F.col("counted") * idf * idf)
     return words.select(
-        "query_id", "clause_id", "bucket", "field", "term", "df", "shards", *_QUERY_FLAGS,
+        "query_id", "clause_id", "bucket", "field", "term", "df", *_QUERY_FLAGS,
         (F.col("kind") == "term").alias("exact"), constant.alias("constant"), base.alias("base"),
     )
 
 
 def _term_hits(words: DataFrame, index: Index) -> DataFrame:
-    """Resolved words to weighted matches, one row per word and document."""
+    """Written words to weighted matches, one row per word and document."""
     base = F.col("base")
     weight = F.when(F.col("constant"), base).otherwise(base * F.sqrt("tf") / F.sqrt("len"))
     return _meet(words, index, "tf", "len").withColumn("weight", weight).select(*_HIT)
@@ -167,7 +169,7 @@ def _phrase_hits(words: DataFrame, index: Index) -> DataFrame:
         .where("found = n_terms")
         .drop("found")
     )
-    ranked = _resolved(ranked)
+    ranked = written(ranked, "phrase-words")
     lead = written(_meet(ranked.where("rarity = 1"), index).select(*keys, "doc_id"), "phrase-docs")
     met = _meet(ranked, index, "pos", "len").join(lead, [*keys, "doc_id"], "left_semi")
     gathered = met.groupBy(*keys, "doc_id", *_QUERY_FLAGS, "n_terms", "slop", "boost", "len").agg(
@@ -232,7 +234,8 @@ def clause_hits(index: Index, clauses: DataFrame, kinds=KINDS, occurs=OCCURS) ->
         words.append(expand_fuzzy(clauses, index.terms()))
     branches = []
     if words:
-        resolved = _resolved(_weighted(_union(words), index))
+        # written: the dictionary is read once, and the number of words is known
+        resolved = written(_weighted(_union(words), index), "words")
         branches.append(_required_first(resolved, index) if "must" in occurs else _term_hits(resolved, index))
     if "phrase" in kinds:
         branches.append(_phrase_hits(_phrase_terms(clauses), index))

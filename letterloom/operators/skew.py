@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # A key is hot when it holds more than one row in HOT_SHARE, and at least HOT_ROWS rows. Counts sum
 # to the total, so there are fewer than HOT_SHARE hot keys however large the data is; that bounds
 # what is broadcast.
-HOT_SHARE = 1000
+HOT_SHARE = 100_000
 HOT_ROWS = 100_000
 
 

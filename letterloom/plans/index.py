@@ -3,8 +3,9 @@
 Under the index root:
 
 ``forward/gen=G``            one row per document and field, with its terms and positions
-``postings/gen=G/bucket=B``  field, term, doc_id, tf, pos, len, shard; sorted by term in a file
-``terms/version=V/bucket=B`` field, term, df, shards of the live documents
+``postings/gen=G/bucket=B``  field, term, doc_id, tf, pos, len, slice; sorted by term in a file
+``slices/gen=G``             bucket, slices: into how many files a bucket is cut, by document
+``terms/version=V/bucket=B`` field, term, df of the live documents
 ``docs/version=V``           doc_id, gen, path, id, stamp: the live documents
 ``removed/version=V``        doc_id, gen: documents whose postings no longer count
 ``versions``                 one row per published version; written last, it is the commit
@@ -18,22 +19,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from letterloom.functions.text import ENGLISH_STOP_WORDS
 from letterloom.operators import postings as stats
 from letterloom.operators.refresh import classify, stale
-from letterloom.operators.skew import HOT_ROWS, hot_keys, with_shard
 from letterloom.session import written
 
 # Schemas of the tables; {id} is the type of the document id.
 SCHEMAS = {
     "forward": "doc_id {id}, field string, len int, entries array<struct<term:string,pos:array<int>>>, gen int",
-    "postings": "field string, term string, doc_id {id}, tf int, pos array<int>, len int, shard int, gen int, bucket int",
+    "postings": "field string, term string, doc_id {id}, tf int, pos array<int>, len int, slice int, gen int, bucket int",
+    "slices": "bucket int, slices int, first int, gen int",
     "counts": "field string, term string, df bigint",
-    "terms": "field string, term string, df bigint, shards int, bucket int",
+    "terms": "field string, term string, df bigint, bucket int",
     "docs": "doc_id {id}, gen int, path string, id string, stamp bigint",
     "removed": "doc_id {id}, gen int",
 }
@@ -92,6 +93,10 @@ class Index:
     def postings(self) -> DataFrame:
         return self.live(self.raw_postings())
 
+    def slices(self) -> DataFrame:
+        """``bucket, slices``: the most slices of a bucket in any generation."""
+        return self._generations("slices").groupBy("bucket").agg(F.max("slices").alias("slices"))
+
     def forward(self) -> DataFrame:
         return self.live(self._generations("forward"))
 
@@ -134,34 +139,42 @@ def _publish(index: Index) -> Index:
 
 
 def _write_postings(
-    spark: SparkSession, root: str, gen: int, id_type: str, buckets: int | None, hot_rows: int = HOT_ROWS
+    spark: SparkSession, root: str, gen: int, id_type: str, buckets: int | None, rows_per_file: int = ROWS_PER_FILE
 ) -> tuple[int, DataFrame]:
-    """Lay out generation ``gen`` of the forward table by term; return buckets and term counts."""
+    """Lay out generation ``gen`` of the forward table by term; return buckets and term counts.
+
+    A bucket is cut by document into as many slices as its rows need, so a word that holds a
+    large share of all postings is written by many tasks, each with about as much as any other.
+    """
     forward = _read(spark, "forward", id_type, f"{root}/forward/gen={gen}").drop("gen")
     counts_path = f"{root}/counts/gen={gen}"
     stats.term_counts(forward).write.mode("overwrite").parquet(counts_path)
     counts = _read(spark, "counts", id_type, counts_path)
-    total = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     if buckets is None:
+        total = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
         buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, -(-total // ROWS_PER_BUCKET)))
-    hot = hot_keys(counts, ["field", "term"], "df", least_rows=hot_rows)
-    # A bucket is cut into as many slices as its rows need; a hot term goes to several of them.
-    slices = max(1, -(-total // (buckets * ROWS_PER_FILE)))
-    rows = (
-        with_shard(stats.postings(forward), hot, ["field", "term"], F.col("doc_id"))
-        .withColumn("bucket", bucket_of(buckets, F.col("field"), F.col("term")))
-        .withColumn("slice", F.pmod(F.xxhash64("field", "term", "shard"), F.lit(slices)))
-    )
+    bucket = bucket_of(buckets, F.col("field"), F.col("term"))
+
+    sizes = counts.groupBy(bucket.alias("bucket")).agg(F.ceil(F.sum("df") / rows_per_file).cast("int").alias("slices"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    first = F.coalesce(F.sum("slices").over(before), F.lit(0)).cast("int")
+    slices_path = f"{root}/slices/gen={gen}"
+    sizes.withColumn("first", first).coalesce(1).write.mode("overwrite").parquet(slices_path)
+    slices = _read(spark, "slices", id_type, slices_path).drop("gen")
+    tasks = slices.agg(F.sum("slices")).first()[0] or 1
     (
-        rows.repartitionById(buckets * slices, (F.col("bucket") * slices + F.col("slice")).cast("int"))
-        .drop("slice")
+        stats.postings(forward)
+        .withColumn("bucket", bucket)
+        .join(F.broadcast(slices), "bucket")  # at most MAX_BUCKETS rows
+        .withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
+        .repartitionById(tasks, F.col("first") + F.col("slice"))
+        .drop("slices", "first")
         .sortWithinPartitions("bucket", "field", "term", "doc_id")
         .write.mode("overwrite")
         .partitionBy("bucket")
         .parquet(f"{root}/postings/gen={gen}")
     )
-    shards = counts.join(F.broadcast(hot), ["field", "term"], "left")
-    return buckets, shards.withColumn("shards", F.coalesce("shards", F.lit(1)))
+    return buckets, counts
 
 
 def _write_terms(terms: DataFrame, root: str, version: int, buckets: int) -> None:
@@ -195,14 +208,14 @@ def write_index(
     root: str,
     stop_words=ENGLISH_STOP_WORDS,
     buckets: int | None = None,
-    hot_rows: int = HOT_ROWS,
+    rows_per_file: int = ROWS_PER_FILE,
 ) -> Index:
     """Build version 1 from ``docs (doc_id, path, id, stamp)`` and ``texts (doc_id, field, values)``."""
     spark = docs.sparkSession
     stats.forward_index(texts, stop_words).write.mode("overwrite").parquet(f"{root}/forward/gen=1")
     id_type = dict(docs.dtypes)["doc_id"]
-    buckets, terms = _write_postings(spark, root, 1, id_type, buckets, hot_rows)
-    _write_terms(terms.select("field", "term", "df", "shards"), root, 1, buckets)
+    buckets, terms = _write_postings(spark, root, 1, id_type, buckets, rows_per_file)
+    _write_terms(terms.select("field", "term", "df"), root, 1, buckets)
     live = _write_small(_file_docs(docs, 1), root, "docs", 1)
     _write_small(live.select("doc_id", "gen").where(F.lit(False)), root, "removed", 1)
     return _publish(Index(spark, root, 1, (1,), buckets, live.count(), 0, id_type))
@@ -228,20 +241,20 @@ def refresh_index(index: Index, docs: DataFrame, texts_of, stop_words=ENGLISH_ST
     # counts of what leaves the index come from the old generations' forward rows
     minus = stats.term_counts(index.forward().join(dropped, ["doc_id", "gen"], "left_semi"))
     parts = [
-        index.terms().select("field", "term", "df", "shards"),
-        minus.select("field", "term", (-F.col("df")).alias("df"), F.lit(1).alias("shards")),
+        index.terms().select("field", "term", "df"),
+        minus.select("field", "term", (-F.col("df")).alias("df")),
     ]
     gens = index.gens
     if n_todo:
         fresh = stats.forward_index(texts_of(todo.drop("state")), stop_words)
         fresh.write.mode("overwrite").parquet(f"{root}/forward/gen={gen}")
         _, plus = _write_postings(spark, root, gen, index.id_type, index.buckets)
-        parts.append(plus.select("field", "term", "df", "shards"))
+        parts.append(plus.select("field", "term", "df"))
         gens = (*gens, gen)
     terms = parts[0]
     for part in parts[1:]:
         terms = terms.unionByName(part)
-    terms = terms.groupBy("field", "term").agg(F.sum("df").alias("df"), F.max("shards").alias("shards"))
+    terms = terms.groupBy("field", "term").agg(F.sum("df").alias("df"))
     _write_terms(terms.where("df > 0"), root, version, index.buckets)
 
     live = index.docs().join(dropped, ["doc_id", "gen"], "left_anti").unionByName(_file_docs(todo, gen))
@@ -256,7 +269,7 @@ def compact_index(index: Index) -> Index:
     version, gen = index.version + 1, max(index.gens) + 1
     index.forward().drop("gen").write.mode("overwrite").parquet(f"{root}/forward/gen={gen}")
     _, terms = _write_postings(spark, root, gen, index.id_type, index.buckets)
-    _write_terms(terms.select("field", "term", "df", "shards"), root, version, index.buckets)
+    _write_terms(terms.select("field", "term", "df"), root, version, index.buckets)
     live = _write_small(index.docs().withColumn("gen", F.lit(gen)), root, "docs", version)
     _write_small(live.select("doc_id", "gen").where(F.lit(False)), root, "removed", version)
     return _publish(Index(spark, root, version, (gen,), index.buckets, index.n_docs, 0, index.id_type))

@@ -51,7 +51,7 @@ def test_counts_of_the_derived_snapshots(spark):
 
 def test_refresh_equals_rebuild_and_keeps_old_versions(spark, documents, tmp_path):
     old, new = snapshots(documents)
-    first = build(old, documents, str(tmp_path / "a"), hot_rows=20)
+    first = build(old, documents, str(tmp_path / "a"), rows_per_file=500)
     before = content(first)
     second = refresh_index(first, new, texts_of(documents), stop_words=())
     rebuilt = build(new, documents, str(tmp_path / "b"), buckets=3)
@@ -83,16 +83,19 @@ def test_everything_removed(spark, documents, tmp_path):
     assert content(emptied) == (set(), set(), set(), set(), 0)
 
 
-def test_hot_terms_are_spread_over_shards(spark, tmp_path):
+def test_a_hot_term_is_cut_into_slices(spark, tmp_path):
     docs = spark.range(400).select(
         F.col("id").alias("doc_id"), F.col("id").cast("string").alias("path"), F.lit("x").alias("id"), F.lit(1).cast("bigint").alias("stamp")
     )
     texts = docs.select("doc_id", F.lit("body").alias("field"), F.array(F.concat(F.lit("hot w"), "path")).alias("values"))
-    index = write_index(docs, texts, str(tmp_path / "i"), (), hot_rows=50)
-    assert index.terms().where("term = 'hot'").first().shards == 8
-    spread = {r["shard"]: r["count"] for r in index.postings().where("term = 'hot'").groupBy("shard").count().collect()}
-    assert len(spread) == 8 and sum(spread.values()) == 400 and max(spread.values()) < 100
-    assert index.postings().where("term <> 'hot' and shard > 0").isEmpty()
+    index = write_index(docs, texts, str(tmp_path / "i"), (), rows_per_file=50)
+    hot = index.postings().where("term = 'hot'")
+    spread = {r["slice"]: r["count"] for r in hot.groupBy("slice").count().collect()}
+    assert len(spread) >= 8 and sum(spread.values()) == 400
+    files = index.postings().groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert files < 150
+    bucket = hot.first().bucket
+    assert index.slices().where(F.col("bucket") == bucket).first().slices == len(spread)
 
 
 def test_newest_and_tombstones(spark):

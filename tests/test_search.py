@@ -34,7 +34,7 @@ def index_over(spark, docs, root, **options):
 
 @pytest.fixture(scope="module")
 def index(spark, tmp_path_factory):
-    return index_over(spark, DOCS, str(tmp_path_factory.mktemp("index")), hot_rows=5)
+    return index_over(spark, DOCS, str(tmp_path_factory.mktemp("index")), rows_per_file=40)
 
 
 def clauses(spark, rows):
@@ -243,12 +243,15 @@ def test_plan_of_a_ranked_search(spark, index):
     assert "bucket#" in plan.split("PartitionFilters: [")[2] and "pos" not in plan.split("ReadSchema")[-1]
 
 
-def test_shuffled_join_gives_the_same(spark, index):
+def test_shuffled_join_gives_the_same(spark, index, monkeypatch):
     rows = [one("term", w, clause=i, query=q) for q in range(3) for i, w in enumerate(VOCABULARY)]
+    rows += [one("phrase", "the then", query=4, slop=1)]
+    monkeypatch.setattr(s, "BROADCAST_WORDS", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        ranked = s.search(index, clauses(spark, rows), kinds=("term",), occurs=("should",))
-        assert "SortMergeJoin" in ranked._jdf.queryExecution().executedPlan().toString()
+        ranked = s.search(index, clauses(spark, rows), kinds=("term", "phrase"), occurs=("should",))
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [bucket" in plan and "slice" in plan
         close(ranked, brute(rows, 25))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
