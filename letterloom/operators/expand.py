@@ -66,9 +66,12 @@ def expand_patterns(clauses: DataFrame, terms: DataFrame) -> DataFrame:
         # the empty anchor, or a common one, would be one hot key: it is spread by term
         .withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(ANCHOR_SHARDS - 1))))
     )
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(ANCHOR_LETTERS)), lambda n: F.substring(F.col("term"), F.lit(1), n)))
-    keyed = terms.withColumn("anchor", F.explode_outer(starts)).withColumn(
-        "spread", F.pmod(F.xxhash64("term"), F.lit(ANCHOR_SHARDS)).cast("int")
+    letters = F.least(F.lit(ANCHOR_LETTERS), F.length("term"))
+    keyed = (
+        terms.withColumn("letters", F.explode(F.sequence(F.lit(0), letters)))
+        .withColumn("anchor", F.substring(F.col("term"), F.lit(1), F.col("letters")))
+        .withColumn("spread", F.pmod(F.xxhash64("term"), F.lit(ANCHOR_SHARDS)).cast("int"))
+        .drop("letters")
     )
     found = wanted.join(keyed, ["field", "anchor", "spread"])
     hit = _matches(F.col("kind"), F.col("pattern"), F.col("last"), F.col("term"))
