@@ -15,6 +15,7 @@ range    the first word of a range that ends with ``upper``; null leaves an end
 ======== ==========================================================================
 
 ``occur`` is should, must or must_not. ``times`` counts how often a clause was given.
+``clause_id`` must differ between the clauses of one query.
 """
 
 from __future__ import annotations
@@ -39,11 +40,17 @@ BROADCAST_WORDS = 500_000
 
 
 def as_clauses(
-    rows: DataFrame, kind: str = "term", occur: str = "should", field: str = DEFAULT_FIELD, slop: int = 0, boost: float = 1.0
+    rows: DataFrame,
+    kind: str = "term",
+    occur: str = "should",
+    field: str = DEFAULT_FIELD,
+    slop: int = 0,
+    boost: float = 1.0,
+    clause_id: int = 0,
 ) -> DataFrame:
     """Complete ``query_id, term`` rows (and whatever else they hold) to clauses."""
     defaults = {
-        "clause_id": F.lit(0),
+        "clause_id": F.lit(clause_id),
         "occur": F.lit(occur),
         "kind": F.lit(kind),
         "field": F.lit(field),
@@ -57,7 +64,10 @@ def as_clauses(
 
 
 def query_words(queries: DataFrame, occur: str = "should", field: str = DEFAULT_FIELD, boost: float = 1.0) -> DataFrame:
-    """One term clause per distinct word of ``queries (query_id, text)``; blank texts give none."""
+    """One term clause per distinct word of ``queries (query_id, text)``; blank texts give none.
+
+    The clause id is the position of the word's first use.
+    """
     words = queries.where(F.length(F.trim("text")) > 0).select(
         "query_id", F.explode_outer(term_entries(tokens(F.col("text")))).alias("word")
     )

@@ -134,7 +134,8 @@ def _publish(index: Index) -> Index:
         F.lit(index.n_removed).cast("bigint").alias("n_removed"),
         F.lit(index.id_type).alias("id_type"),
     )
-    row.coalesce(1).write.mode("append").parquet(f"{index.root}/versions")
+    mode = "overwrite" if index.version == 1 else "append"  # a new build starts over
+    row.coalesce(1).write.mode(mode).parquet(f"{index.root}/versions")
     return index
 
 

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from letterloom.operators.report import folder_counts, load_report, running_bytes
 from letterloom.streaming.load import above_mark, incremental_batch, incremental_load, load_marks, loaded, raise_marks, stored_marks, write_batch
