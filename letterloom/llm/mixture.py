@@ -27,7 +27,10 @@ MOST_GROUPS = 1 << 16
 # Primes that step through a source's blocks; the second serves block counts that the first divides.
 _STEPS = (2654435761, 2654435789)
 
-_ALL = Window.partitionBy(F.lit(0)).orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def _over_all(value: Column) -> Column:
+    """``value`` over all rows of a table with one row per source (and shard)."""
+    return value.over(Window.partitionBy(F.lit(0)).orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
 
 
 def word_count(text: Column) -> Column:
@@ -48,10 +51,10 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     table = table.withColumn("cap", F.col("words") * MOST_COPIES).withColumn("fills_at", F.col("cap") / F.col("weight"))
     before = Window.partitionBy(F.lit(0)).orderBy("fills_at", "sid").rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    level = (F.sum("words").over(_ALL) - so_far("cap")) / (F.sum("weight").over(_ALL) - so_far("weight"))
+    level = (_over_all(F.sum("words")) - so_far("cap")) / (_over_all(F.sum("weight")) - so_far("weight"))
     table = table.withColumn("capped", F.col("fills_at") <= level)
-    rest = F.sum("words").over(_ALL) - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(_ALL), F.lit(0))
-    free = F.sum(F.when(~F.col("capped"), F.col("weight"))).over(_ALL)
+    rest = _over_all(F.sum("words")) - F.coalesce(_over_all(F.sum(F.when(F.col("capped"), F.col("cap")))), F.lit(0))
+    free = _over_all(F.sum(F.when(~F.col("capped"), F.col("weight"))))
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(rest * F.col("weight") / free)
     return table.withColumn("target", target).select("source", "sid", "docs", "words", "weight", "target")
 
@@ -62,7 +65,7 @@ def shard_quotas(targets: DataFrame, block_words: int = BLOCK_WORDS, shards: int
     The first m blocks hold, for every source, at least the seats that are sure under a divisor no smaller than the
     true one; only the few seats around the cut are ranked.
     """
-    table = targets.where("target > 0").withColumn("all", F.sum("target").over(_ALL)).withColumn("n", F.count("*").over(_ALL))
+    table = targets.where("target > 0").withColumn("all", _over_all(F.sum("target"))).withColumn("n", _over_all(F.count("*")))
     table = table.withColumn("end", F.explode(F.sequence(F.lit(1), F.lit(shards))))
     table = table.withColumn("m", F.floor(F.greatest(F.round(F.col("all") / block_words), F.lit(1)) * F.col("end") / shards))
     share = F.col("target") / F.col("all")
