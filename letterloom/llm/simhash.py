@@ -101,7 +101,8 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, max_together: int =
         links = found if links is None else links.unionByName(found)
         if small is keyed:
             return links
-        keyed = written(_cut_keys(keyed.join(large, ["mask", "part"], "left_semi"), distance), "simhash-keys")
+        # two keys may be cut to the same finer one
+        keyed = written(_cut_keys(keyed.join(large, ["mask", "part"], "left_semi"), distance).distinct(), "simhash-keys")
 
 
 def _cut_keys(keyed: DataFrame, distance: int) -> DataFrame:
