@@ -43,6 +43,12 @@ def _starts(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
 
 
+def _windows_of(words: Column, size: int) -> Column:
+    """``array<struct<at, len, gram>>``: all windows of one size."""
+    gram = lambda i: F.array_join(F.slice(words, i, F.lit(size)), " ")
+    return F.transform(_starts(words, size), lambda i: F.struct((i - 1).alias("at"), F.lit(size).alias("len"), gram(i).alias("gram")))
+
+
 def _looked_up(words: Column, known: dict[int, tuple[list[int], list[str]]]) -> Column:
     """``array<struct<at, len, gram>>``: the windows of one text that are among those of their length."""
 
@@ -72,19 +78,7 @@ def scanned(docs: DataFrame, windows: DataFrame, text: str = "text", sent_window
         return docs.select(row, scan.alias("scan")).select("row", "scan.n_words", "scan.found")
     rows = written(docs.select(row, words.alias("words"), F.monotonically_increasing_id().alias("rid")), "decontaminate-words")
     sizes = sorted(r[0] for r in windows.select("len").distinct().collect())  # at most the window length
-    spots = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    _starts(F.col("words"), size),
-                    lambda i, size=size: F.struct(
-                        (i - 1).alias("at"), F.lit(size).alias("len"), F.array_join(F.slice("words", i, F.lit(size)), " ").alias("gram")
-                    ),
-                )
-                for size in sizes
-            ]
-        )
-    )
+    spots = F.flatten(F.array(*[_windows_of(F.col("words"), size) for size in sizes]))
     hits = rows.select("rid", F.inline(spots)).join(distinct.select("len", "gram"), ["len", "gram"])
     found = hits.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("at", "len", "gram"))).alias("found"))
     return rows.join(found, "rid", "left").select(
