@@ -34,11 +34,27 @@ class SpanSet:
         return before > 0 and self.furthest[before - 1] > start
 
 
+# Bytes of rows that a Python worker gets at once.
+BATCH_BYTES = "16m"
+
+
+def map_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``rows.mapInArrow`` with batches of at most ``BATCH_BYTES``, whatever the texts' lengths: texts in a worker take
+    several times their bytes, and a session's batches are four times as large by default. The setting stays, as the
+    rows are read only when the result is."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return rows.mapInArrow(run, schema)
+
+
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    """The texts one after another, not all at once."""
+    return (t.as_py() for t in column)
+
+
 def find_spans(docs: DataFrame, key: str, text: str, finder: Callable[[str], list[Span]]) -> DataFrame:
     """``(key, spans)`` with the spans that ``finder`` finds in each whole text (null: as if empty).
 
-    One row per row of ``docs``, in no shuffle; other columns are not read. Arrow batches are bounded
-    in bytes by the session, so one task holds a bounded part of the texts.
+    One row per row of ``docs``, in no shuffle; other columns are not read.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = StructType([StructField("key", rows.schema["key"].dataType), *StructType.fromDDL(f"spans array<struct<{SPAN}>>").fields])
@@ -46,10 +62,10 @@ def find_spans(docs: DataFrame, key: str, text: str, finder: Callable[[str], lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in SPAN_ARROW.value_type]
         for batch in batches:
-            found = [[dict(zip(names, s, strict=True)) for s in finder(t or "")] for t in batch.column(1).to_pylist()]
+            found = [[dict(zip(names, s, strict=True)) for s in finder(t or "")] for t in _texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, SPAN_ARROW)], ["key", "spans"])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return map_batches(rows, run, schema).withColumnRenamed("key", key)
 
 
 def joined_spans(spans: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from letterloom.llm.common import map_batches
 from letterloom.session import written
 
 VOTES_PER_PAGE = 3
@@ -231,7 +232,7 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
             yield pa.RecordBatch.from_arrays([*columns, pa.array(list(votes.values()), pa.float64())], ["host", "path", "votes"])
 
     # sums in whole numbers do not depend on the order of the rows
-    votes = rows.mapInArrow(vote, "host string, path string, votes double").groupBy("host", "path")
+    votes = map_batches(rows, vote, "host string, path string, votes double").groupBy("host", "path")
     votes = votes.agg(F.sum(F.round(F.col("votes") * 1_000_000).cast("long")).alias("votes"))
     most = F.max("votes").over(Window.partitionBy("host"))
     kept = votes.withColumn("most", most).where(F.col("votes") >= F.col("most") * LEAST_VOTE_SHARE)
@@ -266,7 +267,7 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["key", "url", "text"])
 
     schema = StructType([rows.schema["key"], rows.schema["url"], StructField("text", StructType.fromDDL("t string")["t"].dataType)])
-    return rows.mapInArrow(extract, schema).withColumnRenamed("key", key).withColumnRenamed("url", url)
+    return map_batches(rows, extract, schema).withColumnRenamed("key", key).withColumnRenamed("url", url)
 
 
 def pages_report(pages: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from letterloom.llm.common import map_batches
 from letterloom.session import written
 
 UNKNOWN = "und"
@@ -137,7 +138,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     schema = StructType([StructField("lang", rows.schema["lang"].dataType), *StructType.fromDDL("gram bigint, n bigint").fields])
-    grams = written(sample.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-ngrams")
+    grams = written(map_batches(sample, count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-ngrams")
     totals = grams.groupBy("lang").agg(F.sum("n").alias("all"))
     frequent = grams.join(F.broadcast(totals), "lang").where(F.col("n") >= F.col("all") * LEAST_SHARE)
     languages = sorted(r[0] for r in totals.select("lang").collect())
@@ -158,18 +159,19 @@ def held_out(key: Column) -> Column:
 
 def predicted(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> DataFrame:
     """All columns of ``docs`` as struct ``row``, with ``lang_pred`` and ``score`` from the whole text alone."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    place = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2 ** SLOT_BITS bytes for every eight languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.predict(t) for t in batch.column(1).to_pylist()]
+            found = [own.predict(t.as_py()) for t in batch.column(0).field(place)]
             columns = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["row", "lang_pred", "score"])
 
     schema = StructType([rows.schema["row"], *StructType.fromDDL("lang_pred string, score double").fields])
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def in_language(docs: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from letterloom.llm.common import map_batches
 from letterloom.llm.components import components
 from letterloom.session import written
 
@@ -61,11 +62,11 @@ def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t) for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
+            found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["key", "digest", "fp"])
 
     schema = StructType([rows.schema["key"], *StructType.fromDDL("digest bigint, fp bigint").fields])
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def block_masks(bits: int = BITS, blocks: int = BLOCKS, distance: int = DISTANCE, within: int = (1 << BITS) - 1) -> list[int]:
@@ -120,7 +121,7 @@ def _cut_keys(keyed: DataFrame, distance: int) -> DataFrame:
                     out.append(pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (some, wide, some & wide)], ["fp", "mask", "part"]))
             yield from out
 
-    return keyed.select("fp", "mask", "part").mapInArrow(finer, "fp bigint, mask bigint, part bigint")
+    return map_batches(keyed.select("fp", "mask", "part"), finer, "fp bigint, mask bigint, part bigint")
 
 
 def _links_of_keys(keyed: DataFrame, distance: int) -> DataFrame:
@@ -138,7 +139,7 @@ def _links_of_keys(keyed: DataFrame, distance: int) -> DataFrame:
         yield from _forest(kept, distance)
 
     rows = keyed.repartition("mask", "part").sortWithinPartitions("mask", "part", "fp")
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return map_batches(rows, run, "a bigint, b bigint")
 
 
 def _forest(rows: np.ndarray, distance: int) -> Iterator[pa.RecordBatch]:

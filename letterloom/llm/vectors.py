@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from letterloom.llm.common import map_batches
 from letterloom.session import written
 
 TOP_K = 5
@@ -54,7 +55,7 @@ def integer_vectors(table: DataFrame, key: str, vector: str) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "dim", "low", "high", "payload"])
 
-    return rows.mapInArrow(run, "id bigint, dim int, low bigint, high bigint, payload binary")
+    return map_batches(rows, run, "id bigint, dim int, low bigint, high bigint, payload binary")
 
 
 def _matrix(payloads: pa.Array, dim: int, kind: str) -> np.ndarray:
@@ -72,7 +73,7 @@ def _with_cells(rows: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.binary())], ["cid", "dim", "cells"])
 
-    return rows.select("cid", "dim", "payload", "grid_low", "width").mapInArrow(run, "cid bigint, dim int, cells binary")
+    return map_batches(rows.select("cid", "dim", "payload", "grid_low", "width"), run, "cid bigint, dim int, cells binary")
 
 
 def _scan(keep: int):
@@ -113,7 +114,7 @@ def _exact(pairs: DataFrame) -> DataFrame:
             scores = [int(np.dot(np.frombuffer(x, "<i4").astype(np.int64), np.frombuffer(y, "<i4").astype(np.int64))) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.int64())], ["qid", "ids", "score"])
 
-    return pairs.select("qid", "ids", "query", "payload").mapInArrow(run, "qid bigint, ids array<bigint>, score bigint")
+    return map_batches(pairs.select("qid", "ids", "query", "payload"), run, "qid bigint, ids array<bigint>, score bigint")
 
 
 def top_k(table: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = TOP_K, every: int = QUERY_EVERY) -> DataFrame:
