@@ -21,14 +21,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 from tokenizers import Tokenizer
 
+from letterloom.llm.common import map_batches
 from letterloom.llm.wavelet import WaveletMatrix
 from letterloom.session import written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 SHARD_TOKENS = 1 << 18
-# Pieces whose ids a Python worker remembers (about 150 MB); it forgets them all when there are more.
-KNOWN_PIECES = 1_000_000
+# Pieces whose ids a Python worker remembers (about 50 MB) until its task ends; it forgets them all when there are more.
+KNOWN_PIECES = 200_000
+# Texts that are cut into pieces at once.
+TEXTS_TOGETHER = 1024
 
 # Two white-space characters side by side, or the character that pieces are parted by.
 _ODD = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]{2}|\x00"
@@ -129,7 +132,7 @@ def token_shards(
     of one key in an order that their texts fix; a null text is empty and has only the end id.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    order = ["key", F.xxhash64("text"), "text"]
+    ranges = ["key", F.xxhash64("text")]  # bounds are sampled to the driver, so no texts among them
     kind = rows.schema["key"].dataType
     schema = StructType(
         [
@@ -159,7 +162,7 @@ def token_shards(
             return pa.RecordBatch.from_arrays(columns, schema.names)
 
         end, held = np.array([end_id], coder.dtype), 0
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS_TOGETHER) for b in batches for at in range(0, b.num_rows, TEXTS_TOGETHER)):
             first = 0
             for i, one in enumerate(coder.encode(batch.column(1))):
                 ids.append(one)
@@ -171,8 +174,9 @@ def token_shards(
             keys.append(batch.column(0)[first:])
         if ids:
             yield shard()
+        coder.known.clear()  # the worker lives on, beside those of other stages
 
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
+    return map_batches(rows.repartitionByRange(*ranges).sortWithinPartitions(*ranges, "text"), run, schema)
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
@@ -212,7 +216,7 @@ def read_documents(shards: DataFrame, key: str = "doc_id") -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    rows = shards.select("part", "seq", "keys", "lengths", "payload").mapInArrow(run, schema)
+    rows = map_batches(shards.select("part", "seq", "keys", "lengths", "payload"), run, schema)
     found = rows.join(shard_starts(shards), ["part", "seq"])
     return found.select(F.col("key").alias(key), (F.col("own") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
