@@ -9,8 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-PREFIX_BYTES = 1 << 20
-
 
 def format_bytes(size: Column, si: bool = False) -> Column:
     """``1280`` as ``1.3 KiB`` (or ``1.3 kB`` with ``si``). Below one unit: ``n B``."""
@@ -28,9 +26,9 @@ def _adler32(content: pd.Series) -> pd.Series:
     return content.map(zlib.adler32, na_action="ignore").astype("Int64")
 
 
-def prefix_hash(content: Column, algorithm: str = "adler32", prefix_bytes: int = PREFIX_BYTES) -> Column:
-    """Hash of the first ``prefix_bytes`` bytes of a binary column."""
-    head = F.substring(content, 1, prefix_bytes)
+def prefix_hash(content: Column, algorithm: str = "adler32", prefix_bytes: int | None = None) -> Column:
+    """Hash of a binary column, whole unless only its first ``prefix_bytes`` bytes are asked for."""
+    head = content if prefix_bytes is None else F.substring(content, 1, prefix_bytes)
     known = {"crc32": F.crc32, "adler32": _adler32, "fast64": F.xxhash64, "md5": F.md5}
     if algorithm not in known:
         raise ValueError(f"hash must be one of {sorted(known)}")

@@ -1,11 +1,15 @@
-"""Groups of rows whose content has the same hash."""
+"""Groups of rows whose content has the same hash.
+
+A hash of 32 or 64 bits, or one of a prefix, is only where to look: rows form a group if their whole
+contents have the same length and digest too, unless ``verify=False`` asks for the hash alone.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterloom.functions.bytes import PREFIX_BYTES, prefix_hash
+from letterloom.functions.bytes import prefix_hash
 from letterloom.operators.skew import HOT_ROWS, for_each_shard, hot_keys, with_shard
 
 
@@ -14,22 +18,26 @@ def hashed(
     key: str,
     content: str = "content",
     algorithm: str = "adler32",
-    prefix_bytes: int = PREFIX_BYTES,
-    verify: bool = False,
+    prefix_bytes: int | None = None,
+    verify: bool | None = None,
 ) -> DataFrame:
-    """``(key, hash)`` of each non-empty content, plus size and whole digest with ``verify``."""
+    """``(key, hash)`` of each non-empty content, plus size and whole digest if verified."""
     body = F.col(content).cast("binary")
     code = prefix_hash(body, algorithm, prefix_bytes)
     # never null here; said so, a join on the hash adds no filter that would hash everything again
     code = F.coalesce(code, F.lit("" if algorithm == "md5" else 0))
     columns = [F.col(key), code.alias("hash")]
-    if verify:
+    if _verified(algorithm, prefix_bytes, verify):
         columns += [F.length(body).alias("bytes"), F.coalesce(F.sha2(body, 256), F.lit("")).alias("digest")]
     return df.where(F.length(body) > 0).select(*columns)
 
 
-def _group_columns(verify: bool) -> list[str]:
-    return ["hash", "bytes", "digest"] if verify else ["hash"]
+def _verified(algorithm: str = "adler32", prefix_bytes: int | None = None, verify: bool | None = None, **_) -> bool:
+    return (algorithm != "md5" or prefix_bytes is not None) if verify is None else verify
+
+
+def _group_columns(options: dict) -> list[str]:
+    return ["hash", "bytes", "digest"] if _verified(**options) else ["hash"]
 
 
 def _groups(rows: DataFrame, key: str, by: list[str]) -> DataFrame:
@@ -38,7 +46,7 @@ def _groups(rows: DataFrame, key: str, by: list[str]) -> DataFrame:
 
 def dup_groups(df: DataFrame, key: str, **options) -> DataFrame:
     """One row per group of two or more: hash, ``n`` members and the smallest key."""
-    by = _group_columns(options.get("verify", False))
+    by = _group_columns(options)
     return _groups(hashed(df, key, **options), key, by)
 
 
@@ -50,7 +58,7 @@ def dup_members(df: DataFrame, key: str, hot_rows: int = HOT_ROWS, **options) ->
     repartition makes one exchange of narrow rows that all later uses share, so the contents
     themselves are read and hashed once.
     """
-    by = _group_columns(options.get("verify", False))
+    by = _group_columns(options)
     rows = hashed(df, key, **options).repartition(key)
     groups = _groups(rows, key, by)
     hot = hot_keys(groups, by, "n", least_rows=hot_rows)

@@ -62,14 +62,14 @@ def test_unknown_hash(spark):
         prefix_hash(F.col("c"), "sha0")
 
 
-def test_only_the_first_mebibyte_counts_unless_verified(spark, tmp_path):
+def test_the_first_mebibyte_counts_only_where_it_is_asked_for(spark, tmp_path):
     head = bytes(1 << 20)
     (tmp_path / "11.bin").write_bytes(head + b"a")
     (tmp_path / "12.bin").write_bytes(head + b"b")
     (tmp_path / "empty.bin").write_bytes(b"")
     files = scan_files(spark, str(tmp_path), "bin")
-    assert [r.n for r in dup_groups(files, "path").collect()] == [2]
-    assert dup_groups(files, "path", verify=True).count() == 0
+    assert [r.n for r in dup_groups(files, "path", prefix_bytes=1 << 20, verify=False).collect()] == [2]
+    assert dup_groups(files, "path", prefix_bytes=1 << 20).count() == dup_groups(files, "path").count() == 0
 
 
 def test_scan_finds_by_suffix_and_skips_missing_roots(spark, tmp_path):
@@ -99,3 +99,18 @@ def test_oldest_first(spark, tmp_path):
         (tmp_path / n).write_bytes(b"x")
         os.utime(tmp_path / n, (stamp, stamp))
     assert [r.path[-1] for r in oldest_first(scan_files(spark, str(tmp_path))).select("path").collect()] == ["b", "c", "a"]
+
+
+def test_texts_that_differ_late_or_share_a_checksum_are_no_duplicates(spark):
+    """Equal in their first MiB, or of one crc32: only whole contents decide, unless the hash alone is asked for."""
+    head = "x" * (1 << 20)
+    rows = [(1, head + "a"), (2, head + "b"), (3, head + "a"), (4, "plumless"), (5, "buckeroo")]
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for algorithm in ("adler32", "crc32", "fast64", "md5"):
+        got = dup_members(frame, "doc_id", content="text", algorithm=algorithm).collect()
+        assert sorted((r.doc_id, r.first_key) for r in got) == [(1, 1), (3, 1)]
+    first = dup_members(frame, "doc_id", content="text", algorithm="md5", prefix_bytes=1 << 20, verify=False).collect()
+    assert sorted(r.doc_id for r in first) == [1, 2, 3]
+    alone = dup_members(frame, "doc_id", content="text", algorithm="crc32", verify=False).collect()
+    assert sorted(r.doc_id for r in alone) == [1, 3, 4, 5]
