@@ -16,10 +16,16 @@ def _decoded(value: str) -> str:
 
 
 def _text(part: Message) -> str:
-    if part.get_content_maintype() != "text":
+    """Text of a part that is indexed. A charset that is missing or unknown is taken as UTF-8, and what
+    cannot be decoded is replaced, so one bad byte costs one character and never the message."""
+    if part.get_content_type() not in ("text/plain", "text/html"):
         return ""
     raw = part.get_payload(decode=True) or b""
-    return raw.decode(part.get_content_charset() or "utf-8").replace("\r\n", "\n")
+    try:
+        text = raw.decode(part.get_content_charset() or "utf-8", "replace")
+    except (LookupError, ValueError):
+        text = raw.decode("utf-8", "replace")
+    return text.replace("\r\n", "\n")
 
 
 def _leaves(message: Message, depth: int | None):
@@ -33,7 +39,7 @@ def _leaves(message: Message, depth: int | None):
 
 
 def parse_message(content: bytes, depth: int | None = None) -> dict:
-    """Headers, parts, sender list and sent time (UTC). Raises on bytes that cannot be decoded."""
+    """Headers, parts, sender list and sent time (UTC). Raises if there are no headers."""
     message = message_from_bytes(content, policy=policy.compat32)
     headers = [{"name": n, "value": _decoded(str(v))} for n, v in message.items()]
     if not headers:

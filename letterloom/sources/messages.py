@@ -23,6 +23,8 @@ MESSAGE_SCHEMA = (
 )
 _COLUMNS = ["path", "id", "stamp", "size", "headers", "multipart", "parts", "subject", "from", "sent", "error"]
 
+ROWS_TOGETHER = 256
+
 # The field searched by default: all text parts of a message in order.
 DEFAULT_FIELD = "body_all"
 
@@ -30,15 +32,16 @@ DEFAULT_FIELD = "body_all"
 def ingest_messages(files: DataFrame, depth: int | None = None) -> DataFrame:
     """Parse ``path, modificationTime, length, content`` rows into messages.
 
-    A file that cannot be parsed becomes a row with ``error`` set; it never fails the job.
-    Rows are parsed and handed on a few at a time, so memory follows the largest messages of
-    one Arrow batch (``spark.sql.execution.arrow.maxRecordsPerBatch``), not the partition.
+    A file without headers becomes a row with ``error`` set; it never fails the job. Rows are
+    handed on ``ROWS_TOGETHER`` at a time, so memory follows the largest messages of one Arrow
+    batch, whose bytes Spark bounds (``spark.sql.execution.arrow.maxBytesPerBatch``), not the partition.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        parts = (batch.iloc[at : at + ROWS_TOGETHER] for batch in batches for at in range(0, len(batch), ROWS_TOGETHER))
+        for part in parts:
             rows = []
-            for path, id_, stamp, size, content in batch.itertuples(index=False):
+            for path, id_, stamp, size, content in part.itertuples(index=False):
                 row = dict.fromkeys(_COLUMNS) | {"path": path, "id": id_, "stamp": stamp, "size": size}
                 try:
                     row.update(mime.parse_message(bytes(content), depth))
