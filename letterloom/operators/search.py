@@ -15,7 +15,9 @@ range    the first word of a range that ends with ``upper``; null leaves an end
 ======== ==========================================================================
 
 ``occur`` is should, must or must_not. ``times`` counts how often a clause was given.
-``clause_id`` must differ between the clauses of one query.
+``clause_id`` must differ between the clauses of one query. Words and phrases are cut as the index
+cut its texts: its stop words ask for nothing and count nowhere. Defining a search runs Spark jobs:
+its words are looked up and written before the frame is returned.
 """
 
 from __future__ import annotations
@@ -80,6 +82,15 @@ def query_words(queries: DataFrame, occur: str = "should", field: str = DEFAULT_
     return as_clauses(clauses, occur=occur, field=field, boost=boost)
 
 
+def without_stop_words(clauses: DataFrame, stop_words: tuple[str, ...]) -> DataFrame:
+    """Clauses as the index would cut them: words, and phrases of words, that it never holds ask for nothing."""
+    if not stop_words:
+        return clauses
+    word = (F.col("kind") == "term") & F.lower("term").isin(*stop_words)
+    kept = F.filter(tokens(F.col("term")), lambda t: ~t.isin(*stop_words))
+    return clauses.where(~word & ((F.col("kind") != "phrase") | (F.size(kept) > 0)))
+
+
 def _with_totals(clauses: DataFrame) -> DataFrame:
     """Clauses with flags, and per query how many it requires and how many can score.
 
@@ -102,12 +113,12 @@ def _single_terms(clauses: DataFrame) -> DataFrame:
     return clauses.where("kind = 'term'").withColumn("term", F.lower("term"))
 
 
-def _phrase_terms(clauses: DataFrame) -> DataFrame:
-    words = tokens(F.col("term"))
+def _phrase_terms(clauses: DataFrame, stop_words: tuple[str, ...]) -> DataFrame:
+    """The words of each phrase with their places; stop words leave a gap."""
+    placed = F.transform(tokens(F.col("term")), lambda t, i: F.struct(i.alias("i"), t.alias("term")))
+    words = F.filter(placed, lambda p: ~p["term"].isin(*stop_words)) if stop_words else placed
     rest = [c for c in clauses.columns if c != "term"]
-    return clauses.where("kind = 'phrase'").select(
-        *rest, F.size(words).alias("n_terms"), F.posexplode(words).alias("i", "term")
-    )
+    return clauses.where("kind = 'phrase'").select(*rest, F.size(words).alias("n_terms"), F.inline(words))
 
 
 def _look_up(words: DataFrame, index: Index) -> DataFrame:
@@ -234,7 +245,7 @@ def phrase_frequency(words: Column, slop: Column) -> Column:
 def clause_hits(index: Index, clauses: DataFrame, kinds=KINDS, occurs=OCCURS) -> DataFrame:
     """Weighted matches of every clause. Name the ``kinds`` and ``occurs`` that the clauses hold
     to leave the other branches out of the plan."""
-    clauses = _with_totals(clauses)
+    clauses = _with_totals(without_stop_words(clauses, index.stop_words))
     words = []
     if "term" in kinds:
         words.append(_look_up(_single_terms(clauses), index))
@@ -248,7 +259,7 @@ def clause_hits(index: Index, clauses: DataFrame, kinds=KINDS, occurs=OCCURS) ->
         resolved = written(_weighted(_union(words), index), "words")
         branches.append(_required_first(resolved, index) if "must" in occurs else _term_hits(resolved, index))
     if "phrase" in kinds:
-        branches.append(_phrase_hits(_phrase_terms(clauses), index))
+        branches.append(_phrase_hits(_phrase_terms(clauses, index.stop_words), index))
     hits = _union(branches)
     if set(kinds) & {"fuzzy", *PATTERN_KINDS}:
         # several words of one clause meet in a document; partitioned for the sum over clauses too

@@ -8,16 +8,18 @@ Under the index root:
 ``terms/version=V/bucket=B`` field, term, df of the live documents
 ``docs/version=V``           doc_id, gen, path, id, stamp: the live documents
 ``removed/version=V``        doc_id, gen: documents whose postings no longer count
-``versions``                 one row per published version; written last, it is the commit
+``versions/version=V``       one row per published version; written last, it is the commit
 
 A refresh writes a new generation holding only new and changed documents, and small tables that
 say what is live. Postings of other documents are never rewritten, and a reader that opened
-version V keeps seeing V.
+version V keeps seeing V: every writer, a rebuild too, takes numbers above all published ones,
+writes only from the newest version, and cannot publish a version that another one has published.
+The stop words are part of a version; refreshes and searches use the ones they find there.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,6 +62,7 @@ class Index:
     n_docs: int
     n_removed: int
     id_type: str
+    stop_words: tuple[str, ...] = ()
 
     def _reader(self, name: str) -> DataFrameReader:
         return self.spark.read.schema(SCHEMAS[name].format(id=self.id_type))
@@ -107,14 +110,35 @@ class Index:
 def open_index(spark: SparkSession, root: str, version: int | None = None) -> Index:
     """The given version, or the newest published one."""
     row = (
-        spark.read.parquet(f"{root}/versions")
+        _versions(spark, root)
         .where(F.lit(True) if version is None else F.col("version") == version)
         .orderBy(F.desc("version"))
         .first()
     )
     if row is None:
         raise ValueError(f"no such version in {root}")
-    return Index(spark, root, row.version, tuple(row.gens), row.buckets, row.n_docs, row.n_removed, row.id_type)
+    return Index(spark, root, row.version, tuple(row.gens), row.buckets, row.n_docs, row.n_removed, row.id_type, tuple(row.stop_words))
+
+
+def _versions(spark: SparkSession, root: str) -> DataFrame:
+    schema = "gens array<int>, buckets int, n_docs bigint, n_removed bigint, id_type string, stop_words array<string>, version int"
+    return spark.read.schema(schema).parquet(f"{root}/versions")
+
+
+def next_numbers(spark: SparkSession, root: str) -> tuple[int, int]:
+    """The first version and generation above all published ones."""
+    if not has_index(spark, root):
+        return 1, 1
+    row = _versions(spark, root).agg(F.max("version").alias("version"), F.max(F.array_max("gens")).alias("gen")).first()
+    return row.version + 1, row.gen + 1
+
+
+def _next_of(index: Index) -> tuple[int, int]:
+    """Numbers for a writer that starts from ``index``, which must be the newest version."""
+    version, gen = next_numbers(index.spark, index.root)
+    if version != index.version + 1:
+        raise ValueError(f"version {index.version} of {index.root} is not the newest; open version {version - 1}")
+    return version, gen
 
 
 def has_index(spark: SparkSession, root: str) -> bool:
@@ -127,15 +151,15 @@ def has_index(spark: SparkSession, root: str) -> bool:
 
 def _publish(index: Index) -> Index:
     row = index.spark.range(1).select(
-        F.lit(index.version).alias("version"),
         F.array(*[F.lit(g) for g in index.gens]).alias("gens"),
         F.lit(index.buckets).alias("buckets"),
         F.lit(index.n_docs).cast("bigint").alias("n_docs"),
         F.lit(index.n_removed).cast("bigint").alias("n_removed"),
         F.lit(index.id_type).alias("id_type"),
+        F.array(*[F.lit(w) for w in index.stop_words]).cast("array<string>").alias("stop_words"),
     )
-    mode = "overwrite" if index.version == 1 else "append"  # a new build starts over
-    row.coalesce(1).write.mode(mode).parquet(f"{index.root}/versions")
+    # fails if another writer has published this version
+    row.coalesce(1).write.mode("error").parquet(f"{index.root}/versions/version={index.version}")
     return index
 
 
@@ -211,25 +235,30 @@ def write_index(
     buckets: int | None = None,
     rows_per_file: int = ROWS_PER_FILE,
 ) -> Index:
-    """Build version 1 from ``docs (doc_id, path, id, stamp)`` and ``texts (doc_id, field, values)``."""
+    """Build an index from ``docs (doc_id, path, id, stamp)`` and ``texts (doc_id, field, values)``.
+
+    On a root that holds an index already the build becomes its next version; readers of the others keep them.
+    """
     spark = docs.sparkSession
-    stats.forward_index(texts, stop_words).write.mode("overwrite").parquet(f"{root}/forward/gen=1")
+    version, gen = next_numbers(spark, root)
+    stats.forward_index(texts, stop_words).write.mode("overwrite").parquet(f"{root}/forward/gen={gen}")
     id_type = dict(docs.dtypes)["doc_id"]
-    buckets, terms = _write_postings(spark, root, 1, id_type, buckets, rows_per_file)
-    _write_terms(terms.select("field", "term", "df"), root, 1, buckets)
-    live = _write_small(_file_docs(docs, 1), root, "docs", 1)
-    _write_small(live.select("doc_id", "gen").where(F.lit(False)), root, "removed", 1)
-    return _publish(Index(spark, root, 1, (1,), buckets, live.count(), 0, id_type))
+    buckets, terms = _write_postings(spark, root, gen, id_type, buckets, rows_per_file)
+    _write_terms(terms.select("field", "term", "df"), root, version, buckets)
+    live = _write_small(_file_docs(docs, gen), root, "docs", version)
+    _write_small(live.select("doc_id", "gen").where(F.lit(False)), root, "removed", version)
+    return _publish(Index(spark, root, version, (gen,), buckets, live.count(), 0, id_type, tuple(stop_words)))
 
 
-def refresh_index(index: Index, docs: DataFrame, texts_of, stop_words=ENGLISH_STOP_WORDS) -> Index:
+def refresh_index(index: Index, docs: DataFrame, texts_of) -> Index:
     """Bring an index up to date with the listing ``docs (doc_id, path, id, stamp)``.
 
     ``texts_of(changed)`` returns the texts of the new and changed rows only. Documents that are
-    gone from the listing are removed. Nothing is written when nothing changed.
+    gone from the listing are removed. Nothing is written when nothing changed. The texts are cut
+    with the index's own stop words. An index that is not the newest version is refused.
     """
     spark, root = index.spark, index.root
-    version, gen = index.version + 1, max(index.gens) + 1
+    version, gen = _next_of(index)
     states = classify(docs, index.docs().drop("id", "doc_id"), "path")
     todo = written(states.where("state <> 'unchanged'"), "refresh-todo")
     gone = stale(index.docs(), docs, "path")
@@ -247,7 +276,7 @@ def refresh_index(index: Index, docs: DataFrame, texts_of, stop_words=ENGLISH_ST
     ]
     gens = index.gens
     if n_todo:
-        fresh = stats.forward_index(texts_of(todo.drop("state")), stop_words)
+        fresh = stats.forward_index(texts_of(todo.drop("state")), index.stop_words)
         fresh.write.mode("overwrite").parquet(f"{root}/forward/gen={gen}")
         _, plus = _write_postings(spark, root, gen, index.id_type, index.buckets)
         parts.append(plus.select("field", "term", "df"))
@@ -261,16 +290,24 @@ def refresh_index(index: Index, docs: DataFrame, texts_of, stop_words=ENGLISH_ST
     live = index.docs().join(dropped, ["doc_id", "gen"], "left_anti").unionByName(_file_docs(todo, gen))
     live = _write_small(live, root, "docs", version)
     removed = _write_small(index.removed().unionByName(dropped), root, "removed", version)
-    return _publish(Index(spark, root, version, gens, index.buckets, live.count(), removed.count(), index.id_type))
+    return _publish(replace(index, version=version, gens=gens, n_docs=live.count(), n_removed=removed.count()))
+
+
+def needs_compaction(index: Index, generations: int = 16, removed_share: float = 0.2) -> bool:
+    """Whether searches read many generations, or skip a good part of what they read."""
+    return len(index.gens) > generations or index.n_removed > removed_share * max(index.n_docs, 1)
 
 
 def compact_index(index: Index) -> Index:
-    """Rewrite the live documents as one generation, so that readers skip nothing."""
+    """Rewrite the live documents as one generation, so that readers skip nothing.
+
+    The number of buckets is chosen anew, for what the index has grown to.
+    """
     spark, root = index.spark, index.root
-    version, gen = index.version + 1, max(index.gens) + 1
+    version, gen = _next_of(index)
     index.forward().drop("gen").write.mode("overwrite").parquet(f"{root}/forward/gen={gen}")
-    _, terms = _write_postings(spark, root, gen, index.id_type, index.buckets)
-    _write_terms(terms.select("field", "term", "df"), root, version, index.buckets)
+    buckets, terms = _write_postings(spark, root, gen, index.id_type, None)
+    _write_terms(terms.select("field", "term", "df"), root, version, buckets)
     live = _write_small(index.docs().withColumn("gen", F.lit(gen)), root, "docs", version)
     _write_small(live.select("doc_id", "gen").where(F.lit(False)), root, "removed", version)
-    return _publish(Index(spark, root, version, (gen,), index.buckets, index.n_docs, 0, index.id_type))
+    return _publish(replace(index, version=version, gens=(gen,), buckets=buckets, n_removed=0))

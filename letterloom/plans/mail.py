@@ -1,7 +1,8 @@
 """Mail folders end to end: build an index over message files, keep it current, show results.
 
-Parsed messages are stored beside the index, ``messages/gen=G``, so that hits are joined to
-them and no file is read again for a result page.
+Parsed messages are stored beside the index, ``messages/gen=G`` by the load that read them, so that
+hits are joined to them and no file is read again for a result page. A version shows the messages
+whose path and stamp its documents name, whatever generation their postings are in by now.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from letterloom.operators import search as s
 from letterloom.operators.refresh import classify, newest
-from letterloom.plans.index import Index, refresh_index, write_index
+from letterloom.plans.index import Index, next_numbers, refresh_index, write_index
 from letterloom.session import written
 from letterloom.sources.files import listing, scan_files
 from letterloom.sources.messages import MESSAGE_SCHEMA, ingest_messages, message_docs, message_texts, rejects
@@ -31,7 +32,7 @@ def _store(messages: DataFrame, root: str, gen: int) -> DataFrame:
 
 def index_mail(spark: SparkSession, roots: str | list[str], root: str, **options) -> Index:
     """Build an index at ``root`` over the message files below ``roots``."""
-    messages = _store(ingest_messages(_scan(spark, roots)), root, 1)
+    messages = _store(ingest_messages(_scan(spark, roots)), root, next_numbers(spark, root)[1])
     return write_index(message_docs(messages), message_texts(messages), root, **options)
 
 
@@ -50,7 +51,7 @@ def refresh_mail(index: Index, roots: str | list[str], **options) -> Index:
     spark = index.spark
     files = listing(_scan(spark, roots))
     todo = written(classify(files, index.docs()).where("state <> 'unchanged'"), "mail-todo")
-    gen = max(index.gens) + 1
+    gen = next_numbers(spark, index.root)[1]
     current = files.withColumn("doc_id", F.col("path")).select("doc_id", "path", "id", "stamp")
     if todo.isEmpty():
         return refresh_index(index, current, lambda changed: None, **options)
@@ -74,10 +75,16 @@ def _stored(index: Index) -> DataFrame:
     return index.spark.read.schema(f"{MESSAGE_SCHEMA}, gen int").parquet(f"{index.root}/messages")
 
 
-def mail_messages(index: Index) -> DataFrame:
-    """The live parsed messages, with ``doc_id``."""
-    rows = _stored(index).where(F.col("gen").isin(list(index.gens)) & F.col("error").isNull())
-    return index.live(rows.withColumn("doc_id", F.col("path"))).drop("gen")
+def mail_messages(index: Index, among: DataFrame | None = None) -> DataFrame:
+    """The live parsed messages, with ``doc_id``; with ``among``, only those of its ``doc_id``.
+
+    The few asked for are picked before anything is shuffled. A message that was loaded again with the same
+    stamp counts as loaded last.
+    """
+    docs = index.docs() if among is None else index.docs().join(among.select("doc_id"), "doc_id", "left_semi")
+    rows = _stored(index).where(F.col("error").isNull())
+    rows = rows.join(docs.select("doc_id", "path", "stamp"), ["path", "stamp"])
+    return newest(rows, "path", "gen").drop("gen")
 
 
 def mail_rejects(index: Index) -> DataFrame:
@@ -88,4 +95,5 @@ def mail_rejects(index: Index) -> DataFrame:
 
 def search_mail(index: Index, clauses: DataFrame, k: int = s.TOP_K, **options) -> DataFrame:
     """Ranked results as a reader sees them: subject, sender, time sent, size and link."""
-    return s.result_view(s.search(index, clauses, k, **options), mail_messages(index))
+    hits = written(s.search(index, clauses, k, **options), "mail-hits")
+    return s.result_view(hits, mail_messages(index, among=hits))

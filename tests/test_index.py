@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from letterloom.operators.refresh import apply_tombstones, classify, kept, newest, stale, upsert
-from letterloom.plans.index import compact_index, open_index, refresh_index, write_index
+from letterloom.plans.index import compact_index, needs_compaction, open_index, refresh_index, write_index
 from letterloom.plans.queries import document_listing, document_texts
 
 SF = "/root/testdata/sf0.001"
@@ -53,19 +53,19 @@ def test_refresh_equals_rebuild_and_keeps_old_versions(spark, documents, tmp_pat
     old, new = snapshots(documents)
     first = build(old, documents, str(tmp_path / "a"), rows_per_file=500)
     before = content(first)
-    second = refresh_index(first, new, texts_of(documents), stop_words=())
+    second = refresh_index(first, new, texts_of(documents))
     rebuilt = build(new, documents, str(tmp_path / "b"), buckets=3)
     assert content(second) == content(rebuilt)
     assert content(open_index(spark, first.root, 1)) == before
     assert open_index(spark, first.root).version == 2
 
-    unchanged = refresh_index(second, new, texts_of(documents), stop_words=())
+    unchanged = refresh_index(second, new, texts_of(documents))
     assert unchanged == second and open_index(spark, first.root).version == 2
 
     compacted = compact_index(second)
     assert content(compacted) == content(second) and compacted.n_removed == 0
 
-    third = refresh_index(compacted, old, texts_of(documents), stop_words=())
+    third = refresh_index(compacted, old, texts_of(documents))
     assert content(third)[1] == before[1] and content(third)[0] == before[0]
 
 
@@ -73,13 +73,13 @@ def test_refresh_from_an_empty_index(spark, documents, tmp_path):
     _, new = snapshots(documents)
     index = build(new.where("false"), documents, str(tmp_path / "a"))
     assert index.n_docs == 0
-    assert content(refresh_index(index, new, texts_of(documents), stop_words=())) == content(build(new, documents, str(tmp_path / "b")))
+    assert content(refresh_index(index, new, texts_of(documents))) == content(build(new, documents, str(tmp_path / "b")))
 
 
 def test_everything_removed(spark, documents, tmp_path):
     _, new = snapshots(documents)
     index = build(new, documents, str(tmp_path / "a"))
-    emptied = refresh_index(index, new.where("false"), texts_of(documents), stop_words=())
+    emptied = refresh_index(index, new.where("false"), texts_of(documents))
     assert content(emptied) == (set(), set(), set(), set(), 0)
 
 
@@ -102,3 +102,21 @@ def test_newest_and_tombstones(spark):
     rows = spark.createDataFrame([(1, 1, "a"), (1, 3, "b"), (2, 2, "c"), (1, 3, "aa")], "k int, stamp int, v string")
     assert {(r.k, r.v) for r in newest(rows, "k", "stamp", "v").collect()} == {(1, "aa"), (2, "c")}
     assert apply_tombstones(rows, rows.where("k = 1"), "k").count() == 1
+
+
+def test_writers_start_from_the_newest_version(spark, documents, tmp_path):
+    """An old handle is refused, a rebuild takes fresh numbers, and a reader keeps what it opened."""
+    old, new = snapshots(documents)
+    root = str(tmp_path / "a")
+    first = build(old, documents, root)
+    before = content(first)
+    second = refresh_index(first, new, texts_of(documents))
+    with pytest.raises(ValueError, match="not the newest"):
+        refresh_index(first, new, texts_of(documents))
+    with pytest.raises(ValueError, match="not the newest"):
+        compact_index(first)
+    rebuilt = build(old, documents, root)
+    assert rebuilt.version == second.version + 1 and min(rebuilt.gens) > max(second.gens)
+    assert content(first) == before == content(rebuilt)
+    assert open_index(spark, root) == rebuilt and open_index(spark, root, second.version) == second
+    assert needs_compaction(second, generations=1) and not needs_compaction(rebuilt)

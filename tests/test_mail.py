@@ -1,7 +1,7 @@
 import os
 
-from letterloom.operators.search import as_clauses
-from letterloom.plans.index import open_index
+from letterloom.operators.search import as_clauses, query_words
+from letterloom.plans.index import compact_index, open_index
 from letterloom.plans.mail import index_mail, mail_messages, mail_rejects, refresh_mail, search_mail
 from letterloom.sources.files import scan_files
 from letterloom.sources.pages import file_text
@@ -31,8 +31,9 @@ def test_mail_folder_is_followed(spark, tmp_path):
 
     put(mail, "a/1.eml", "common other", 1_700_001_000)
     put(mail, "b/1.eml", "common fresh", 1_600_000_000)
-    put(mail, "b/bad.eml", "common", 1_700_001_000, "text/plain; charset=none-such")
-    put(mail, "a/2.eml", "broken now", 1_700_001_000, "text/plain; charset=none-such")
+    for name in ("b/bad.eml", "a/2.eml"):
+        (mail / name).write_bytes(b"\r\nno headers, so no message\r\n")
+        os.utime(mail / name, (1_700_001_000, 1_700_001_000))
     (mail / "a/3.eml").unlink()
     second = refresh_mail(index, str(mail))
     assert subjects(spark, second, "common") == ["a/0.eml", "a/1.eml", "a/2.eml", "a/4.eml", "a/5.eml", "b/1.eml"]
@@ -47,6 +48,34 @@ def test_mail_folder_is_followed(spark, tmp_path):
     third = refresh_mail(second, str(mail))
     assert subjects(spark, third, "mended") == ["a/2.eml"] and subjects(spark, third, "word2") == []
 
+    small = compact_index(third)
+    assert subjects(spark, small, "common") == subjects(spark, third, "common")
+    put(mail, "b/1.eml", "common again", 1_700_003_000)
+    fourth = refresh_mail(small, str(mail))
+    assert subjects(spark, fourth, "again") == ["b/1.eml"] and subjects(spark, fourth, "fresh") == []
+    assert subjects(spark, small, "fresh") == ["b/1.eml"] and mail_messages(fourth).count() == 6
+
+
+def test_words_and_phrases_with_stop_words(spark, tmp_path):
+    mail = tmp_path / "mail"
+    mail.mkdir()
+    put(mail, "a/1.eml", "a letter to the editor of this paper", 1_700_000_000)
+    put(mail, "a/2.eml", "the editor wrote no letter", 1_700_000_000)
+    index = open_index(spark, index_mail(spark, str(mail), str(tmp_path / "index")).root)
+    batch = spark.createDataFrame([(1, "letter to the editor")], "query_id bigint, text string")
+
+    def found(clauses, **options):
+        return [(r.subject, r.score) for r in search_mail(index, clauses, **options).orderBy("rank").collect()]
+
+    must = found(query_words(batch, occur="must"), kinds=("term",), occurs=("must",))
+    assert sorted(s for s, _ in must) == ["a/1.eml", "a/2.eml"]
+    plain = spark.createDataFrame([(1, "letter editor")], "query_id bigint, text string")
+    assert found(query_words(batch), kinds=("term",), occurs=("should",)) == found(query_words(plain), kinds=("term",), occurs=("should",))
+    phrase = lambda text: as_clauses(spark.createDataFrame([(1, text)], "query_id bigint, term string"), kind="phrase")
+    assert [s for s, _ in found(phrase("letter to the editor"), kinds=("phrase",), occurs=("should",))] == ["a/1.eml"]
+    assert found(phrase("letter editor"), kinds=("phrase",), occurs=("should",)) == []
+    assert found(phrase("to the"), kinds=("phrase",), occurs=("should",)) == []
+
 
 def test_saved_pages(spark, tmp_path):
     (tmp_path / "p.txt").write_text("<p>one &amp; two</p>")

@@ -227,7 +227,7 @@ def test_algebra_of_results(spark, index):
 def test_removed_documents_are_not_found(spark, tmp_path):
     index = index_over(spark, DOCS, str(tmp_path))
     listing = index.docs().drop("gen").where("doc_id >= 30")
-    after = refresh_index(index, listing, lambda changed: None, stop_words=())
+    after = refresh_index(index, listing, lambda changed: None)
     rows = [one("term", "the"), one("prefix", "a", query=2), one("phrase", "on no", query=3, slop=2)]
     hits = s.search(after, clauses(spark, rows), 100).collect()
     assert hits and all(r.doc_id >= 30 for r in hits)
