@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from letterloom.session import empty
 
@@ -32,20 +31,21 @@ def scan_files(
     listed. Contents are read only where ``content`` is selected; ``modified_since`` is pushed
     into the scan.
     """
-    present = []
-    for root in outermost([roots] if isinstance(roots, str) else roots):
-        try:
-            _binary_files(spark, suffix, ignore_case).load(root)
-            present.append(root)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+    present = [root for root in outermost([roots] if isinstance(roots, str) else roots) if _exists(spark, root)]
     if not present:
         return empty(spark, "path string, modificationTime timestamp, length bigint, content binary")
     files = _binary_files(spark, suffix, ignore_case).load(present)
     return files if modified_since is None else files.where(F.col("modificationTime") >= F.lit(modified_since))
 
 
+def _exists(spark: SparkSession, root: str) -> bool:
+    """Whether the root's file system knows it; its listing is left to the scan."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def outermost(roots: list[str]) -> list[str]:
     """The given roots without repeats and without those below another one."""
     tidy = sorted({root.rstrip("/") for root in roots}, key=len)

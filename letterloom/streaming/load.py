@@ -59,12 +59,15 @@ def incremental_batch(source: DataFrame, marks: DataFrame, stored: DataFrame) ->
 
 
 def without_repeats(batch: DataFrame) -> DataFrame:
-    """One row per key. Rows whose key comes once, as nearly all do, are not shuffled."""
+    """One row per key, the first in the order of all columns, so that a replay stores the same one. Rows whose
+    key comes once, as nearly all do, are not shuffled."""
     repeated = written(batch.groupBy(*KEYS).agg(F.count("*").alias("n")).where("n > 1").select(*KEYS), "repeated-keys")
     if repeated.isEmpty():
         return batch
     once = batch.join(repeated, KEYS, "left_anti")
-    return once.unionByName(batch.join(repeated, KEYS, "left_semi").dropDuplicates(KEYS))
+    rest = [c for c in batch.columns if c not in KEYS]
+    first = batch.join(repeated, KEYS, "left_semi").groupBy(*KEYS).agg(F.min(F.struct(*rest)).alias("first"))
+    return once.unionByName(first.select(*KEYS, "first.*"))
 
 
 def above_mark(source: DataFrame, last_uid: int) -> DataFrame:
@@ -74,9 +77,9 @@ def above_mark(source: DataFrame, last_uid: int) -> DataFrame:
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)  # told, not inferred from all that is stored
     except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return empty(spark, schema)
 
