@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,17 +81,18 @@ def term_entries(token_array: Column, stop_words: list[str] | tuple[str, ...] =
 
 
 def decode_entities(text: Column) -> Column:
-    """Replace named, decimal and hexadecimal character references; unknown ones stay."""
-    reference = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,7});"
-    named = F.create_map(*[F.lit(x) for name, code in _NAMED.items() for x in (name, chr(code))])
+    """Replace named, decimal and hexadecimal character references; unknown ones stay. Digits may have any
+    number of zeros before them, names are those of HTML 5 that end with a semicolon."""
+    reference = r"&(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+    named = F.create_map(*[F.lit(x) for name, sign in _NAMED.items() for x in (name, sign)])
 
     def character(code: Column) -> Column:
         valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
         return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
     def value(ref: Column) -> Column:
-        decimal = character(F.substring(ref, 2, 8).try_cast("int"))
-        hexadecimal = character(F.conv(F.substring(ref, 3, 8), 16, 10).try_cast("int"))
+        decimal = character(F.regexp_extract(ref, "^#0*([0-9]+)$", 1).try_cast("int"))
+        hexadecimal = character(F.conv(F.regexp_extract(ref, "^#[xX]0*([0-9a-fA-F]+)$", 1), 16, 10).try_cast("int"))
         return F.coalesce(
             F.when(ref.rlike("^#[0-9]"), decimal).when(ref.rlike("^#[xX]"), hexadecimal).otherwise(named[ref]),
             F.concat(F.lit("&"), ref, F.lit(";")),
@@ -110,7 +111,7 @@ def decode_entities(text: Column) -> Column:
     return bind(text, decoded)
 
 
-_NAMED = {**name2codepoint, "apos": 39, "nbsp": 32}
+_NAMED = {**{name[:-1]: sign for name, sign in html5.items() if name.endswith(";")}, "nbsp": " "}
 
 # The chain of html_to_text, in order: (pattern, replacement). The same patterns work in RE2.
 HTML_CHAIN = (

@@ -100,9 +100,11 @@ def _piece_slots() -> list[tuple[int, int, int, int]]:
 
 
 def expand_fuzzy(clauses: DataFrame, terms: DataFrame) -> DataFrame:
-    """``fuzzy`` clauses with ``term`` replaced by each term within ``slop`` edits (at most 2)."""
+    """``fuzzy`` clauses with ``term`` replaced by each term within ``slop`` edits; more than 2 are an error."""
+    too_far = F.raise_error(F.format_string(f"fuzzy clause %s of query %s allows %s edits, more than {MAX_EDITS}", "clause_id", "query_id", "slop"))
     words = (
-        clauses.where((F.col("kind") == "fuzzy") & (F.col("slop") <= MAX_EDITS))
+        clauses.where(F.col("kind") == "fuzzy")
+        .withColumn("slop", F.when(F.col("slop") <= MAX_EDITS, F.col("slop")).otherwise(too_far.cast("int")))
         .withColumn("word", F.lower("term"))
         .withColumn("word_len", F.length("word"))
         .drop("term")
