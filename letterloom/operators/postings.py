@@ -11,16 +11,6 @@ from pyspark.sql import functions as F
 from letterloom.functions.text import POSITION_GAP, spaced_tokens, term_entries
 
 
-def spread_few_files(df: DataFrame, key: str) -> DataFrame:
-    """Repartition by ``key`` only when the input has fewer files than the cluster has cores.
-
-    A few coarse files would leave most cores idle during tokenising. A table of many files
-    is read as it lies, without a shuffle of the texts.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(key) if len(df.inputFiles()) < cores else df
-
-
 def forward_index(texts: DataFrame, stop_words=(), gap: int = POSITION_GAP) -> DataFrame:
     """``doc_id, field, len, entries array<struct<term, pos>>``: a projection, without a shuffle."""
     entries = term_entries(spaced_tokens(F.col("values"), gap), stop_words)

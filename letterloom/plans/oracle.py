@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from letterloom.functions.text import HTML_CHAIN, TOKEN_PATTERN
+import re
 
-_W = f"regexp_extract_all(lower(text), '{TOKEN_PATTERN}')"
+# Written anew here, so that a wrong pattern in the engine shows: every run of letters and digits is a token.
+_W = r"regexp_extract_all(lower(text), '[\p{L}\p{Nd}\p{Nl}\p{No}]+')"
 
 # Tokens, postings and statistics of documents.text, and the words of each benchmark text.
 _BASE = f"""
@@ -43,6 +44,18 @@ ranked AS (
 _TOP = "SELECT query_id, rank, score, doc_id FROM ranked WHERE rank <= 25"
 
 
+# The stop words of the English list.
+_STOP = """('a', 'an', 'and', 'are', 'as', 'at', 'be', 'but', 'by', 'for', 'if', 'in', 'into', 'is', 'it', 'no', 'not', 'of',
+  'on', 'or', 'such', 'that', 'the', 'their', 'then', 'there', 'these', 'they', 'this', 'to', 'was', 'will', 'with')"""
+
+
+def _without_stop_words(sql: str) -> str:
+    """The same search over texts and queries from which stop words are gone; positions stay."""
+    for name in ("toks", "qtoks"):
+        sql = re.sub(rf"(?m)^({name} AS \()(.*)(\),)$", rf"\1SELECT * FROM (\2) WHERE term NOT IN {_STOP}\3", sql)
+    return sql
+
+
 def _word_search(occur: str = "'should'", boost: str = "boost") -> str:
     return (
         _BASE
@@ -77,11 +90,12 @@ hits AS (
 # Every text as one phrase: its i-th word at position start + i, for all of them.
 _PHRASE = (
     _BASE
-    + """, sizes AS (SELECT query_id, count(*) AS m, sum(idf) AS idf FROM qtoks JOIN dfs USING (term) GROUP BY ALL),
+    + """, sizes AS (SELECT query_id, sum(idf) AS idf FROM qtoks JOIN dfs USING (term) GROUP BY ALL),
+qsizes AS (SELECT query_id, count(*) AS m FROM qtoks GROUP BY ALL),
 places AS (
   SELECT query_id, doc_id, pos - i AS start
-  FROM qtoks JOIN toks USING (term) JOIN qarrays USING (query_id)
-  GROUP BY query_id, doc_id, pos - i HAVING count(*) = any_value(len(qarrays.w))),
+  FROM qtoks JOIN toks USING (term) JOIN qsizes USING (query_id)
+  GROUP BY query_id, doc_id, pos - i HAVING count(*) = any_value(m)),
 freqs AS (SELECT query_id, doc_id, count(*) AS freq FROM places GROUP BY ALL),
 clauses AS (SELECT item_id AS query_id, 0 AS clause, 'should' AS occur, 1 AS times FROM benchmark),
 hits AS (
@@ -163,8 +177,12 @@ def _size_text(column: str, si: bool = False) -> str:
 
 def _html_text(column: str) -> str:
     out = column
-    for pattern, replacement in HTML_CHAIN:
-        out = f"regexp_replace({out}, '{pattern}', '{replacement}', 'g')"
+    for element in ("script", "style"):
+        out = f"regexp_replace({out}, '(?is)<{element}[^>]*>.*?</{element}>', '', 'g')"
+    out = f"regexp_replace({out}, '(?s)<!--.*?-->', '', 'g')"
+    # the inline elements of the pages; every other tag parts words
+    out = f"regexp_replace({out}, '</?(a|b)( [^>]*)?>', '', 'g')"
+    out = f"regexp_replace({out}, '<[!/]?[A-Za-z][^>]*>', ' ', 'g')"
     # the references that occur in the pages; & comes last so that nothing is decoded twice
     for name, sign in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", " "), ("amp", "&")):
         out = f"replace({out}, '&{name};', '{sign}')"
@@ -206,6 +224,9 @@ GROUP BY term, doc_id""",
     "search_field": _FIELD,
     "search_boost": _word_search(boost="CASE WHEN length(term) > 4 THEN 3.0 ELSE 1.0 END::DOUBLE") + _TOP,
     "search_phrase": _PHRASE,
+    "search_any_stop": _without_stop_words(_word_search() + _TOP),
+    "search_all_stop": _without_stop_words(_word_search("'must'") + _TOP),
+    "search_phrase_stop": _without_stop_words(_PHRASE),
     "search_phrase_slop": _SLOP,
     "search_prefix": _pattern_search("starts_with(term, left(word, 4))"),
     "search_wildcard": _pattern_search("regexp_full_match(term, left(word, 2) || '..*' || right(word, 2))"),
@@ -230,6 +251,7 @@ GROUP BY term, doc_id""",
     "refresh_terms": f"""SELECT 'body' AS field, term, count(*) AS df
   FROM (SELECT unnest(list_distinct({_W})) AS term FROM documents WHERE source <> 'src3') GROUP BY term
   UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source <> 'src3' GROUP BY source""",
+    "refresh_compact_search": (_word_search() + _TOP).replace("FROM documents", "FROM (SELECT * FROM documents WHERE source <> 'src3')"),
     "newest_version": """SELECT user_id, event_id, event_type FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM events) WHERE rn = 1""",
     "incremental_batch": f"""{_EVENT_ROWS}, marks AS (SELECT folder, max(uid) AS last_uid FROM rows, mid WHERE us <= middle GROUP BY folder)
@@ -243,6 +265,10 @@ GROUP BY term, doc_id""",
     "load_stream": f"{_EVENT_ROWS} SELECT folder, uid, size FROM rows, mid WHERE NOT (folder = 'error' AND us <= middle)",
     "load_report": f"""SELECT folder, messages, bytes, {_size_text('bytes')} AS size_text FROM (
   SELECT source AS folder, count(*) AS messages, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY source)""",
+    "above_mark": f"""{_EVENT_ROWS} SELECT folder, uid, size FROM rows WHERE folder = 'purchase'
+  AND uid > (SELECT max(uid) FROM rows, mid WHERE folder = 'purchase' AND us <= middle)""",
+    "folder_counts": """SELECT source AS folder, upper(source) AS name, count(*) FILTER (source <> 'src2') AS messages
+  FROM documents WHERE source <> 'src1' GROUP BY source""",
     "format_sizes": f"SELECT doc_id, {_size_text('n_chars')} AS binary_size, {_size_text('n_chars', si=True)} AS si_size FROM documents",
     "page_text": f"SELECT page_id, {_html_text('html')} AS text FROM pages",
     "message_ingest": """SELECT doc_id || '.eml' AS id, lang AS subject, source || '@example.org' AS sender,

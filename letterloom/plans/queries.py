@@ -13,17 +13,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterloom.functions.bytes import format_bytes
-from letterloom.functions.text import tokens
+from letterloom.functions.text import ENGLISH_STOP_WORDS, tokens
 from letterloom.operators import search as s
 from letterloom.operators.dupes import dup_groups, dup_members
-from letterloom.operators.postings import doc_lengths, forward_index, postings, spread_few_files, term_counts
+from letterloom.operators.postings import doc_lengths, forward_index, postings, term_counts
 from letterloom.operators.refresh import apply_tombstones, classify, newest, stale, upsert
-from letterloom.operators.report import load_report, running_bytes
-from letterloom.plans.index import Index, has_index, open_index, refresh_index, write_index
+from letterloom.operators.report import folder_counts, load_report, running_bytes
+from letterloom.plans.index import Index, compact_index, has_index, open_index, refresh_index, write_index
 from letterloom.session import new_folder, shared_folder
 from letterloom.sources.messages import header_lines, ingest_messages, message_texts
 from letterloom.sources.pages import page_text
-from letterloom.streaming.load import incremental_batch, incremental_load, load_marks, loaded
+from letterloom.streaming.load import above_mark, incremental_batch, incremental_load, load_marks, loaded
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,23 +49,28 @@ def document_texts(documents: DataFrame) -> DataFrame:
         F.struct(F.lit("body").alias("field"), F.array("text").alias("values")),
         F.struct(F.lit("source").alias("field"), F.array("source").alias("values")),
     )
-    rows = spread_few_files(documents.select("doc_id", "text", "source"), "doc_id")
+    rows = documents.select("doc_id", "text", "source")
     return rows.select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.field", "f.values")
 
 
 def body_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spread_few_files(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return forward_index(documents.select("doc_id", F.lit("body").alias("field"), F.array("text").alias("values")))
 
 
-def documents_index(spark: SparkSession, sf_dir: str) -> Index:
-    """The index over ``documents``, built on first use in an application and reopened after."""
-    name = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
+def documents_index(spark: SparkSession, sf_dir: str, stop_words=()) -> Index:
+    """The index over ``documents``, built on first use in an application and reopened after.
+
+    Its name holds what the table's files are (path, length, time), so a table that changed is indexed anew.
+    """
+    documents = table(spark, sf_dir, "documents")
+    files = documents.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count("*"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
+    name = hashlib.md5(repr((sf_dir, tuple(state), tuple(stop_words))).encode()).hexdigest()[:12]
     root = f"{shared_folder(spark)}/letterloom/{spark.sparkContext.applicationId}/documents-{name}"
     if has_index(spark, root):
         return open_index(spark, root)
-    documents = table(spark, sf_dir, "documents")
-    return write_index(document_listing(documents), document_texts(documents), root, stop_words=())
+    return write_index(document_listing(documents), document_texts(documents), root, stop_words=stop_words)
 
 
 def query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,9 +120,9 @@ def doc_len(spark, sf_dir):
 # --- search ----------------------------------------------------------------------------------
 
 
-def _search_terms(clauses: Callable[[DataFrame], DataFrame], kinds=("term",), occurs=("should",)) -> Query:
+def _search_terms(clauses: Callable[[DataFrame], DataFrame], kinds=("term",), occurs=("should",), stop_words=()) -> Query:
     def query(spark, sf_dir):
-        index = documents_index(spark, sf_dir)
+        index = documents_index(spark, sf_dir, stop_words)
         return s.search(index, clauses(query_batch(spark, sf_dir)), kinds=kinds, occurs=occurs)
 
     return query
@@ -265,10 +270,23 @@ def refresh_terms(spark, sf_dir):
     def texts_of(changed: DataFrame) -> DataFrame:
         return document_texts(documents).join(changed.select("doc_id"), "doc_id", "left_semi")
 
-    index = refresh_index(index, new_listing(spark, sf_dir), texts_of, stop_words=())
+    index = refresh_index(index, new_listing(spark, sf_dir), texts_of)
     return index.terms().select("field", "term", "df")
 
 
+def refresh_compact_search(spark, sf_dir):
+    """The word search in an index that was refreshed to the new listing and then compacted."""
+    documents = table(spark, sf_dir, "documents")
+    texts = document_texts(documents.where("source <> 'src7'"))
+    index = write_index(old_listing(spark, sf_dir), texts, new_folder(spark, "refresh-index"), stop_words=())
+
+    def texts_of(changed: DataFrame) -> DataFrame:
+        return document_texts(documents).join(changed.select("doc_id"), "doc_id", "left_semi")
+
+    index = compact_index(refresh_index(index, new_listing(spark, sf_dir), texts_of))
+    return s.search(index, words_clauses(query_batch(spark, sf_dir)), kinds=("term",), occurs=("should",))
+
+
 def newest_version(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", _micros(F.col("ts")).alias("stamp"))
     return newest(rows, "user_id", "stamp", "event_id").select("user_id", "event_id", "event_type")
@@ -339,6 +357,20 @@ def load_stream(spark, sf_dir):
     return loaded(spark, f"{root}/stored").select("folder", "uid", "size")
 
 
+def above_mark_query(spark, sf_dir):
+    """Purchases above the last one of the first half of the time."""
+    rows = event_rows(spark, sf_dir).where("folder = 'purchase'")
+    last = rows.where(F.col("us") <= _middle(event_rows(spark, sf_dir))).agg(F.max("uid")).first()[0]
+    return above_mark(rows, last).select("folder", "uid", "size")
+
+
+def folder_counts_query(spark, sf_dir):
+    """Documents per folder; folder src2 has lost its own, and src1 holds other folders only."""
+    documents = table(spark, sf_dir, "documents").withColumnRenamed("source", "folder")
+    folders = documents.select(F.col("folder").alias("full_name"), F.upper("folder").alias("name")).distinct()
+    return folder_counts(folders.withColumn("holds_messages", F.col("full_name") != "src1"), documents.where("folder <> 'src2'"))
+
+
 def load_report_query(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     return load_report(documents.select(F.col("source").alias("folder"), F.col("n_chars").alias("size")))
@@ -355,7 +387,7 @@ def format_sizes(spark, sf_dir):
 
 
 def page_text_query(spark, sf_dir):
-    return page_text(spread_few_files(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id"), "page_id")
+    return page_text(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
 
 
 def _file(content: Column, key: Column) -> list[Column]:
@@ -369,7 +401,7 @@ def _file(content: Column, key: Column) -> list[Column]:
 
 def message_ingest(spark, sf_dir):
     """Documents written as plain messages and parsed back."""
-    documents = spread_few_files(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     mail = F.concat(
         F.lit("From: "), "source", F.lit("@example.org\r\nSubject: "), "lang",
         F.lit("\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"), "text",
@@ -383,7 +415,7 @@ def message_ingest(spark, sf_dir):
 
 def html_body(spark, sf_dir):
     """Pages written as messages of a plain and an HTML part: the fields that are indexed."""
-    pages = spread_few_files(table(spark, sf_dir, "pages"), "page_id")
+    pages = table(spark, sf_dir, "pages")
     cut = "\r\n--=_part\r\n"
     mail = F.concat(
         F.lit('Subject: page\r\nContent-Type: multipart/mixed; boundary="=_part"\r\n' + cut),
@@ -417,6 +449,9 @@ QUERIES: dict[str, Query] = {
     "search_field": _search_terms(field_clauses, occurs=("should", "must")),
     "search_boost": _search_terms(boost_clauses),
     "search_phrase": _search_terms(passage_clauses, kinds=("phrase",)),
+    "search_any_stop": _search_terms(words_clauses, stop_words=ENGLISH_STOP_WORDS),
+    "search_all_stop": _search_terms(must_clauses, occurs=("must",), stop_words=ENGLISH_STOP_WORDS),
+    "search_phrase_stop": _search_terms(passage_clauses, kinds=("phrase",), stop_words=ENGLISH_STOP_WORDS),
     "search_phrase_slop": _search_terms(pair_clauses, kinds=("phrase",)),
     "search_prefix": lambda sp, d: _search_terms(_longest("prefix", F.left("word", F.lit(4))), ("prefix",))(sp, d),
     "search_wildcard": lambda sp, d: _search_terms(_longest("wildcard", _wildcard()), ("wildcard",))(sp, d),
@@ -431,6 +466,7 @@ QUERIES: dict[str, Query] = {
     "refresh_upsert": refresh_upsert,
     "refresh_stale": refresh_stale,
     "refresh_terms": refresh_terms,
+    "refresh_compact_search": refresh_compact_search,
     "newest_version": newest_version,
     "incremental_batch": incremental_batch_query,
     "load_mark": load_mark,
@@ -438,6 +474,8 @@ QUERIES: dict[str, Query] = {
     "tombstones": tombstones,
     "load_stream": load_stream,
     "load_report": load_report_query,
+    "above_mark": above_mark_query,
+    "folder_counts": folder_counts_query,
     "format_sizes": format_sizes,
     "page_text": page_text_query,
     "message_ingest": message_ingest,
