@@ -135,7 +135,8 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for hashes in _parts(letters_of(text)):
                     grams, n = np.unique(hashes, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                    langs = pa.array([lang] * len(grams), batch.column(0).type)
+                    yield pa.RecordBatch.from_arrays([langs, pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     schema = StructType([StructField("lang", rows.schema["lang"].dataType), *StructType.fromDDL("gram bigint, n bigint").fields])
     grams = written(map_batches(sample, count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-ngrams")

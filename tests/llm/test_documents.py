@@ -318,7 +318,8 @@ def test_language_of_held_out_documents(spark):
 
 
 def test_language_of_awkward_rows(spark):
-    rows = AWKWARD + [(200 + i, t, lang, "a") for i in range(40) for t, lang in (("the cat and the hat sat", "en"), ("der Hund und die Katze", "de"))]
+    texts = (("the cat and the hat sat", "en"), ("der Hund und die Katze", "de"))
+    rows = AWKWARD + [(200 + 2 * i + k, t, lang, "a") for i in range(40) for k, (t, lang) in enumerate(texts)]
     got = language.language_report(clashing(documents(spark, rows).drop("key", "row"))).collect()
     assert len(got) == len(rows)
     by_id = {r["doc_id"]: r for r in got}
