@@ -20,7 +20,7 @@ from letterloom.operators.postings import doc_lengths, forward_index, postings,
 from letterloom.operators.refresh import apply_tombstones, classify, newest, stale, upsert
 from letterloom.operators.report import folder_counts, load_report, running_bytes
 from letterloom.plans.index import Index, compact_index, has_index, open_index, refresh_index, write_index
-from letterloom.session import new_folder, shared_folder
+from letterloom.session import new_folder, own_folder
 from letterloom.sources.messages import header_lines, ingest_messages, message_texts
 from letterloom.sources.pages import page_text
 from letterloom.streaming.load import above_mark, incremental_batch, incremental_load, load_marks, loaded
@@ -67,7 +67,7 @@ def documents_index(spark: SparkSession, sf_dir: str, stop_words=()) -> Index:
     files = documents.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     state = files.agg(F.count("*"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
     name = hashlib.md5(repr((sf_dir, tuple(state), tuple(stop_words))).encode()).hexdigest()[:12]
-    root = f"{shared_folder(spark)}/letterloom/{spark.sparkContext.applicationId}/documents-{name}"
+    root = f"{own_folder(spark)}/documents-{name}"
     if has_index(spark, root):
         return open_index(spark, root)
     return write_index(document_listing(documents), document_texts(documents), root, stop_words=stop_words)

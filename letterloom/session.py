@@ -41,9 +41,20 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where this application keeps what it writes in between."""
+    return f"{shared_folder(spark)}/letterloom/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/letterloom/{name}-{uuid.uuid4().hex}"
+    """A path below the application's folder that nothing else uses."""
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete all that this application has written in between; frames that still read it end with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
