@@ -122,11 +122,17 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """Filters of the languages in ``lang``, from at most ``sample_texts`` texts of each (null ones are no sample).
 
     The sample is the first texts of each language by a hash of key and text, so it is the same however the table
-    is partitioned; Spark keeps that many per task before it shuffles. n-grams are counted in the tasks and summed;
-    the driver gets the slots of those frequent enough, at most ``2 ** SLOT_BITS`` for each language.
+    is partitioned. Languages are counted first, and only texts whose hash lies in a share of all hashes that is four
+    times the sample's are ranked, so a language ranks a few times its sample, whatever the number of tasks.
+    n-grams are counted in the tasks and summed; the driver gets those frequent enough, at most ``1 / LEAST_SHARE``
+    for each language.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(key, text).alias("h"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labels = docs.select(F.col(lang).alias("lang")).where("lang is not null")  # reads no texts
+    sizes = written(labels.groupBy("lang").agg(F.count("*").alias("size")), "language-sizes")
+    place = F.col("h") / F.lit(2.0**64) + 0.5
+    rows = rows.join(sizes, "lang").where(place * F.col("size") <= 4 * sample_texts)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     sample = rows.withColumn("nth", nth).where(F.col("nth") <= sample_texts).select("lang", "text")
 
