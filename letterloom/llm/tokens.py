@@ -28,8 +28,8 @@ from letterloom.session import written
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 SHARD_TOKENS = 1 << 18
-# Pieces whose ids a Python worker remembers (about 50 MB) until its task ends; it forgets them all when there are more.
-KNOWN_PIECES = 200_000
+# Pieces whose ids a Python worker remembers (about 70 MB); it forgets them all when there are more.
+KNOWN_PIECES = 300_000
 # Texts that are cut into pieces at once.
 TEXTS_TOGETHER = 1024
 
@@ -174,7 +174,6 @@ def token_shards(
             keys.append(batch.column(0)[first:])
         if ids:
             yield shard()
-        coder.known.clear()  # the worker lives on, beside those of other stages
 
     return map_batches(rows.repartitionByRange(*ranges).sortWithinPartitions(*ranges, "text"), run, schema)
 
