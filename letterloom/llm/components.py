@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +37,23 @@ def components(links: DataFrame) -> DataFrame:
                 pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
         before = state
+
+
+def joined_roots(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links that join two trees, which they make one; ``root`` is changed."""
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    apart = root[left] != root[right]
+    kept = []
+    for a, b in zip(left[apart].tolist(), right[apart].tolist(), strict=True):
+        x, y = top(a), top(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append((a, b))
+    pairs = np.array(kept, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]

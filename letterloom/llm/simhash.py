@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from letterloom.llm import jaccard
 from letterloom.llm.common import map_batches
-from letterloom.llm.components import components
+from letterloom.llm.components import components, joined_roots
 from letterloom.session import written
 
 BITS = 64
@@ -158,7 +159,7 @@ def _forest(rows: np.ndarray, distance: int) -> Iterator[pa.RecordBatch]:
         there = here + shift
         close = np.bitwise_count(fps[here] ^ fps[there]) <= distance
         if close.any():
-            out.append(_joined(root, here[close], there[close]))
+            out.append(joined_roots(root, here[close], there[close]))
             while len(out[-1][0]) and (root != root[root]).any():
                 root = root[root]
         shift += 1
@@ -168,26 +169,6 @@ def _forest(rows: np.ndarray, distance: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[2][a]), pa.array(rows[2][b])], ["a", "b"])
 
 
-def _joined(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The links that join two trees, which they make one; ``root`` is changed."""
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    apart = root[left] != root[right]
-    kept = []
-    for a, b in zip(left[apart].tolist(), right[apart].tolist(), strict=True):
-        x, y = top(a), top(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    pairs = np.array(kept, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
-
-
 def grouped(docs: DataFrame, key: str, text: str, distance: int = DISTANCE) -> DataFrame:
     """``(key, digest, fp, root, component_id)`` of every row; ``root`` names the group by a fingerprint."""
     rows = written(fingerprints(docs, key, text), "simhash-rows")
@@ -214,9 +195,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: that of the least key (null last), then hash."""
-    first = F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "digest"))
-    kept = written(grouped(docs, key, text).groupBy("root").agg(first.alias("first")).select("first.key", "first.digest"), "simhash-kept")
+    """``docs`` with one row of each group of near duplicates: that of the least key (null last), then hash.
+
+    The groups are those of :mod:`jaccard` (5-word shingles, similarity of 0.8), not of the fingerprints.
+    """
+    kept = written(jaccard.grouped(docs, key, text).select("first.key", "first.digest"), "simhash-kept")
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("own_key"), F.xxhash64(docs[text]).alias("own_digest"))
     same = own["own_key"].eqNullSafe(kept["key"]) & (own["own_digest"] == kept["digest"])
     # rows that are repeated in full, or in key and text: one of them
