@@ -42,13 +42,13 @@ class PieceEncoder:
 
     The vocabulary's pre-tokenizer never joins what a single space or line end parts from the text before
     it, so a text's ids are those of its pieces (a space or line end and what follows), one after another.
-    Texts with two white-space characters in a row are encoded whole.
+    Texts with two white-space characters in a row are encoded whole. A special token's literal holds neither
+    space nor line end, so it lies within one piece.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         top = max(vocabulary.values(), default=0)
         self.bits = max(1, top.bit_length())
