@@ -1,10 +1,12 @@
 """Mixing sources to target weights: equal-token blocks dealt to sources by Sainte-Lague apportionment.
 
 A source's documents, in a seeded order, make one stream of words that is cut into blocks of equal
-size. The mix has as many blocks as all words fill; each goes to the source with the highest quotient
-of target and 2k - 1, k being the block's number in that source. The first blocks of this sequence
-make the first shard, and so on, so every shard holds the sources in the same proportions. A source
-with more quota than blocks takes all of them again.
+size. Capped sources are taken whole as often as the cap allows. The others share as many blocks as
+their targets fill; each goes to the source with the highest quotient of target and 2k - 1, k being the
+block's number in that source. The first blocks of this sequence make the first shard, and so on, so every
+shard holds the sources in the same proportions. A source with more quota than words takes all of them
+again. Targets of sources that are not capped are at most three times each other; blocks are no
+larger than a ``LEAST_BLOCKS``-th of the smallest.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from letterloom.session import written
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_AND_SPACE = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 BLOCK_WORDS = 64
+LEAST_BLOCKS = 64
 SHARDS = 16
 MOST_COPIES = 3
 SEED = 20
@@ -38,7 +41,7 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """``(source, sid, docs, words, weight, target)`` from rows of ``(source, size)``.
+    """``(source, sid, docs, words, weight, capped, target)`` from rows of ``(source, size)``.
 
     Sources in order, null last, weigh 1, 2, 3, 1, ... Targets share all words by weight, but none is more
     than three times its source; what is over goes to the others by weight. In the order of cap over weight
@@ -56,10 +59,10 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     rest = _over_all(F.sum("words")) - F.coalesce(_over_all(F.sum(F.when(F.col("capped"), F.col("cap")))), F.lit(0))
     free = _over_all(F.sum(F.when(~F.col("capped"), F.col("weight"))))
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(rest * F.col("weight") / free)
-    return table.withColumn("target", target).select("source", "sid", "docs", "words", "weight", "target")
+    return table.withColumn("target", target).select("source", "sid", "docs", "words", "weight", "capped", "target")
 
 
-def shard_quotas(targets: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS) -> DataFrame:
+def shard_quotas(targets: DataFrame, block_words: int | Column = BLOCK_WORDS, shards: int = SHARDS) -> DataFrame:
     """``(sid, shard, quota)``: integer numbers of blocks, by highest quotients over all shards up to each.
 
     The first m blocks hold, for every source, at least the seats that are sure under a divisor no smaller than the
@@ -81,6 +84,11 @@ def shard_quotas(targets: DataFrame, block_words: int = BLOCK_WORDS, shards: int
     return total.select("sid", (F.col("end") - 1).alias("shard"), (F.col("upto") - before).cast("long").alias("quota"))
 
 
+def _block(most: int) -> Column:
+    """Words of a block, over a table with one row per source that is not capped."""
+    return F.least(F.lit(most).cast("long"), F.greatest(F.floor(_over_all(F.min("target")) / LEAST_BLOCKS), F.lit(1).cast("long")))
+
+
 def _chosen(block: Column) -> Column:
     """Whether a block is among the source's ``extra`` ones: the first in the order of a seeded step."""
     step = F.when(F.pmod(F.col("blocks"), F.lit(_STEPS[0])) == 0, _STEPS[1]).otherwise(_STEPS[0])
@@ -107,17 +115,25 @@ def mixture(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     sizes = written(rows.drop("row"), "mixture-sizes")
     rows = rows if carry else sizes
     targets = written(source_targets(sizes), "mixture-sources")
-    quota = shard_quotas(targets, block_words).groupBy("sid").agg(F.sum("quota").alias("quota"))
-    sources = targets.join(quota, "sid", "left").withColumn("blocks", F.greatest(F.ceil(F.col("words") / block_words), F.lit(1)))
-    quota = F.least(F.coalesce("quota", F.lit(0)), F.col("blocks") * MOST_COPIES)
+    free = targets.where(~F.col("capped")).withColumn("block", _block(block_words))
+    quota = shard_quotas(free, F.col("block")).groupBy("sid").agg(F.sum("quota").alias("quota"))
+    sources = targets.join(quota, "sid", "left").join(free.select("sid", "block"), "sid", "left")
+    sources = sources.withColumn("block", F.coalesce("block", F.lit(block_words).cast("long")))
+    sources = sources.withColumn("blocks", F.greatest(F.ceil(F.col("words") / F.col("block")), F.lit(1)))
+    # words, as the last block of a source is seldom full
+    most = F.col("words") * MOST_COPIES
+    share = F.when(F.col("capped"), most).otherwise(F.least(F.coalesce("quota", F.lit(0)) * F.col("block"), most))
+    sources = sources.withColumn("share", share).withColumn("rounds", F.floor(F.col("share") / F.greatest("words", F.lit(1))))
+    extra = F.round((F.col("share") - F.col("rounds") * F.col("words")) / F.col("block")).cast("long")
     sources = sources.select(
         F.col("source").alias("of_source"),
         "sid",
         F.col("words").alias("source_size"),
         "target",
+        "block",
         "blocks",
-        F.floor(quota / F.col("blocks")).alias("rounds"),
-        F.pmod(quota, F.col("blocks")).alias("extra"),
+        "rounds",
+        F.least(extra, "blocks").alias("extra"),
         F.pmod(F.xxhash64("source", F.lit(SEED)), F.col("blocks")).alias("shift"),
         F.least(F.ceil(F.col("docs") / GROUP_ROWS), F.lit(MOST_GROUPS)).alias("groups"),
     )
@@ -133,8 +149,8 @@ def mixture(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     inside = Window.partitionBy("sid", "part").orderBy("h", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = placed(rows).join(starts, ["sid", "part"]).withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     end = F.col("at") + F.col("size")
-    of_blocks = F.sequence(F.floor(F.col("at") / block_words), F.floor((end - 1) / block_words))
-    words = lambda k: F.least(end, (k + 1) * block_words) - F.greatest(F.col("at"), k * block_words)
+    of_blocks = F.sequence(F.floor(F.col("at") / F.col("block")), F.floor((end - 1) / F.col("block")))
+    words = lambda k: F.least(end, (k + 1) * F.col("block")) - F.greatest(F.col("at"), k * F.col("block"))
     part = F.aggregate(of_blocks, F.lit(0).cast("long"), lambda n, k: n + F.when(_chosen(k), words(k)).otherwise(F.lit(0)))
     return laid.withColumn("part_words", F.when(F.col("size") > 0, part).otherwise(F.lit(0))).withColumn(
         "taken", F.col("rounds") * F.col("size") + F.col("part_words")
@@ -149,7 +165,7 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     rows = mixture(docs, carry=True, block_words=block_words)
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rounds") + F.when(F.col("part_words") > 0, 1).otherwise(0))))
     rows = rows.where(F.col("copy") > 0)  # sequence(1, 0) counts down
-    kept = lambda words: F.filter(words, lambda _, i: _chosen(F.floor((F.col("at") + i) / block_words)))
+    kept = lambda words: F.filter(words, lambda _, i: _chosen(F.floor((F.col("at") + i) / F.col("block"))))
     some = bind(F.regexp_extract_all("row.text", F.lit(WORD_AND_SPACE), F.lit(0)), lambda w: F.rtrim(F.array_join(kept(w), "")))
     whole = (F.col("copy") <= F.col("rounds")) | (F.col("part_words") == F.col("size"))
     out = rows.where("taken > 0").select("row", F.when(whole, F.col("row.text")).otherwise(some).alias("text"))
