@@ -75,8 +75,40 @@ SELECT query_id, rank, vec_id, score FROM (
 ) WHERE rank <= 5
 """
 
+PHRASES = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+spots AS (
+    SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM split, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m
+),
+f AS (SELECT lang, m, list_slice(w, i, i + m - 1) AS p, count(*) AS f FROM spots GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT * FROM f WHERE m >= 2),
+cuts AS (SELECT lang, m, p, f AS a, unnest(range(1, m)) AS k FROM candidates),
+scored AS (
+    SELECT c.lang, c.m, c.p, c.a, c.k, x.f AS l, y.f AS r, n, ((1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = list_slice(c.p, 1, k) JOIN f y ON y.lang = c.lang AND y.p = list_slice(c.p, k + 1, c.m)
+    JOIN sizes s ON s.lang = c.lang
+),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+-- every phrase inside a candidate that is as frequent
+parts AS (SELECT lang, m, p, f, unnest(range(2, m)) AS size FROM candidates),
+insides AS (SELECT lang, p, f, size, unnest(range(1, m - size + 2)) AS i FROM parts),
+dropped AS (SELECT DISTINCT x.lang, x.p FROM insides i JOIN candidates x ON x.lang = i.lang AND x.p = list_slice(i.p, i, i + size - 1) AND 100 * i.f >= 100 * x.f)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
+        array_to_string(p, ' ') AS phrase, a, l, r, n, score
+    FROM lowest ANTI JOIN dropped USING (lang, p)
+) WHERE rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_chat": CHAT,
     "op5_contamination": CONTAMINATION,
     "op9_top_k": TOP_K,
+    "op11_phrases": PHRASES,
 }

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from letterloom.llm.alignment import alignment_report
 from letterloom.llm.chat import chat_report
 from letterloom.llm.decontaminate import contamination
 from letterloom.llm.html_text import pages_report
 from letterloom.llm.language import language_report
 from letterloom.llm.mixture import mixture_report
+from letterloom.llm.phrases import top_phrases
 from letterloom.llm.pii import pii_report
 from letterloom.llm.secrets import secrets_report
 from letterloom.llm.simhash import near_duplicates
 from letterloom.llm.tokens import encode_documents
+from letterloom.llm.toxicity import toxicity_report
 from letterloom.llm.vectors import top_k
 
 
@@ -27,6 +30,11 @@ def _contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents, benchmark)
 
 
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity_report(documents, labels)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": _over("documents", secrets_report),
     "op2_main_text": _over("pages", pages_report),
@@ -38,4 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": _over("documents", pii_report),
     "op9_top_k": _over("embeddings", top_k),
     "op10_mixture": _over("documents", mixture_report),
+    "op11_phrases": _over("documents", top_phrases),
+    "op12_alignment": _over("documents", alignment_report),
+    "op13_toxicity": _toxicity,
 }

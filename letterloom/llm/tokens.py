@@ -28,10 +28,10 @@ from letterloom.session import written
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 SHARD_TOKENS = 1 << 18
-# Pieces whose ids a Python worker remembers (about 70 MB); it forgets them all when there are more.
-KNOWN_PIECES = 300_000
+# Pieces whose ids a Python worker remembers (about 150 MB); it forgets them all when there are more.
+KNOWN_PIECES = 700_000
 # Texts that are cut into pieces at once.
-TEXTS_TOGETHER = 1024
+TEXTS_TOGETHER = 2048
 
 # Two white-space characters side by side, or the character that pieces are parted by.
 _ODD = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]{2}|\x00"
@@ -71,7 +71,7 @@ class PieceEncoder:
         for at in range(0, len(joinable), 50_000):
             some = joinable[at : at + 50_000]
             ids = self._whole(["".join(some)])[0]
-            ends = np.cumsum([len(p.encode()) for p in some])
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in some])
             cuts = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1
             size, data, a = self.dtype(0).itemsize, ids.tobytes(), 0
             for p, b in zip(some, (cuts * size).tolist(), strict=True):
@@ -80,7 +80,7 @@ class PieceEncoder:
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text (null: none)."""
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, _ODD)
+        odd = odd_spaces(texts)
         whole = iter(self._whole(texts.filter(odd).to_pylist()))
         even = iter(self._by_pieces(texts.filter(pc.invert(odd))))
         return [next(whole if o else even) for o in odd.to_pylist()]
@@ -88,23 +88,45 @@ class PieceEncoder:
     def _by_pieces(self, texts: pa.Array) -> list[np.ndarray]:
         if not len(texts):
             return []
-        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n")
-        lists = pc.split_pattern(marked, "\x00")
-        coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        counts, distinct, which = distinct_pieces(texts)
         if len(self.known) > KNOWN_PIECES:
             self.known.clear()
-        self._learn([p for p in distinct if p not in self.known])
-        codes = [self.known[p] for p in distinct]
+        known = self.known
+        self._learn([p for p in distinct if p not in known])
+        codes = [known[p] for p in distinct]
         pool = np.frombuffer(b"".join(codes), self.dtype)
         sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // self.dtype(0).itemsize
-        starts = np.cumsum(sizes) - sizes
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[which]
-        ends = np.cumsum(lengths)
-        ids = pool[np.repeat(starts[which] - ends + lengths, lengths) + np.arange(lengths.sum())]
-        last = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)) - 1
-        return np.split(ids, ends[last[:-1]])
+        ids, ends = gathered(pool, sizes, which)
+        return np.split(ids, ends[np.cumsum(counts)[:-1]])
+
+
+def odd_spaces(texts: pa.Array) -> pa.Array:
+    """Whether a text has two white-space characters in a row, or the character that pieces are parted by."""
+    return pc.match_substring_regex(texts, _ODD)
+
+
+def distinct_pieces(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """How many pieces each text has, the distinct pieces, and which of them follow one another in all texts.
+
+    A piece ends before each space and line end; the texts must not be odd. An empty text has none.
+    """
+    marked = pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n")
+    lists = pc.split_pattern(marked, "\x00")
+    flat = lists.flatten()
+    some = pc.not_equal(flat, "")
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    # nothing stands before a first space or line end
+    counts -= ~some.to_numpy(zero_copy_only=False)[np.cumsum(counts) - counts]
+    coded = flat.filter(some).dictionary_encode()
+    return counts, coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
+
+
+def gathered(pool: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``pool`` (of the given sizes) in the order ``which``, and where each ends, from a leading 0 on."""
+    starts = np.cumsum(sizes) - sizes
+    lengths = sizes[which]
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return pool[np.repeat(starts[which] - ends[:-1], lengths) + np.arange(ends[-1])], ends
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
