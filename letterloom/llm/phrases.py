@@ -35,6 +35,8 @@ UNLABELLED = "und"
 # Words of up to so many times the least count are opened first; then so many times more, while a language has too few phrases.
 FIRST = 64
 WIDEN = 64
+# Bytes of texts that are numbered together: a row of the numbered texts, whose passes take some ten times its bytes.
+TOGETHER = 5 << 20
 # Bits of a bitmap: 2 MB. Fuller bitmaps let more phrases through to the exact counts.
 FILTER_BITS = 24
 
@@ -141,23 +143,29 @@ def encoded(docs: DataFrame, text: str = "text", lang: str = "lang", seed: int =
     and all texts as ``ids`` (32-bit numbers of ``words`` from 1, 0 where a piece ends)."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNLABELLED)).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
 
+    def numbered_row(lang: str, words: list[str], ids: np.ndarray) -> pa.RecordBatch:
+        own = lang.encode() + b"\0"
+        codes = np.fromiter((xxhash.xxh64_intdigest(own + w.encode(), seed) or 1 for w in words), np.uint64, len(words))
+        counts = np.bincount(ids, minlength=len(words) + 1)[1:]
+        return pa.RecordBatch.from_pydict(
+            {
+                "lang": [lang],
+                "n": pa.array([int(counts.sum())], pa.int64()),
+                "words": pa.array([words], pa.list_(pa.string())),
+                "codes": _one_list(codes.view(np.int64)),
+                "counts": _one_list(counts),
+                "ids": [ids.tobytes()],
+            }
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang in pc.unique(batch.column("lang")).to_pylist():
-                words, ids = _numbered(batch.column("text").filter(pc.equal(batch.column("lang"), lang)))
-                own = lang.encode() + b"\0"
-                codes = np.fromiter((xxhash.xxh64_intdigest(own + w.encode(), seed) or 1 for w in words), np.uint64, len(words))
-                counts = np.bincount(ids, minlength=len(words) + 1)[1:]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "lang": [lang],
-                        "n": pa.array([int(counts.sum())], pa.int64()),
-                        "words": pa.array([words], pa.list_(pa.string())),
-                        "codes": _one_list(codes.view(np.int64)),
-                        "counts": _one_list(counts),
-                        "ids": [ids.tobytes()],
-                    }
-                )
+                texts = batch.column("text").filter(pc.equal(batch.column("lang"), lang))
+                group = np.cumsum(pc.binary_length(texts).to_numpy()) // TOGETHER
+                cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+                for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                    yield numbered_row(lang, *_numbered(texts[start:stop]))
 
     return map_batches(rows, run, _CORPUS)
 
@@ -183,7 +191,7 @@ class Chunk:
         numbers = np.frombuffer(ids, np.int32)
         numbers = np.where(known[numbers] != 0, numbers, 0)
         # a break at both ends and room for the longest phrase
-        return cls(np.concatenate([[0], numbers, np.zeros(LONGEST, np.int64)]).astype(np.int64), known)
+        return cls(np.concatenate([[0], numbers, np.zeros(LONGEST, np.int32)]).astype(np.int32), known)
 
     def starts(self, m: int, first: np.ndarray | None = None) -> np.ndarray:
         """Where ``m`` words follow one another, the first of them chosen by ``first`` (by number)."""
@@ -197,7 +205,7 @@ class Chunk:
 
     def distinct(self, at: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
         """One place of each distinct phrase at ``at``, and which of them stands at each."""
-        which = self.ids[at]
+        which = self.ids[at].astype(np.int64)
         first = np.arange(len(at))
         for i in range(1, m):
             _, first, which = np.unique(which * len(self.codes) + self.ids[at + i], return_index=True, return_inverse=True)
