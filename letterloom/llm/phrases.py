@@ -294,13 +294,17 @@ def _frequent_words(corpus: DataFrame, least: int) -> tuple[Bitmap, DataFrame] |
     shared = corpus.sparkSession.sparkContext.broadcast(seen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: dict[str, set[str]] = {}  # a task tells a language's word once
         for batch in batches:
             for row in range(batch.num_rows):
-                codes = batch.column("codes")[row].values
+                lang, codes = batch.column("lang")[row].as_py(), batch.column("codes")[row].values
                 keep = pa.array(shared.value.has([codes.to_numpy().view(np.uint64)]))
-                words = batch.column("words")[row].values.filter(keep)
-                langs = pa.array([batch.column("lang")[row].as_py()] * len(words), pa.string())
-                yield pa.RecordBatch.from_arrays([langs, words, codes.filter(keep)], ["lang", "word", "w1"])
+                words, before = batch.column("words")[row].values.filter(keep), told.setdefault(lang, set())
+                own = words.to_numpy(zero_copy_only=False).tolist()
+                fresh = pa.array([w not in before for w in own], pa.bool_())
+                before.update(own)
+                words = words.filter(fresh)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words, codes.filter(keep).filter(fresh)], ["lang", "word", "w1"])
 
     named = map_batches(corpus.select("lang", "words", "codes"), run, "lang string, word string, w1 bigint").distinct()
     words = written(named.join(often, "w1").select("lang", "word", "w1", "f"), "phrases-words")
