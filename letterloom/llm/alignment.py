@@ -37,6 +37,8 @@ VOCABULARY_A = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY_B = public_tokenizers.path("piece_bpe_32k.model")
 # Documents of a block, numbered from 0: their numbers take two bytes.
 BLOCK_DOCS = 4096
+# Texts that are aligned at once; what they link is merged into the block's bitmaps.
+TEXTS_TOGETHER = 1024
 # Pieces whose alignment a Python worker remembers; it forgets them all when there are more.
 KNOWN_PIECES = 300_000
 # Pieces that are encoded as one string.
@@ -67,9 +69,9 @@ class PieceAligner:
         self.groups: list[str] = []  # of each known piece, as text
         self.n_a: list[int] = []
         self.n_b: list[int] = []
-        self.pairs: list[np.ndarray] = []  # a << 32 | b of each link
+        self.pairs: list[bytes] = []  # a << 32 | b of each link
 
-    def aligned(self, pieces: list[str]) -> list[tuple[int, int, str, np.ndarray] | None]:
+    def aligned(self, pieces: list[str]) -> list[tuple[int, int, str, bytes] | None]:
         """Tokens of A, tokens of B, groups as text and pairs of each piece; None where the tokens do not read back as the piece.
 
         Joined, the pieces must part again at their ends, as those that start with a space or line end and hold another character do;
@@ -93,11 +95,12 @@ class PieceAligner:
         for i, j in zip(stop_a.tolist(), stop_b.tolist(), strict=True):
             groups.append(f"{','.join(text_a[x:i])}|{','.join(text_b[y:j])}")
             x, y = i, j
-        out: list[tuple[int, int, str, np.ndarray] | None] = []
+        out: list[tuple[int, int, str, bytes] | None] = []
+        data = pairs.tobytes()
         first, x, y = 0, 0, 0
         counts_a, counts_b = stop_a[stops - 1].tolist(), stop_b[stops - 1].tolist()
         for stop, i, j in zip(stops.tolist(), counts_a, counts_b, strict=True):
-            out.append((i - x, j - y, ";".join(groups[first:stop]), pairs[first:stop]))
+            out.append((i - x, j - y, ";".join(groups[first:stop]), data[8 * first : 8 * stop]))
             first, x, y = stop, i, j
         return out
 
@@ -131,8 +134,8 @@ class PieceAligner:
             found = None if _SPACE in text else self.aligned([" " + text])[0]
             if found:
                 n_a[at], n_b[at], groups[at], own = found
-                docs.append(np.full(len(own), at))
-                pairs.append(own)
+                pairs.append(np.frombuffer(own, np.int64))
+                docs.append(np.full(len(pairs[-1]), at))
         places = np.flatnonzero(~apart & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0))
         if not len(places):
             return n_a, n_b, groups, *(np.concatenate([np.empty(0, np.int64), *x]) for x in (docs, pairs))
@@ -145,8 +148,8 @@ class PieceAligner:
         known = numbers.tolist()
         texts_of = [self.groups[k] for k in known]
         own = [self.pairs[k] for k in known]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        linked, _ = gathered(np.concatenate(own), sizes, which)
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 8
+        linked, _ = gathered(np.frombuffer(b"".join(own), np.int64), sizes, which)
         pairs.append(linked)
         docs.append(np.repeat(doc, sizes[which]))
         for total, each in ((n_a, self.n_a), (n_b, self.n_b)):
@@ -178,18 +181,27 @@ def _aligner(path_a: str, path_b: str) -> PieceAligner:
 # Postings
 
 
-def _planes(docs: np.ndarray, pairs: np.ndarray, n_docs: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
-    """Of one block: plane, pairs, popcounts and compressed bitmaps; plane 0 holds the documents, plane ``1 + j`` bit j of
-    how often more than once the pair stands in them."""
+def _held(docs: np.ndarray, pairs: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pair and document, and how often the pair stands in it."""
     distinct, number = np.unique(pairs, return_inverse=True)
     both, times = np.unique(number * n_docs + docs, return_counts=True)
-    number, doc, more = both // n_docs, (both % n_docs).astype(np.uint16), times - 1
+    return distinct[both // n_docs], (both % n_docs).astype(np.uint16), times.astype(np.int32)
+
+
+def _planes(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_docs: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
+    """Of one block: plane, pairs, popcounts and compressed bitmaps; plane 0 holds the documents, plane ``1 + j`` bit j of
+    how often more than once the pair stands in them. What parts of the block hold is merged: their documents ascend."""
+    pairs, docs, times = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(pairs, kind="stable")
+    pairs, docs, more = pairs[order], docs[order], times[order] - 1
     for plane in range(1 + int(more.max(initial=0)).bit_length()):
         keep = more >> (plane - 1) & 1 == 1 if plane else np.ones(len(more), bool)
-        own, docs_of = number[keep], doc[keep]
-        first = np.flatnonzero(np.diff(own, prepend=-1))
+        own, docs_of = pairs[keep], docs[keep]
+        if not len(own):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         counts = np.diff(np.append(first, len(own)))
-        yield plane, distinct[own[first]], counts, _bitmaps(docs_of, first, counts, n_docs)
+        yield plane, own[first], counts, _bitmaps(docs_of, first, counts, n_docs)
 
 
 def _bitmaps(docs: np.ndarray, first: np.ndarray, counts: np.ndarray, n_docs: int) -> pa.Array:
@@ -235,27 +247,31 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", path_a: s
         aligner, block = _aligner(path_a, path_b), TaskContext.get().partitionId() << 32
         for batch in (b.slice(at, BLOCK_DOCS) for b in batches for at in range(0, b.num_rows, BLOCK_DOCS)):
             size = batch.num_rows
-            n_a, n_b, groups, docs, pairs = aligner.align(batch.column("text"))
-            shas = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-            named = {
-                "at": pa.array(np.arange(size, dtype=np.int32)),
-                "key": batch.column("key"),
-                "n_a": pa.array(n_a),
-                "n_b": pa.array(n_b),
-                "n_groups": pa.array(np.bincount(docs, minlength=size)),  # every group ends with one link
-                "groups_sha256": pa.array(shas, pa.string()),
-            }
-            yield _rows(block, size, named, batch.schema.field("key").type)
-            if len(pairs):
-                for plane, ids, counts, bitmaps in _planes(docs, pairs, size):
-                    posted = {
-                        "a": pa.array((ids >> 32).astype(np.int32)),
-                        "b": pa.array((ids & 0xFFFFFFFF).astype(np.int32)),
-                        "plane": pa.array(np.full(len(ids), plane, np.int32)),
-                        "n": pa.array(counts.astype(np.int32)),
-                        "docs": bitmaps,
-                    }
-                    yield _rows(block, len(ids), posted, batch.schema.field("key").type)
+            held = []
+            for start in range(0, size, TEXTS_TOGETHER):
+                part = batch.slice(start, TEXTS_TOGETHER)
+                n_a, n_b, groups, docs, pairs = aligner.align(part.column("text"))
+                shas = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+                named = {
+                    "at": pa.array(np.arange(start, start + part.num_rows, dtype=np.int32)),
+                    "key": part.column("key"),
+                    "n_a": pa.array(n_a),
+                    "n_b": pa.array(n_b),
+                    "n_groups": pa.array(np.bincount(docs, minlength=part.num_rows)),  # every group ends with one link
+                    "groups_sha256": pa.array(shas, pa.string()),
+                }
+                yield _rows(block, part.num_rows, named, part.schema.field("key").type)
+                if len(pairs):
+                    held.append(_held(docs + start, pairs, size))
+            for plane, ids, counts, bitmaps in _planes(held, size) if held else ():
+                posted = {
+                    "a": pa.array((ids >> 32).astype(np.int32)),
+                    "b": pa.array((ids & 0xFFFFFFFF).astype(np.int32)),
+                    "plane": pa.array(np.full(len(ids), plane, np.int32)),
+                    "n": pa.array(counts.astype(np.int32)),
+                    "docs": bitmaps,
+                }
+                yield _rows(block, len(ids), posted, batch.schema.field("key").type)
             block += 1
 
     return map_batches(rows, run, schema)

@@ -126,8 +126,9 @@ def test_pieces_are_forgotten_and_blocks_cut(spark, monkeypatch):
             assert sorted(pairs[docs == i].tolist()) == sorted(a[-1] << 32 | b[-1] for a, b in own)
 
 
-def test_pair_counts_from_planes(spark):
-    """Dense and sparse bitmaps, and words up to nine times in a text."""
+def test_pair_counts_from_planes(spark, monkeypatch):
+    """Dense and sparse bitmaps, words up to nine times in a text, and blocks of several parts."""
+    monkeypatch.setattr(alignment, "TEXTS_TOGETHER", 70)
     rows = [(i, " ".join(["the"] * (i % 10) + ["rare"] * (i % 97 == 0) + [f"n{i}"]), None, None) for i in range(600)]
     df = documents(spark, rows).coalesce(1)
     links, held = Counter(), Counter()
