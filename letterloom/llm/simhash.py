@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from letterloom.llm import jaccard
 from letterloom.llm.common import map_batches
 from letterloom.llm.components import components, joined_roots
 from letterloom.session import written
@@ -197,9 +196,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the least key (null last), then hash.
 
-    The groups are those of :mod:`jaccard` (5-word shingles, similarity of 0.8), not of the fingerprints.
+    Texts without words (null, empty, blank) are one group. Rows repeated in key and text are one row; all columns are kept, whatever
+    their names; an empty table gives no rows.
     """
-    kept = written(jaccard.grouped(docs, key, text).select("first.key", "first.digest"), "simhash-kept")
+    first = F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "digest"))
+    kept = written(grouped(docs, key, text).groupBy("root").agg(first.alias("first")).select("first.key", "first.digest"), "simhash-kept")
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("own_key"), F.xxhash64(docs[text]).alias("own_digest"))
     same = own["own_key"].eqNullSafe(kept["key"]) & (own["own_digest"] == kept["digest"])
     # rows that are repeated in full, or in key and text: one of them

@@ -388,43 +388,27 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
 # --- near duplicates of the pipeline ---------------------------------------------------------
 
 
-def plain_jaccard_groups(rows, bound=0.8):
-    sets = []
-    for _, text in rows:
-        words = (text or "").encode().lower().split()
-        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
-    root = list(range(len(rows)))
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, j in combinations(range(len(rows)), 2):
-        if sets[i] == sets[j] or len(sets[i] & sets[j]) >= bound * len(sets[i] | sets[j]):
-            root[max(top(i), top(j))] = min(top(i), top(j))
-    groups = defaultdict(list)
-    for i, (key, _) in enumerate(rows):
-        groups[top(i)].append(key)
-    return sorted(min(g) for g in groups.values())
-
-
-@pytest.mark.parametrize("chunk", [8, 1024])
-def test_one_of_each_reaches_a_similarity_of_four_fifths(spark, monkeypatch, chunk):
-    from letterloom.llm import jaccard
-
-    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+def test_one_of_each_keeps_one_row_of_every_linked_group(spark):
     rng = np.random.default_rng(9)
-    rows = [(i, r["text"]) for i, r in enumerate(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400).collect())]
-    base = [f"w{i}" for i in range(200)]
-    for i in range(120):  # one cloud of copies around the bound
+    rows = [(i, r["text"]) for i, r in enumerate(sample(spark).select("text").collect())]
+    base = [f"w{i}" for i in range(400)]
+    for i in range(60):  # one cloud of copies around the distance
         words = list(base)
-        for at in rng.choice(200, i % 8, replace=False):
+        for at in rng.choice(400, i % 4, replace=False):
             words[at] = f"x{i}"
         rows.append((5000 + i, " ".join(words)))
-    rows += [(6000, " ".join(base[:160])), (6001, " ".join(base[40:])), (7000, "a b c"), (7001, "A  b c"), (7002, "a b d")]
+    rows += [(7000, "a b c"), (7001, "A  b c"), (7002, "a b d"), (7003, None), (7004, " ")]
     docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
-    got = sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect())
-    assert got == plain_jaccard_groups(rows)
-    old = {c for _, _, c in plain_components(rows)}
-    assert len(got) < len(old)  # three bits of 64 leave some of them
+    got = sorted(r["doc_id"] for r in simhash.one_of_each(clashing(docs)).collect())
+    assert got == sorted({c for _, _, c in plain_components(rows)})
+    assert sum(i >= 5000 for i in got) < 40
+
+
+def test_one_of_each_takes_awkward_rows(spark):
+    kept = simhash.one_of_each(clashing(documents(spark, AWKWARD)))
+    assert kept.columns == clashing(documents(spark, AWKWARD)).columns
+    found = sorted((r["doc_id"], r["text"][:20] if r["text"] else "") for r in kept.collect())
+    # one text without words, one of the three equal ones (the row without a key gives way), and the others
+    assert [f for f in found if f[0] != 9] == [(1, ""), (4, "the same words in a "), (6, "short"), (7, "1234567890 %%% $$$"), (8, "ÄÖÜ straße ſecret K ")]
+    assert sum(f[0] == 9 for f in found) == 2
+    assert simhash.one_of_each(documents(spark)).collect() == []
