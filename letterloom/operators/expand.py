@@ -1,19 +1,84 @@
 """Dictionary terms that a pattern, a range or a misspelt word stands for.
 
-A batch of patterns meets the dictionary through equality keys, never as every pattern against
-every term: patterns through the first letters they fix, misspelt words through pieces that must
-survive when only ``d`` letters differ.
+A batch of patterns meets the dictionary through its layouts (:mod:`dictionary`), never as every pattern against every
+term: prefixes and ranges read the parts that lie between their ends, wildcards and regular expressions the terms that hold their
+rarest grams, misspelt words the terms that share a spelling key. Only a pattern that fixes no gram is held against all terms of
+its field.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from letterloom.functions import patterns as reading
+from letterloom.operators.dictionary import MAX_EDITS, Dictionary, grams_of, on_shelves, shelf_of, spellings_of
+from letterloom.session import written
+
+# the reader of patterns travels with the task, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(reading)
+
 PATTERN_KINDS = ("prefix", "wildcard", "regexp", "range")
-ANCHOR_LETTERS = 3
-ANCHOR_SHARDS = 16
-MAX_EDITS = 2
+EXPANDED_KINDS = (*PATTERN_KINDS, "fuzzy")
+# Grams of a pattern that are looked up: the rarest.
+GRAMS_READ = 2
+# Follows every word that starts with what stands before it.
+_LAST_SIGN = "\U0010ffff"
+
+
+def with_reasons(clauses: DataFrame) -> DataFrame:
+    """``clauses`` with ``reason`` (null: the clause is taken) and ``runs``, the literal runs of a regular expression."""
+    kept = clauses.columns
+    # only expressions go to Python, each once
+    asked = clauses.where("kind = 'regexp' and term is not null").select(F.col("term").alias("asked")).distinct()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [reading.read_pattern(p) for p in batch.column(0).to_pylist()]
+            columns = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["asked", "wrong", "runs"])
+
+    known = asked.mapInArrow(read, "asked string, wrong string, runs array<string>")
+    rows = clauses.join(known, (F.col("kind") == "regexp") & (F.col("term") == F.col("asked")), "left")
+    edits = F.format_string(f"%s edits, not 0 to {MAX_EDITS}", "slop")
+    reason = (
+        F.when(~F.coalesce(F.col("kind").isin("term", "phrase", *EXPANDED_KINDS), F.lit(False)), F.lit("unknown kind"))
+        .when(F.col("term").isNull() & (F.col("kind") != "range"), F.lit("no term"))
+        .when((F.col("kind") == "fuzzy") & ~F.coalesce(F.col("slop").between(0, MAX_EDITS), F.lit(False)), edits)
+        .otherwise(F.col("wrong"))
+    )
+    return rows.select(*kept, reason.alias("reason"), "runs")
+
+
+def expand(patterns: DataFrame, dictionary: Dictionary, kinds=EXPANDED_KINDS) -> DataFrame:
+    """``pattern, field, term, df``: the terms of each of the written ``patterns (pattern, field, kind, term, upper, slop, runs)``."""
+    found = []
+    if {"prefix", "range"} & set(kinds):
+        found.append(_between(patterns.where("kind in ('prefix', 'range')"), dictionary))
+    if {"wildcard", "regexp"} & set(kinds):
+        found += _by_grams(patterns.where("kind in ('wildcard', 'regexp')"), dictionary)
+    if "fuzzy" in kinds:
+        found.append(_misspelt(patterns.where("kind = 'fuzzy'"), dictionary))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _between(patterns: DataFrame, dictionary: Dictionary) -> DataFrame:
+    """Prefixes and ranges: ranges include both ends, a null end is open."""
+    prefix = F.col("kind") == "prefix"
+    low = F.coalesce(F.lower("term"), F.lit(""))
+    high = F.coalesce(F.when(prefix, F.concat(low, F.lit(_LAST_SIGN))).otherwise(F.lower("upper")), F.lit(_LAST_SIGN))
+    spans = patterns.select("pattern", "field", low.alias("first"), high.alias("last"))
+    # a row for each part that a pattern reaches into
+    reached = spans.join(dictionary.fences(), "field").where("high >= first and low <= last").select("pattern", "field", "part", "first", "last")
+    reached = written(reached, "reached-parts")
+    parts = reached.agg(F.collect_set("part")).first()[0]  # at most MAX_PARTS numbers
+    words = dictionary.words().where(F.col("part").isin(parts))
+    return reached.join(words, ["field", "part"]).where("term >= first and term <= last").select("pattern", "field", "term", "df")
 
 
 def wildcard_regex(pattern: Column) -> Column:
@@ -22,117 +87,39 @@ def wildcard_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
 
 
-def fixed_start(kind: Column, term: Column, upper: Column) -> Column:
-    """Letters that every matching term starts with (possibly none)."""
-    literal = F.regexp_extract(term, r"^[\p{L}\p{N}]*", 0)
-    after = F.substring(term, F.length(literal) + 1, 1)
-    # in a regular expression a quantifier takes back the letter before it, | takes back all
-    safe = (
-        F.when(term.contains("|"), F.lit(""))
-        .when(after.isin("*", "?", "{"), F.substring(literal, F.lit(1), F.length(literal) - 1))
-        .otherwise(literal)
-    )
-    same = F.when(F.substring(term, 1, 1) == F.substring(upper, 1, 1), F.substring(term, 1, 1))
-    start = F.when(kind == "prefix", term).when(kind == "wildcard", literal).when(kind == "regexp", safe).otherwise(same)
-    return F.substring(F.coalesce(start, F.lit("")), 1, ANCHOR_LETTERS)
-
-
-def _matches(kind: Column, pattern: Column, upper: Column, term: Column) -> Column:
-    above = pattern.isNull() | (term >= pattern)
-    below = upper.isNull() | (term <= upper)
-    return (
-        F.when(kind == "prefix", F.startswith(term, pattern))
-        .when(kind == "range", above & below)
-        .otherwise(F.rlike(term, pattern))
-    )
-
-
-def expand_patterns(clauses: DataFrame, terms: DataFrame) -> DataFrame:
-    """``clauses`` of the pattern kinds with ``term`` replaced by each matching term.
-
-    Ranges include both ends; a null end is open.
-    """
-    pattern = (
-        F.when(F.col("kind") == "wildcard", wildcard_regex(F.lower("term")))
-        .when(F.col("kind") == "regexp", F.concat(F.lit("^(?:"), F.col("term"), F.lit(")$")))
-        .otherwise(F.lower("term"))
-    )
-    wanted = (
-        clauses.where(F.col("kind").isin(*PATTERN_KINDS))
-        .withColumn("anchor", fixed_start(F.col("kind"), _anchor_source(), F.lower("upper")))
-        .withColumn("pattern", pattern)
-        .withColumn("last", F.lower("upper"))
-        .drop("term")
-        # the empty anchor, or a common one, would be one hot key: it is spread by term
-        .withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(ANCHOR_SHARDS - 1))))
-    )
-    letters = F.least(F.lit(ANCHOR_LETTERS), F.length("term"))
-    keyed = (
-        terms.withColumn("letters", F.explode(F.sequence(F.lit(0), letters)))
-        .withColumn("anchor", F.substring(F.col("term"), F.lit(1), F.col("letters")))
-        .withColumn("spread", F.pmod(F.xxhash64("term"), F.lit(ANCHOR_SHARDS)).cast("int"))
-        .drop("letters")
-    )
-    found = wanted.join(keyed, ["field", "anchor", "spread"])
-    hit = _matches(F.col("kind"), F.col("pattern"), F.col("last"), F.col("term"))
-    return found.where(hit).drop("anchor", "spread", "pattern", "last")
-
-
-def _anchor_source() -> Column:
-    return F.when(F.col("kind") == "regexp", F.col("term")).otherwise(F.lower("term"))
-
-
-def _piece_slots() -> list[tuple[int, int, int, int]]:
-    """(edits, length difference, piece, shift) under which a piece can survive.
-
-    Cut the wanted word into edits + 1 pieces: with at most that many edits one piece is whole.
-    The edits left of it (at least |shift|) and right of it (at least |difference - shift|)
-    must not exceed the allowed number.
-    """
-    return [
-        (d, diff, piece, shift)
-        for d in range(MAX_EDITS + 1)
-        for diff in range(-d, d + 1)
-        for piece in range(d + 1)
-        for shift in range(-d, d + 1)
-        if abs(shift) + abs(diff - shift) <= d
-    ]
-
-
-def expand_fuzzy(clauses: DataFrame, terms: DataFrame) -> DataFrame:
-    """``fuzzy`` clauses with ``term`` replaced by each term within ``slop`` edits; more than 2 are an error."""
-    too_far = F.raise_error(F.format_string(f"fuzzy clause %s of query %s allows %s edits, more than {MAX_EDITS}", "clause_id", "query_id", "slop"))
-    words = (
-        clauses.where(F.col("kind") == "fuzzy")
-        .withColumn("slop", F.when(F.col("slop") <= MAX_EDITS, F.col("slop")).otherwise(too_far.cast("int")))
-        .withColumn("word", F.lower("term"))
-        .withColumn("word_len", F.length("word"))
-        .drop("term")
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("slop"))))
-        .withColumn("text", _piece(F.col("word"), F.col("word_len"), F.col("slop"), F.col("piece"), F.lit(0)))
-    )
-    slots = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("djps", slot)]) for slot in _piece_slots()])
-    length = F.length("term")
-    size = length - F.col("slot.j")
-    begin = F.floor(F.col("slot.p") * size / (F.col("slot.d") + 1)) + F.col("slot.s")
-    keyed = (
-        terms.withColumn("slot", F.explode(slots))
-        .withColumn("word_len", size)
-        .where((F.col("word_len") > 0) & (begin >= 0))
-        .withColumn("text", _piece(F.col("term"), F.col("word_len"), F.col("slot.d"), F.col("slot.p"), F.col("slot.s")))
-        .withColumn("slop", F.col("slot.d"))
-        .withColumn("piece", F.col("slot.p"))
-        .drop("slot")
-    )
-    near = words.join(keyed, ["field", "slop", "word_len", "piece", "text"])
+def _by_grams(patterns: DataFrame, dictionary: Dictionary) -> list[DataFrame]:
+    """Wildcards and regular expressions: terms that hold their rarest grams are verified."""
+    wild = F.col("kind") == "wildcard"
+    marked = F.concat(F.lit("^"), F.lower("term"), F.lit("$"))
+    regex = F.when(wild, wildcard_regex(F.lower("term"))).otherwise(F.concat(F.lit("^(?:"), F.col("term"), F.lit(")$")))
+    runs = F.when(wild, F.split(marked, r"[*?]+")).otherwise(F.coalesce("runs", F.array().cast("array<string>")))
+    grams = F.array_distinct(F.flatten(F.transform(runs, grams_of)))
+    asked = written(patterns.select("pattern", "field", regex.alias("regex"), grams.alias("grams")), "patterns-read")
+    wanted = asked.select("pattern", "field", F.explode("grams").alias("gram")).join(dictionary.gram_counts(), ["field", "gram"], "left")
+    # a gram that no term holds (n is null) ends its pattern
+    rarest = F.row_number().over(Window.partitionBy("pattern").orderBy("n", "gram"))
+    wanted = wanted.withColumn("nth", rarest).where(F.col("nth") <= GRAMS_READ).withColumn("shelf", shelf_of(F.col("gram")))
+    wanted = written(wanted.select("pattern", "field", "gram", "n", "shelf"), "grams-wanted")
+    needed = wanted.groupBy("pattern").agg(F.count("*").alias("needed"), F.min(F.col("n").isNotNull()).alias("known")).where("known")
+    held = wanted.select("pattern", "field", "gram", "shelf").join(on_shelves(dictionary.grams(), wanted), ["shelf", "gram", "field"])
+    held = held.groupBy("pattern", "field", "term", "df").agg(F.count("*").alias("held"))
+    likely = held.join(needed, "pattern").where("held = needed").join(asked.select("pattern", "regex"), "pattern")
+    found = [likely.where(F.rlike("term", F.col("regex"))).select("pattern", "field", "term", "df")]
+    free = asked.where(F.size("grams") == 0)
+    if not free.isEmpty():
+        every = free.join(dictionary.words(), "field").where(F.rlike("term", F.col("regex")))
+        found.append(every.select("pattern", "field", "term", "df"))
+    return found
+
+
+def _misspelt(patterns: DataFrame, dictionary: Dictionary) -> DataFrame:
+    """Terms within ``slop`` edits of a word, by the spelling keys that both have."""
+    word = F.lower("term")
+    keys = patterns.select("pattern", "field", "slop", word.alias("word"), F.inline(spellings_of(word))).where("lost <= slop")
+    keys = written(keys.withColumn("shelf", shelf_of(F.col("key"))).drop("lost"), "spellings-wanted")
+    shelved = on_shelves(dictionary.spellings(), keys)
+    near = keys.join(shelved, ["shelf", "key", "field"]).where("lost <= slop and abs(length(term) - length(word)) <= slop")
     # with a threshold the distance is -1 as soon as it is known to be larger
     near = near.where(F.levenshtein("term", "word", MAX_EDITS).between(0, F.col("slop")))
-    # several pieces may survive in one term
-    return near.drop("piece", "text", "word", "word_len").distinct()
-
-
-def _piece(text: Column, word_len: Column, edits: Column, piece: Column, shift: Column) -> Column:
-    """Piece number ``piece`` of a word of ``word_len`` letters, read ``shift`` letters further on."""
-    begin = F.floor(piece * word_len / (edits + 1))
-    end = F.floor((piece + 1) * word_len / (edits + 1))
-    return F.substring(text, (begin + shift + 1).cast("int"), (end - begin).cast("int"))
+    # several keys may lead to one term
+    return near.select("pattern", "field", "term", "df").distinct()

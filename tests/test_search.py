@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from letterloom.operators import search as s
-from letterloom.operators.expand import expand_fuzzy, expand_patterns
+from letterloom.operators.dictionary import Dictionary
+from letterloom.operators.expand import expand as expand_in
+from letterloom.operators.expand import with_reasons
 from letterloom.plans.index import refresh_index, write_index
 
 VOCABULARY = ["the", "then", "than", "tha", "on", "no", "noon", "night", "nigth", "knight", "élan", "elan", "a", "ab", "abc", "abcd", "cab", "12"]
@@ -153,11 +155,17 @@ def test_patterns(spark, index):
     close(s.search(index, clauses(spark, rows), kinds=("prefix", "wildcard", "regexp", "range"), occurs=("should",)), brute(rows, 25))
 
 
+def expanded(spark, index, rows):
+    """The terms of each clause; its query's number names the pattern."""
+    patterns = with_reasons(clauses(spark, rows)).withColumn("pattern", F.col("query_id"))
+    return expand_in(patterns, Dictionary(index)).select(F.col("pattern").alias("query_id"), "term")
+
+
 def test_fuzzy_expansion_is_exact(spark, index):
     """Every pair of vocabulary words and all short words, at each distance."""
     words = sorted({*VOCABULARY, "rare", "word", "x", "te", "hen", "nightly", "abdc", "bcda", "knigh", "eight"})
     rows = [one("fuzzy", w, slop=d, query=i * 3 + d) for i, w in enumerate(words) for d in (0, 1, 2)]
-    found = expand_fuzzy(clauses(spark, rows), index.terms()).select("query_id", "term").collect()
+    found = expanded(spark, index, rows).collect()
     got = [(r.query_id, r.term) for r in found]
     assert len(got) == len(set(got))
     assert set(got) == {(r[0], w) for r in rows for w in expand("fuzzy", r[4], None, r[6])}
@@ -165,16 +173,14 @@ def test_fuzzy_expansion_is_exact(spark, index):
 
 def test_pattern_expansion_has_no_repeats(spark, index):
     rows = [one("prefix", "ab"), one("wildcard", "*b*", query=2)]
-    got = [(r.query_id, r.term) for r in expand_patterns(clauses(spark, rows), index.terms()).collect()]
+    got = [(r.query_id, r.term) for r in expanded(spark, index, rows).collect()]
     assert sorted(got) == sorted((r[0], w) for r in rows for w in expand(r[3], r[4], None, 0))
 
 
 def test_phrases(spark, index):
     phrases = ["the then", "on no", "on on", "on on no", "rare word", "rare word on on no", "no such phrase", "a", "the a the", "night knight night", "on on on"]
     rows = [one("phrase", p, slop=n, query=q) for q, (p, n) in enumerate(itertools.product(phrases, (0, 1, 2, 3)))]
-    exact = [r for r in rows if len(set(r[4].split())) == len(r[4].split()) or r[6] == 0]
-    close(s.search(index, clauses(spark, exact), kinds=("phrase",), occurs=("should",)), brute(exact, 25))
-    # where a phrase repeats a word, the same documents match
+    close(s.search(index, clauses(spark, rows), kinds=("phrase",), occurs=("should",)), brute(rows, 25))
     hits = s.clause_hits(index, clauses(spark, rows), ("phrase",), ("should",)).select("query_id", "doc_id").collect()
     want = {(r[0], d) for r in rows for d, doc in DOCS.items() if phrase_starts(doc, r[4].split(), r[6])}
     assert {tuple(h) for h in hits} == want and len(hits) == len(want)
@@ -246,7 +252,7 @@ def test_plan_of_a_ranked_search(spark, index):
 def test_shuffled_join_gives_the_same(spark, index, monkeypatch):
     rows = [one("term", w, clause=i, query=q) for q in range(3) for i, w in enumerate(VOCABULARY)]
     rows += [one("phrase", "the then", query=4, slop=1)]
-    monkeypatch.setattr(s, "BROADCAST_WORDS", 0)
+    monkeypatch.setattr(s, "BROADCAST_BYTES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         ranked = s.search(index, clauses(spark, rows), kinds=("term", "phrase"), occurs=("should",))
@@ -255,3 +261,35 @@ def test_shuffled_join_gives_the_same(spark, index, monkeypatch):
         close(ranked, brute(rows, 25))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rejected_clauses_are_reported_and_their_queries_give_nothing(spark, index):
+    bad = {2: "a(b", 3: "*a", 4: "[z-a]", 5: "a{3,1}", 6: "a\\q", 7: "(?<x>a)", 8: "a)", 9: "[a", 10: "x{,2}", 11: "a**", 12: "[a[b]]"}
+    rows = [one("regexp", "th.*", query=1), one("fuzzy", "night", slop=3, query=13), one("wildcard", None, query=14), one("guess", "on", query=15)]
+    rows += [one("regexp", p, query=q) for q, p in bad.items()] + [one("regexp", "on", query=q, clause=1) for q in bad]
+    found = s.rejected_clauses(clauses(spark, rows)).collect()
+    assert {r.query_id for r in found} == {*bad, 13, 14, 15} and all(r.reason and r.clause_id == 0 for r in found)
+    hits = s.search(index, clauses(spark, rows), 100).collect()
+    assert {r.query_id for r in hits} == {1}
+
+
+def test_patterns_that_fix_no_gram(spark, index):
+    rows = [one("regexp", p, query=q) for q, p in enumerate(["[a-z]+", ".?.?", "a|on", "(no)+n?", "n.*", ".*t", "[^a]b*", "no{1,2}n?", "th(e|a)n?", "\\d+", "a+b?c*d*"])]
+    rows += [one("wildcard", p, query=20 + q) for q, p in enumerate(["*", "?", "??", "*n", "n?*", "*igh*"])]
+    close(s.search(index, clauses(spark, rows), 100), brute(rows, 100))
+
+
+def test_a_prefix_reads_one_part_of_the_dictionary(spark, tmp_path, monkeypatch):
+    from letterloom.operators import dictionary
+
+    monkeypatch.setattr(dictionary, "TERMS_PER_PART", 3)
+    index = index_over(spark, DOCS, str(tmp_path))
+    words = Dictionary(index).words()
+    assert words.select("part").distinct().count() > 4
+    for rows in ([one("prefix", "night")], [one("range", "the", "then")], [one("prefix", ""), one("range", None, "ab", query=2), one("range", "the", None, query=3)]):
+        close(s.search(index, clauses(spark, rows), 100), brute(rows, 100))
+    found = expand_in(with_reasons(clauses(spark, [one("prefix", "night")])).withColumn("pattern", F.lit(1)), Dictionary(index), ("prefix",))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    read = re.search(r"PartitionFilters: \[[^\]]*part#\d+ (?:IN \(([\d,]+)\)|= (\d+))", plan)
+    assert len((read[1] or read[2]).split(",")) <= 2
+    assert sorted(r.term for r in found.collect()) == ["night"]
