@@ -84,7 +84,14 @@ def decode_entities(text: Column) -> Column:
     """Replace named, decimal and hexadecimal character references; unknown ones stay. Digits may have any
     number of zeros before them, names are those of HTML 5 that end with a semicolon."""
     reference = r"&(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
-    named = F.create_map(*[F.lit(x) for name, sign in _NAMED.items() for x in (name, sign)])
+    # one literal that is parsed when the plan is made; the few that pages hold most are told apart first
+    rare = F.str_to_map(F.lit("\x01".join(f"{name}\x02{sign}" for name, sign in _NAMED.items())), F.lit("\x01"), F.lit("\x02"))
+
+    def named(name: Column) -> Column:
+        out = rare[name]
+        for common in _COMMON:
+            out = F.when(name == common, F.lit(_NAMED[common])).otherwise(out)
+        return out
 
     def character(code: Column) -> Column:
         valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
@@ -94,7 +101,7 @@ def decode_entities(text: Column) -> Column:
         decimal = character(F.regexp_extract(ref, "^#0*([0-9]+)$", 1).try_cast("int"))
         hexadecimal = character(F.conv(F.regexp_extract(ref, "^#[xX]0*([0-9a-fA-F]+)$", 1), 16, 10).try_cast("int"))
         return F.coalesce(
-            F.when(ref.rlike("^#[0-9]"), decimal).when(ref.rlike("^#[xX]"), hexadecimal).otherwise(named[ref]),
+            F.when(ref.rlike("^#[0-9]"), decimal).when(ref.rlike("^#[xX]"), hexadecimal).otherwise(named(ref)),
             F.concat(F.lit("&"), ref, F.lit(";")),
         )
 
@@ -111,6 +118,8 @@ def decode_entities(text: Column) -> Column:
     return bind(text, decoded)
 
 
+# Those that pages hold most, the most common one last.
+_COMMON = ("middot", "copy", "apos", "gt", "lt", "quot", "nbsp", "amp")
 _NAMED = {**{name[:-1]: sign for name, sign in html5.items() if name.endswith(";")}, "nbsp": " "}
 
 # The chain of html_to_text, in order: (pattern, replacement). The same patterns work in RE2.

@@ -6,11 +6,16 @@ contents have the same length and digest too, unless ``verify=False`` asks for t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.functions.bytes import prefix_hash
 from letterloom.operators.skew import HOT_ROWS, for_each_shard, hot_keys, with_shard
+from letterloom.session import written
+
+PREFIX_BYTES = 1 << 20
 
 
 def hashed(
@@ -64,3 +69,23 @@ def dup_members(df: DataFrame, key: str, hot_rows: int = HOT_ROWS, **options) ->
     hot = hot_keys(groups, by, "n", least_rows=hot_rows)
     members = with_shard(rows, hot, by, F.col(key))
     return members.join(for_each_shard(groups, hot, by), [*by, "shard"]).select(*by, key, "n", "first_key")
+
+
+def staged_members(
+    listing: DataFrame, contents_of: Callable[[DataFrame], DataFrame], key: str, prefix_bytes: int = PREFIX_BYTES, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Members of groups with equal contents, looked for where it costs least first.
+
+    ``listing`` has key and size; rows of a size that no other has are done with, and so are sizes of 0 or null.
+    ``contents_of(rows)`` gives ``(key, content)`` of the keys asked for: first the survivors' prefixes are hashed, then the whole contents
+    of those that share size and prefix.
+    """
+    sized = listing.where("size > 0").select(key, "size")
+    same_size = sized.groupBy("size").count().where("count > 1").select("size")
+    left = written(sized.join(same_size, "size"), "same-size")
+    code = prefix_hash(F.col("content").cast("binary"), "md5", prefix_bytes).alias("code")
+    coded = left.join(contents_of(left.select(key)).select(key, code), key)
+    coded = written(coded, "same-prefix")
+    shared = coded.groupBy("size", "code").count().where("count > 1").select("size", "code")
+    left = written(coded.join(shared, ["size", "code"]).select(key), "same-prefix")
+    return dup_members(contents_of(left), key, hot_rows, content="content", algorithm="md5")

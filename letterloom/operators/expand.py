@@ -47,7 +47,7 @@ def with_reasons(clauses: DataFrame) -> DataFrame:
     rows = clauses.join(known, (F.col("kind") == "regexp") & (F.col("term") == F.col("asked")), "left")
     edits = F.format_string(f"%s edits, not 0 to {MAX_EDITS}", "slop")
     reason = (
-        F.when(~F.coalesce(F.col("kind").isin("term", "phrase", *EXPANDED_KINDS), F.lit(False)), F.lit("unknown kind"))
+        F.when(~F.coalesce(F.col("kind").isin("term", "phrase", "exact", *EXPANDED_KINDS), F.lit(False)), F.lit("unknown kind"))
         .when(F.col("term").isNull() & (F.col("kind") != "range"), F.lit("no term"))
         .when((F.col("kind") == "fuzzy") & ~F.coalesce(F.col("slop").between(0, MAX_EDITS), F.lit(False)), edits)
         .otherwise(F.col("wrong"))

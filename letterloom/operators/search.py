@@ -12,6 +12,7 @@ wildcard a word with ``*`` and ``?``
 regexp   a regular expression for the whole word
 fuzzy    a word that may differ by ``slop`` letters (0 to 2)
 range    the first word of a range that ends with ``upper``; null leaves an end open
+exact    a whole ``id`` or ``path`` (the field), as it is written
 ======== ==========================================================================
 
 ``occur`` is should, must or must_not. ``times`` counts how often a clause was given.
@@ -35,7 +36,8 @@ from letterloom.plans.index import Index, bucket_of
 from letterloom.session import written
 from letterloom.sources.messages import DEFAULT_FIELD
 
-KINDS = ("term", "phrase", *EXPANDED_KINDS)
+KINDS = ("term", "phrase", "exact", *EXPANDED_KINDS)
+EXACT_FIELDS = ("id", "path")
 OCCURS = ("should", "must", "must_not")
 TOP_K = 25
 
@@ -173,6 +175,17 @@ def _term_hits(words: DataFrame, index: Index) -> DataFrame:
     return _meet(words, index, "tf", "len").withColumn("weight", F.col("base") * F.sqrt("tf") / F.sqrt("len")).select(*_HIT)
 
 
+def _exact_hits(clauses: DataFrame, index: Index) -> DataFrame:
+    """Documents of an id or a path, weighted like a word that they hold alone."""
+    asked = clauses.where("kind = 'exact'").select("query_id", "clause_id", "field", "term", "boost", *_QUERY_FLAGS)
+    held = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("term")) for c in EXACT_FIELDS])
+    docs = index.docs().select("doc_id", F.inline(held))
+    found = written(asked.join(docs, ["field", "term"]), "exact-docs")
+    many = found.groupBy("query_id", "clause_id").agg(F.count("*").alias("df"))
+    weight = F.col("boost") * F.col("counted") * _idf(index) * _idf(index)
+    return found.join(many, ["query_id", "clause_id"]).withColumns({"constant": F.lit(False), "weight": weight}).select(*_HIT)
+
+
 def rejected_clauses(clauses: DataFrame) -> DataFrame:
     """``query_id, clause_id, kind, term, reason``: clauses that cannot be read, whose queries give no results."""
     return with_reasons(clauses).where("reason is not null").select("query_id", "clause_id", "kind", "term", "reason")
@@ -304,6 +317,8 @@ def clause_hits(index: Index, clauses: DataFrame, kinds=KINDS, occurs=OCCURS) ->
         branches.append(_required_first(words, index) if "must" in occurs else _term_hits(words, index))
     if set(kinds) & set(EXPANDED_KINDS):
         branches.append(_expanded_hits(clauses, index, kinds))
+    if "exact" in kinds:
+        branches.append(_exact_hits(clauses, index))
     if "phrase" in kinds:
         branches.append(_phrase_hits(_phrase_terms(clauses, index.stop_words), index))
     hits = _union(branches)

@@ -210,10 +210,32 @@ _LISTINGS = f"WITH old AS ({_OLD}), new AS ({_NEW})"
 _EVENT_ROWS = """WITH rows AS (SELECT event_type AS folder, event_id AS uid, value AS size, epoch_us(ts) AS us FROM events),
 mid AS (SELECT (min(us) + max(us)) // 2 AS middle FROM rows)"""
 
+_SENT = "strftime(TIMESTAMP '2024-01-01' + to_hours(doc_id), '%Y-%m-%d %H:%M:%S')"
+
+_EXACT = (
+    _BASE
+    + """, clauses AS (
+  SELECT item_id AS query_id, 0 AS clause, 'should' AS occur, 1 AS times, 1.0 AS boost, 'id' AS field, item_id || '.eml' AS term FROM benchmark
+  UNION ALL SELECT item_id, 1, 'should', 1, 2.0, 'path', 'src' || (item_id % 15) || '/' || item_id || '.eml' FROM benchmark),
+named AS (
+  SELECT doc_id, 'id' AS field, doc_id || '.eml' AS term FROM documents
+  UNION ALL SELECT doc_id, 'path', source || '/' || doc_id || '.eml' FROM documents),
+hits AS (
+  SELECT query_id, clause, occur, times, doc_id,
+    boost * pow(1 + ln((SELECT count(*) FROM documents)::DOUBLE / (count(*) OVER (PARTITION BY query_id, clause) + 1)), 2) AS weight
+  FROM clauses JOIN named USING (field, term))"""
+    + _RANK
+    + _TOP
+)
+
 ORACLE_SQL: dict[str, str] = {
     "dupes_md5": "SELECT md5(text) AS hash, count(*) AS n, min(doc_id) AS first_key FROM documents WHERE text <> '' GROUP BY text HAVING count(*) > 1",
     "dupes_members": _DUPES.format(columns="hash, doc_id, n, first_key"),
     "dupes_verified": _DUPES.format(columns="hash, bytes, digest, doc_id, n, first_key"),
+    "dupes_prefix": """SELECT doc_id, n, first_key FROM (
+  SELECT doc_id, count(*) OVER (PARTITION BY head) AS n, min(doc_id) OVER (PARTITION BY head) AS first_key
+  FROM (SELECT doc_id, left(hex(encode(text)), 128) AS head FROM documents WHERE text <> '')) WHERE n > 1""",
+    "dupes_staged": _DUPES_PLAIN,
     "dupes_crc32": _DUPES_PLAIN,
     "dupes_adler32": _DUPES_PLAIN,
     "dupes_fast64": _DUPES_PLAIN,
@@ -241,16 +263,22 @@ GROUP BY term, doc_id""",
 SELECT query_id, clause_id, CASE clause_id % 3 WHEN 0 THEN term || '(' ELSE '*' || term END AS term,
   CASE clause_id % 3 WHEN 0 THEN 'a bracket is not closed' ELSE 'nothing to repeat at 0' END AS reason
 FROM first WHERE clause_id % 3 < 2""",
+    "search_exact": _EXACT,
+    "search_blank": (_word_search() + _TOP).replace("FROM benchmark", "FROM (SELECT * FROM benchmark WHERE item_id % 3 <> 0)"),
     "search_all_docs": f"""SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE NOT list_has_any({_W},
   (SELECT list(DISTINCT t) FROM (SELECT unnest({_W}) AS t FROM benchmark)))""",
     "search_nested": _NESTED,
     "search_results": _word_search()
-    + f"""SELECT query_id, rank, score, doc_id, lang AS subject, source || '; ' || lang AS sender, n_chars AS size,
+    + f"""SELECT query_id, rank, score, doc_id, CASE lang WHEN 'fr' THEN '' ELSE lang END AS subject, source || '; ' || lang AS sender,
+  {_SENT} AS sent, n_chars AS size,
   '?file=' || source || '%2F' || doc_id || '.eml' AS link, {_size_text('n_chars')} AS size_text
   FROM ranked JOIN documents USING (doc_id) WHERE rank <= 25""",
     "fetch_by_key": """SELECT e.event_id AS doc_id, d.source, d.n_chars,
   CASE WHEN d.doc_id IS NULL THEN 'missing' ELSE 'found' END AS status
   FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id""",
+    "fetch_few": """SELECT item_id * 7 - 20 AS doc_id, d.source, d.n_chars,
+  CASE WHEN d.doc_id IS NULL THEN 'missing' ELSE 'found' END AS status
+  FROM benchmark LEFT JOIN documents d ON d.doc_id = item_id * 7 - 20""",
     "refresh_classify": f"""{_LISTINGS} SELECT new.path, CASE WHEN old.stamp IS NULL THEN 'new'
   WHEN old.stamp >= new.stamp THEN 'unchanged' ELSE 'changed' END AS state FROM new LEFT JOIN old USING (path)""",
     "refresh_upsert": f"""{_LISTINGS} SELECT path, CASE WHEN new.stamp IS NULL OR old.stamp >= new.stamp THEN old.stamp ELSE new.stamp END AS stamp
@@ -271,6 +299,7 @@ FROM first WHERE clause_id % 3 < 2""",
     "tombstones": """SELECT event_id, event_type, value FROM events e
   WHERE NOT EXISTS (SELECT 1 FROM events t WHERE t.event_type = 'error' AND t.event_id = e.event_id)""",
     "load_stream": f"{_EVENT_ROWS} SELECT folder, uid, size FROM rows, mid WHERE NOT (folder = 'error' AND us <= middle)",
+    "load_once": "SELECT event_type AS folder, event_id AS uid, value AS size FROM events",
     "load_report": f"""SELECT folder, messages, bytes, {_size_text('bytes')} AS size_text FROM (
   SELECT source AS folder, count(*) AS messages, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY source)""",
     "above_mark": f"""{_EVENT_ROWS} SELECT folder, uid, size FROM rows WHERE folder = 'purchase'
@@ -281,6 +310,10 @@ FROM first WHERE clause_id % 3 < 2""",
     "page_text": f"SELECT page_id, {_html_text('html')} AS text FROM pages",
     "message_ingest": """SELECT doc_id || '.eml' AS id, lang AS subject, source || '@example.org' AS sender,
   'text/plain; charset=utf-8' AS content_type, text AS body, NULL::VARCHAR AS error FROM documents""",
+    "mail_files": f"""SELECT doc_id, CASE lang WHEN 'fr' THEN '' ELSE lang END AS subject, 'The ' || source || ' <' || source || '@example.org>' AS sender,
+  {_SENT} AS sent, text AS body, (octet_length(encode(text)) + 2 * length(source)
+    + length('From: The  <@example.org>') + CASE lang WHEN 'fr' THEN 0 ELSE length('Subject: ') + length(lang) + 1 END
+    + length('Date: Mon, 01 Jan 2024 00:00:00 +0000') + length('Content-Type: text/plain; charset=utf-8') + 5)::BIGINT AS size FROM documents""",
     "html_body": f"""WITH t AS (SELECT page_id, url, {_html_text('html')} AS body FROM pages),
 fields AS (
   SELECT page_id, 'Subject' AS field, 'page' AS value FROM t

@@ -15,15 +15,17 @@ from pyspark.sql import functions as F
 from letterloom.functions.bytes import format_bytes
 from letterloom.functions.text import ENGLISH_STOP_WORDS, tokens
 from letterloom.operators import search as s
-from letterloom.operators.dupes import dup_groups, dup_members
+from letterloom.operators.dupes import dup_groups, dup_members, staged_members
+from letterloom.operators.lookup import fetch_laid_out, lay_out
 from letterloom.operators.postings import doc_lengths, forward_index, postings, term_counts
 from letterloom.operators.refresh import apply_tombstones, classify, newest, stale, upsert
 from letterloom.operators.report import folder_counts, load_report, running_bytes
 from letterloom.plans.index import Index, compact_index, has_index, open_index, refresh_index, write_index
 from letterloom.session import new_folder, own_folder
+from letterloom.sources.files import scan_files
 from letterloom.sources.messages import header_lines, ingest_messages, message_texts
 from letterloom.sources.pages import page_text
-from letterloom.streaming.load import above_mark, incremental_batch, incremental_load, load_marks, loaded
+from letterloom.streaming.load import above_mark, incremental_batch, incremental_load, load_marks, loaded, once_only_load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,6 +103,24 @@ def _dupes_by(algorithm: str) -> Query:
     return query
 
 
+def dupes_prefix(spark, sf_dir):
+    """Documents that share their first 64 bytes, whatever follows."""
+    documents = table(spark, sf_dir, "documents")
+    rows = dup_members(documents, "doc_id", content="text", algorithm="md5", prefix_bytes=64, verify=False)
+    return rows.select("doc_id", "n", "first_key")
+
+
+def dupes_staged(spark, sf_dir):
+    """Equal documents: by length first, then by their first 64 bytes, then whole."""
+    documents = table(spark, sf_dir, "documents")
+
+    def contents_of(rows: DataFrame) -> DataFrame:
+        return documents.select("doc_id", F.col("text").alias("content")).join(rows, "doc_id", "left_semi")
+
+    listing = documents.select("doc_id", F.col("n_chars").alias("size"))
+    return staged_members(listing, contents_of, "doc_id", prefix_bytes=64).select("doc_id", "n", "first_key")
+
+
 # --- index statistics ------------------------------------------------------------------------
 
 
@@ -203,18 +223,43 @@ def search_rejected(spark, sf_dir):
     return s.rejected_clauses(clauses).select("query_id", F.col("clause_id").cast("long").alias("clause_id"), "term", "reason")
 
 
+def exact_clauses(batch: DataFrame) -> DataFrame:
+    """The document with the text's number by its id, and by its path in a folder where it may not be."""
+    own = F.col("query_id").cast("string")
+    name = batch.select("query_id", F.concat(own, F.lit(".eml")).alias("term"))
+    folder = F.concat(F.lit("src"), (F.col("query_id") % 15).cast("string"), F.lit("/"))
+    path = batch.select("query_id", F.concat(folder, own, F.lit(".eml")).alias("term"))
+    return s.as_clauses(name, kind="exact", field="id").unionByName(s.as_clauses(path, kind="exact", field="path", boost=2.0, clause_id=1))
+
+
+def search_blank(spark, sf_dir):
+    """The word search when every third text is blank."""
+    blank = F.when(F.col("query_id") % 3 == 0, F.lit(" \t ")).otherwise(F.col("text"))
+    batch = query_batch(spark, sf_dir).withColumn("text", blank)
+    return s.search(documents_index(spark, sf_dir), words_clauses(batch), kinds=("term",), occurs=("should",))
+
+
+def _sent() -> Column:
+    """An hour later for each document."""
+    return F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600)
+
+
+def _subject() -> Column:
+    return F.when(F.col("lang") != "fr", F.col("lang"))
+
+
 def search_results(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     messages = documents.select(
         "doc_id",
-        F.col("lang").alias("subject"),
+        _subject().alias("subject"),
         F.array("source", "lang").alias("from"),
-        F.lit(None).cast("timestamp").alias("sent"),
+        _sent().alias("sent"),
         F.col("n_chars").alias("size"),
         _path().alias("path"),
     )
     hits = _search_terms(words_clauses)(spark, sf_dir)
-    return s.result_view(hits, messages).drop("sent").withColumn("size_text", format_bytes(F.col("size")))
+    return s.result_view(hits, messages).withColumn("size_text", format_bytes(F.col("size")))
 
 
 def fetch_by_key(spark, sf_dir):
@@ -222,6 +267,14 @@ def fetch_by_key(spark, sf_dir):
     return s.fetch(requests, table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), key="doc_id")
 
 
+def fetch_few(spark, sf_dir):
+    """A few documents, some of which there are not, out of a table that is laid out by their keys."""
+    root = new_folder(spark, "laid-out")
+    lay_out(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), root, "doc_id", parts=32)
+    requests = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 7 - 20).alias("doc_id"))
+    return fetch_laid_out(requests, root, "doc_id", parts=32)
+
+
 def search_all_docs(spark, sf_dir):
     """Every document that shares no word with the query batch."""
     index = documents_index(spark, sf_dir)
@@ -366,6 +419,27 @@ def load_stream(spark, sf_dir):
     return loaded(spark, f"{root}/stored").select("folder", "uid", "size")
 
 
+def load_once(spark, sf_dir):
+    """Two drops and three runs; the second drop brings again what came in the last quarter before the middle."""
+    rows = event_rows(spark, sf_dir).withColumn("at", F.timestamp_micros("us"))
+    span = rows.agg(F.min("us").alias("low"), F.max("us").alias("high")).first()
+    middle, quarter = (span.low + span.high) // 2, (span.high - span.low) // 4
+    root = new_folder(spark, "once")
+    early = rows.where(F.col("us") <= middle)
+    again = early.where(F.col("us") > middle - quarter)
+
+    def run() -> None:
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/drops/*")
+        once_only_load(stream, f"{root}/stored", f"{root}/checkpoint", delay=f"{2 * quarter // 1_000_000 + 1} seconds").awaitTermination()
+
+    early.write.parquet(f"{root}/drops/1")
+    run()
+    rows.where(F.col("us") > middle).unionByName(again).write.parquet(f"{root}/drops/2")
+    run()
+    run()
+    return spark.read.schema(rows.schema).parquet(f"{root}/stored").select("folder", "uid", "size")
+
+
 def above_mark_query(spark, sf_dir):
     """Purchases above the last one of the first half of the time."""
     rows = event_rows(spark, sf_dir).where("folder = 'purchase'")
@@ -422,6 +496,29 @@ def message_ingest(spark, sf_dir):
     )
 
 
+def mail_files(spark, sf_dir):
+    """Documents as one message file each, found again below overlapping and missing folders, as a reader sees them."""
+    root = new_folder(spark, "files")
+    documents = table(spark, sf_dir, "documents")
+    subject = F.coalesce(F.concat(F.lit("Subject: "), _subject(), F.lit("\n")), F.lit(""))
+    kind = F.when(F.col("doc_id") % 2 == 0, "TEXT/Plain").otherwise("text/plain")
+    mail = F.concat(
+        F.lit("From: The "), "source", F.lit(" <"), "source", F.lit("@example.org>\n"), subject,
+        F.lit("Date: "), F.date_format(_sent(), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000\nContent-Type: "), kind,
+        F.lit("; charset=utf-8\n\n"), "text",
+    )
+    documents.select("source", "doc_id", mail.alias("value")).write.partitionBy("source", "doc_id").text(f"{root}/mail")
+    files = scan_files(spark, [f"{root}/mail", f"{root}/mail/source=src1", f"{root}/absent"], ".TXT")
+    messages = ingest_messages(files)
+    number = F.regexp_extract("path", "/doc_id=([0-9]+)/", 1).cast("bigint")
+    texts = message_texts(messages, per_part=False).where("field = 'body_all'")
+    texts = texts.select(F.col("doc_id").alias("path"), F.get("values", 0).alias("body"))
+    hits = messages.select("path", number.alias("doc_id"), F.lit(0).alias("query_id"), F.lit(1).alias("rank"), F.lit(1.0).alias("score"))
+    shown = s.result_view(hits.drop("path"), messages.withColumn("doc_id", number))
+    shown = shown.join(hits.select("doc_id", "path").join(texts, "path"), "doc_id")
+    return shown.select("doc_id", "subject", "sender", "sent", "size", F.regexp_replace("body", r"\n$", "").alias("body"))
+
+
 def html_body(spark, sf_dir):
     """Pages written as messages of a plain and an HTML part: the fields that are indexed."""
     pages = table(spark, sf_dir, "pages")
@@ -446,6 +543,8 @@ QUERIES: dict[str, Query] = {
     "dupes_md5": dupes_md5,
     "dupes_members": dupes_members,
     "dupes_verified": dupes_verified,
+    "dupes_prefix": dupes_prefix,
+    "dupes_staged": dupes_staged,
     "dupes_crc32": _dupes_by("crc32"),
     "dupes_adler32": _dupes_by("adler32"),
     "dupes_fast64": _dupes_by("fast64"),
@@ -468,10 +567,13 @@ QUERIES: dict[str, Query] = {
     "search_fuzzy": _search_terms(each_word("fuzzy", slop=2), ("fuzzy",)),
     "search_range": _search_terms(range_clauses, kinds=("range",)),
     "search_rejected": search_rejected,
+    "search_exact": _search_terms(exact_clauses, kinds=("exact",)),
+    "search_blank": search_blank,
     "search_all_docs": search_all_docs,
     "search_nested": search_nested,
     "search_results": search_results,
     "fetch_by_key": fetch_by_key,
+    "fetch_few": fetch_few,
     "refresh_classify": refresh_classify,
     "refresh_upsert": refresh_upsert,
     "refresh_stale": refresh_stale,
@@ -483,12 +585,14 @@ QUERIES: dict[str, Query] = {
     "load_running": load_running,
     "tombstones": tombstones,
     "load_stream": load_stream,
+    "load_once": load_once,
     "load_report": load_report_query,
     "above_mark": above_mark_query,
     "folder_counts": folder_counts_query,
     "format_sizes": format_sizes,
     "page_text": page_text_query,
     "message_ingest": message_ingest,
+    "mail_files": mail_files,
     "html_body": html_body,
     "header_lines": header_lines_query,
 }

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,15 +49,34 @@ def own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/letterloom/{spark.sparkContext.applicationId}"
 
 
+_INSIDE: ContextVar[str] = ContextVar("inside", default="")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path below the application's folder that nothing else uses."""
-    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{_INSIDE.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """What is written in between inside this block is deleted at its end; frames that read it end with it."""
+    outer, inside = _INSIDE.get(), f"passing-{uuid.uuid4().hex}"
+    _INSIDE.set(f"{outer}{inside}/")
+    try:
+        yield
+    finally:
+        _INSIDE.set(outer)
+        drop_folder(spark, f"{own_folder(spark)}/{outer}{inside}")
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_written(spark: SparkSession) -> None:
     """Delete all that this application has written in between; frames that still read it end with it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop_folder(spark, own_folder(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -127,3 +127,20 @@ def loaded(spark: SparkSession, root: str) -> DataFrame:
     messages = spark.read.parquet(f"{root}/messages")
     tombstones = _read(spark, f"{root}/tombstones", "folder string, uid bigint")
     return apply_tombstones(messages, tombstones, KEYS)
+
+
+def once_only_load(stream: DataFrame, root: str, checkpoint: str, time: str = "at", delay: str = "1 day") -> StreamingQuery:
+    """Append each key (folder and uid) once, however often it is delivered within ``delay`` of event time.
+
+    Keys seen are the query's own state, kept in its checkpoint until the watermark has passed them, so nothing that is stored is read
+    again and a restart goes on where the last run ended. Rows older than the watermark are late and dropped by it.
+    """
+    rows = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(KEYS)
+    return (
+        rows.writeStream.format("parquet")
+        .option("path", root)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
