@@ -1,7 +1,7 @@
 """From raw documents to token shards: each stage reads what the one before it kept.
 
 run() writes every stage's result to the shared folder and reads it again, so a lost executor costs
-at most the stage that is running.
+at most the stage that is running. What a stage wrote for itself, and what it read, is deleted when its result is written.
 """
 
 from __future__ import annotations
@@ -15,21 +15,21 @@ from letterloom.llm.language import in_language
 from letterloom.llm.mixture import mixed
 from letterloom.llm.simhash import one_of_each
 from letterloom.llm.tokens import encode_documents
-from letterloom.session import written
+from letterloom.session import drop_folder, new_folder, passing_tables
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the labelled languages."""
+    """Documents in one of the labelled languages; texts that are null or have no letters go."""
     return in_language(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group whose SimHash fingerprints link: the least key, null last. Texts without words are one group."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; null and empty texts hold none."""
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -57,7 +57,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_folder(spark, f"pipeline-{name}")
+        with passing_tables(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        if read:
+            drop_folder(spark, read)
+        docs, read = spark.read.schema(result.schema).parquet(path), path
     return docs
