@@ -18,7 +18,7 @@ SPAN_ARROW = pa.list_(
     )
 )
 
-Span = tuple[str, int, int, str, float]
+Span = tuple[str, int, int, str, float | None]
 
 
 class SpanSet:

@@ -1,7 +1,9 @@
 """Secrets and personal data against plain, slow versions of their definitions."""
 
 import hashlib
+import random
 import re
+import string
 import time
 
 import pytest
@@ -92,6 +94,35 @@ def test_guess_cost_never_above_brute_force(value):
     assert 0 < secrets.guess_cost(value) <= cheapest(value) + 1e-9
 
 
+def exhaustive(value):
+    """The cheapest of all segmentations, one by one."""
+    arcs = secrets._Arcs(value)
+
+    def costs(i):
+        if i == len(value):
+            return [0.0]
+        return [cost + rest for j, cost in arcs.of(i) for rest in costs(j)]
+
+    return min(costs(0))
+
+
+@pytest.mark.parametrize("value", ["", "a", "ab1", "aaa1aaa", "pass12", "secret9", "qwe1990", "P@ss1", "rkvolz", "gardens", "hunter2", "abcabc", "x1990x"])
+def test_guess_cost_is_that_of_the_cheapest_segmentation(value):
+    assert secrets.guess_cost(value) == pytest.approx(exhaustive(value))
+
+
+def test_random_letters_are_no_words():
+    r = random.Random(5)
+    for n, most in ((8, 0.03), (12, 0.0), (16, 0.0), (20, 0.0)):
+        values = ["".join(r.choices(string.ascii_lowercase, k=n)) for _ in range(500)]
+        assert sum(secrets.guess_cost(v) < secrets.MIN_LOG10_GUESSES for v in values) <= most * 500
+
+
+@pytest.mark.parametrize("text", ["pwd=rkvolzumbetq", "dbPassword: kX9#vvQ2-tz", 'userPwd = "kX9#vvQ2-tz"', "myAPI_KEY=>kX9#vvQ2-tz"])
+def test_contexts_inside_names(text):
+    assert [s[0] for s in secrets.secret_spans_of(text)] == ["guess"]
+
+
 def test_values_in_context():
     spans = secrets.secret_spans_of('passphrase: "kX9#vvQ2-tz" pwd=hunter postgres://u:Zx81kQp2m@host/ password is gardens')
     assert [(k, v) for k, _, _, v, _ in spans] == [("guess", "kX9#vvQ2-tz"), ("guess", "Zx81kQp2m")]
