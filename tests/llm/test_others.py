@@ -1,7 +1,9 @@
 """Pages, conversations and vectors against brute force; registered queries against their SQL."""
 
 import hashlib
+import math
 import os
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -134,12 +136,16 @@ def plain_top(rows, k=5):
     for key, vector in rows:
         if key is None or vector is None or any(x is None or not np.isfinite(x) for x in vector):
             continue
-        ints = tuple(int(np.floor(float(np.float32(x)) * 256)) for x in vector)
-        whole[key] = min(whole.get(key, ints), ints, key=lambda v: (len(v), np.array(v, "<i4").tobytes()))
+        ints = tuple(math.floor(Fraction(float(np.float32(x))) * 256) for x in vector)
+        wide = any(abs(x) >= 2**31 - 1 for x in ints)
+        payload = ",".join(map(str, ints)).encode() if wide else np.array(ints, "<i4").tobytes()
+        whole[key] = min(whole.get(key, ((len(ints), wide, payload), ints)), ((len(ints), wide, payload), ints))
+    whole = {key: ints for key, (_, ints) in whole.items()}
+    most = (1 << 63) - 1
     out = []
     for q, a in whole.items():
         if q % 50 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), c) for c, b in whole.items() if c != q and len(a) == len(b))
+            scores = sorted((-max(-most - 1, min(most, sum(x * y for x, y in zip(a, b, strict=True)))), c) for c, b in whole.items() if c != q and len(a) == len(b))
             out += [(q, i + 1, c, -s) for i, (s, c) in enumerate(scores[:k])]
     return out
 
@@ -150,6 +156,7 @@ def awkward_vectors():
     same = rng.normal(0, 0.2, 8).tolist()
     rows += [(1000 + i, same) for i in range(150)]  # one vector that many rows share, queries among them
     rows += [(2000, None), (2001, [None] * 8), (2050, [float("nan")] * 8), (2051, [float("inf")] + [0.0] * 7), (2052, [1e30] + [0.0] * 7)]
+    rows += [(2100, [3e30] + [0.5] * 7), (2101, [-1e7, 1e7] + [0.0] * 6), (2102, [1e7] * 8), (2150, [2e6, -8e6] + [1.0] * 6), (2103, [8e6] * 8)]
     rows += [(3000, [0.5, 0.25]), (3001, [0.5, -0.5]), (3050, []), (3051, []), (None, same), (50, rows[50][1]), (-50, [0.0] * 8), (7000, [1.0, 2.0, 3.0])]
     return rows
 
@@ -157,7 +164,7 @@ def awkward_vectors():
 def test_top_k(spark, monkeypatch):
     schema = "vec_id bigint, embedding array<float>, label int"
     rows = awkward_vectors()
-    want = sorted(plain_top([r for r in rows if r[0] != 2052]))
+    want = sorted(plain_top(rows))
     table = clashing(spark.createDataFrame([(*r, 1) for r in rows], schema))
     assert sorted(map(tuple, vectors.top_k(table).collect())) == want
     monkeypatch.setattr(vectors, "SLICE_ROWS", 64)
