@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import tracemalloc
 from fractions import Fraction
 
 import duckdb
@@ -38,6 +39,11 @@ PAGES = {
     "null": (None, ""),
     "only_menu": (page("<nav>Menu</nav>"), ""),
     "span_ad": (page("<article><p>Before <span class=ad>an <span>inner</span> ad</span> after</p></article>"), "Before after"),
+    "title_beside": (page(f"<div class=content><h1>Title</h1><div class=entry>{BODY.removeprefix('<h1>Title</h1>')}</div></div>", "<h1>Site</h1>"), WANT),
+    "title_above": (page(f"<h1>Title</h1><div class=entry>{BODY.removeprefix('<h1>Title</h1>')}</div><div class=box>Box</div>"), WANT),
+    "lead_beside": (page(f"<div class=wrap><div class=intro><p>The lead.</p></div><div class=body>{BODY}</div><div class=box>Box</div></div>"), "The lead. " + WANT),
+    "slugs": (page('<article><h2 id="social-history">Past</h2><section id="related-work"><p>Work of others.</p></section><p class="share-price">Price up.</p><div class="share-buttons">Share</div><div id=comments>Said</div></article>'), "Past Work of others. Price up."),
+    "menu_title": (page('<article><h2 id=menu>The menu</h2><p>Soup and bread for all.</p><div class=menu>Home</div></article>'), "The menu Soup and bread for all."),
     "list": (page("<article><p>Some text here.</p><ul><li>one<li>two</ul></article>"), "Some text here. one two"),
 }
 
@@ -79,6 +85,14 @@ def test_broken_pages_end(html):
     html_text.main_text_of(html, None)
 
 
+def test_deeply_nested_pages_take_little_memory():
+    tracemalloc.start()
+    text = html_text.main_text_of("<div class=a>" * 100_000 + "<p>Deep down.</p>" + "</div>" * 100_000 + "<p>After.</p>", None)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert text.startswith("Deep down.")
+
+
 # --- conversations ---------------------------------------------------------------------------
 
 TURNS = [
