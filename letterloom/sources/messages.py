@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from letterloom.functions import mime
 from letterloom.functions.text import body_text
 
-# the parser travels with the task, so executors need no copy of this package
+# the decoding of values travels with the task, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(mime)
 
 MESSAGE_SCHEMA = (
@@ -21,46 +22,78 @@ MESSAGE_SCHEMA = (
     "parts array<struct<idx:int,content_type:string,text:string>>, "
     "subject string, `from` array<string>, sent timestamp, error string"
 )
-_COLUMNS = ["path", "id", "stamp", "size", "headers", "multipart", "parts", "subject", "from", "sent", "error"]
-
-ROWS_TOGETHER = 256
-
 # The field searched by default: all text parts of a message in order.
 DEFAULT_FIELD = "body_all"
 
 
 def ingest_messages(files: DataFrame, depth: int | None = None) -> DataFrame:
-    """Parse ``path, modificationTime, length, content`` rows into messages.
+    """Cut ``path, modificationTime, length, content`` rows into messages.
 
-    A file without headers becomes a row with ``error`` set; it never fails the job. Rows are
-    handed on ``ROWS_TOGETHER`` at a time, so memory follows the largest messages of one Arrow
-    batch, whose bytes Spark bounds (``spark.sql.execution.arrow.maxBytesPerBatch``), not the partition.
+    A file without headers becomes a row with ``error`` set; it never fails the job. Cutting is a projection; the values that
+    need decoding pass Python a batch at a time, whose bytes Spark bounds (``spark.sql.execution.arrow.maxBytesPerBatch``).
     """
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = (batch.iloc[at : at + ROWS_TOGETHER] for batch in batches for at in range(0, len(batch), ROWS_TOGETHER))
-        for part in parts:
-            rows = []
-            for path, id_, stamp, size, content in part.itertuples(index=False):
-                row = dict.fromkeys(_COLUMNS) | {"path": path, "id": id_, "stamp": stamp, "size": size}
-                try:
-                    row.update(mime.parse_message(bytes(content), depth))
-                except Exception as error:  # noqa: BLE001 - a bad message is a row, not a failed task
-                    row["error"] = f"{type(error).__name__}: {error}"
-                rows.append(row)
-            out = pd.DataFrame(rows, columns=_COLUMNS)
-            out["sent"] = pd.to_datetime(out["sent"], utc=True)
-            out["multipart"] = out["multipart"].astype("boolean")
-            yield out
-
     listed = files.select(
         "path",
         F.element_at(F.split("path", "/"), -1).alias("id"),
         F.unix_millis("modificationTime").alias("stamp"),
         F.col("length").alias("size"),
-        "content",
+        mime.entity(mime.signs(F.col("content"))).alias("root"),
+    )
+    cut = listed.select("path", "id", "stamp", "size", F.col("root.headers"), F.col("root.multi").alias("multipart"), F.array("root").alias("parts"))
+    opened = mime.opened(F.col("parts"))
+    for _ in range(mime.MOST_NESTED if depth is None else depth):
+        cut = cut.withColumn("parts", opened)  # a projection each: nested in one, they would be too deep
+    cut = cut.withColumn("parts", F.transform("parts", _undecoded))
+    rows = cut.mapInArrow(_decoded, StructType([f for f in cut.schema.fields if f.name != "parts"] + StructType.fromDDL(_PARTS).fields))
+    good = F.size("headers") > 0
+    sender = F.flatten(F.transform(F.filter("headers", lambda h: F.lower(h["name"]) == "from"), lambda h: mime.senders(h["value"])))
+    return rows.select(
+        "path", "id", "stamp", "size",
+        *[F.when(good, F.col(c)).alias(c) for c in ("headers", "multipart", "parts")],
+        mime.header(F.col("headers"), "subject").alias("subject"),
+        F.when(good, sender).alias("from"),
+        mime.sent_at(mime.header(F.col("headers"), "date")).alias("sent"),
+        F.when(~good, F.lit("no headers")).alias("error"),
+    )
+
+
+_PARTS = "parts array<struct<idx:int,content_type:string,text:string>>"
+
+
+def _undecoded(part, idx):
+    """A part before it is decoded: what it says of itself, and its body if that is text."""
+    text = F.rlike(F.lower(part["kind"]), F.lit("^text/(plain|html)")) & ~part["multi"]
+    return F.struct(
+        idx.alias("idx"),
+        part["kind"].alias("content_type"),
+        F.coalesce(mime.header(part["headers"], "content-transfer-encoding"), F.lit("")).alias("encoding"),
+        mime.parameter(part["kind"], "charset").alias("charset"),
+        F.when(text, part["body"]).alias("raw"),
     )
-    return listed.mapInPandas(parse, MESSAGE_SCHEMA)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Header values and parts' texts decoded, in their lists."""
+    for batch in batches:
+        headers, parts = batch.column("headers"), batch.column("parts")
+        flat = headers.flatten()
+        values = pa.array([mime.decoded_words(v) for v in flat.field("value").to_pylist()], pa.string())
+        fields = parts.flatten()
+        raw = zip(*(fields.field(c).to_pylist() for c in ("raw", "encoding", "charset")), strict=True)
+        texts = pa.array(["" if r is None else mime.decoded_part(r, e, c) for r, e, c in raw], pa.string())
+        named = pa.StructArray.from_arrays([flat.field("name"), values], ["name", "value"])
+        whole = pa.StructArray.from_arrays([fields.field("idx"), fields.field("content_type"), texts], ["idx", "content_type", "text"])
+        lists = [pa.ListArray.from_arrays(_offsets(own), new) for own, new in ((headers, named), (parts, whole))]
+        rest = [batch.column(c) for c in ("path", "id", "stamp", "size")]
+        yield pa.RecordBatch.from_arrays([*rest, lists[0], batch.column("multipart"), lists[1]], ["path", "id", "stamp", "size", "headers", "multipart", "parts"])
+
+
+def _offsets(lists: pa.ListArray) -> pa.Array:
+    sizes = lists.value_lengths().to_pylist()
+    out = [0]
+    for n in sizes:
+        out.append(out[-1] + (n or 0))
+    return pa.array(out, pa.int32())
 
 
 def rejects(messages: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
+import datetime
+import re
+from email.header import Header
 from email.mime.image import MIMEImage
+from email.mime.message import MIMEMessage
 from email.mime.multipart import MIMEMultipart
 from email.mime.text import MIMEText
 
@@ -6,9 +10,10 @@ import pytest
 
 from letterloom.operators.search import as_clauses, fetch, result_view, search
 from letterloom.plans.index import write_index
-from letterloom.functions.mime import parse_message
+from letterloom.functions import mime
 from letterloom.sources.files import listing, scan_files
 from letterloom.sources.messages import header_lines, ingest_messages, message_docs, message_texts, rejects
+from tests.plain_mime import parse_message
 
 
 def simple(kind, text, subject="s"):
@@ -109,13 +114,69 @@ def test_bad_files_are_rows_with_an_error(messages):
     assert bad.keys() == {"11.eml"}
 
 
-def test_bad_bytes_cost_no_message():
-    def body(kind, data):
-        return parse_message(b"Subject: x\r\nContent-Type: " + kind + b"\r\n\r\n" + data)["parts"][0]["text"]
+def read(spark, contents):
+    """Messages of the given bytes, with what the standard library reads of each."""
+    rows = [(f"m/{i}", datetime.datetime(2024, 1, 1), len(c), bytearray(c)) for i, c in enumerate(contents)]
+    files = spark.createDataFrame(rows, "path string, modificationTime timestamp, length bigint, content binary")
+    got = {int(r.id): r for r in ingest_messages(files).collect()}
+    return [(got[i], parse_message(c)) for i, c in enumerate(contents)]
 
-    assert body(b"text/plain; charset=us-ascii", "caf\u00e9 au lait".encode("latin-1")) == "caf\ufffd au lait"
-    assert body(b"text/plain", b"caf\xe9") == "caf\ufffd" and body(b"text/plain", "caf\u00e9".encode()) == "caf\u00e9"
-    assert body(b"text/plain; charset=no-such-set", b"abc") == "abc" and body(b"text/csv; charset=no-such-set", b"a,b") == ""
+
+def test_bad_bytes_cost_no_message(spark):
+    def of(kind, data):
+        return b"Subject: x\r\nContent-Type: " + kind + b"\r\n\r\n" + data
+
+    cases = {
+        of(b"text/plain; charset=us-ascii", "caf\u00e9 au lait".encode("latin-1")): "caf\ufffd au lait",
+        of(b"text/plain", b"caf\xe9"): "caf\ufffd",
+        of(b"text/plain", "caf\u00e9".encode()): "caf\u00e9",
+        of(b"text/plain; charset=no-such-set", b"abc"): "abc",
+        of(b"text/csv; charset=no-such-set", b"a,b"): "",
+    }
+    for (got, plain), want in zip(read(spark, list(cases)), cases.values(), strict=True):
+        assert got.parts[0].text == plain["parts"][0]["text"] == want
+
+
+def test_messages_are_read_as_the_standard_library_reads_them(spark):
+    deep = multipart(multipart(MIMEText("a", "plain", "utf-8"), multipart(MIMEText("<i>b</i>", "html", "latin-1"), MIMEText("c\n--=x\n", "plain", "us-ascii"))), MIMEText("d", "plain", "utf-8"))
+    inner = MIMEMessage(MIMEText("inside", "plain", "utf-8"))
+    long = MIMEText("x", "plain", "utf-8")
+    long["Subject"] = Header("Grüße aus einer sehr langen Zeile, die umgebrochen werden muss, weil sie länger ist als erlaubt", "utf-8")
+    long["From"] = '"Doe, J" <j@example.org>, plain@example.org, <only@example.org>'
+    long["Date"] = "1 Feb 24 09:05 EST"
+    quoted = b"Subject: q\nContent-Transfer-Encoding: Quoted-Printable\nContent-Type: text/plain; charset=\"iso-8859-1\"\n\ncaf=E9 is=\n one=20word\n"
+    contents = [m.as_bytes() for m in (deep, multipart(inner, MIMEText("after")), long)] + [
+        quoted,
+        quoted.replace(b"\n", b"\r\n"),
+        b"Subject: no body",
+        b"Subject: folded\n  over\n\tlines\nX-Empty:\n\nbody\n\nwith blank lines\n",
+        b"From me@example.org Mon Jan  1 00:00:00 2024\nSubject: box\n\nbody",
+        b"Subject: x\nthis line is no header\nTo: y\n\nbody",
+        b"Content-Type: multipart/mixed; boundary=b\n\npreamble\n--b\n\nno headers\n--b  \nContent-Type: text/html\n\n<p>h</p>\n--b--\nepilogue",
+        b"Content-Type: multipart/mixed; boundary=b\n\nno bound at all",
+        b"Content-Type: multipart/mixed\n\n--b\n\nx\n--b--",
+        b"Content-Type: multipart/mixed; boundary=\"a.*[b\"\n\n--a.*[b\n\none\n--a.*[bc\nstill one\n--a.*[b\n\ntwo",
+        b"Subject: =?iso-8859-1?Q?caf=E9_au?= =?iso-8859-1?Q?_lait?= and =?no-such?Q?x?=\n\nx",
+        b"Subject: =?utf-8?B?w6k=?= plain =?utf-8?q?=C3=A8?=\nDate: Tue, 2 Jan 2024 03:04:05 -0000 (UTC)\n\nx",
+        b"Subject: x\nDate: yesterday\nFrom: ann@example.org (Ann)\nContent-Transfer-Encoding: base64\n\nw6l0w6k=\n",
+    ]
+    for got, plain in read(spark, contents):
+        unfolded = [(h["name"], re.sub(r"\n(?=[ \t])", "", h["value"])) for h in plain["headers"]]
+        assert [(h.name, h.value) for h in got.headers] == unfolded
+        assert [(p.idx, p.content_type, p.text) for p in got.parts] == [(p["idx"], p["content_type"], p["text"]) for p in plain["parts"]]
+        assert got["from"] == plain["from"] and got.multipart == plain["multipart"] and got.error is None
+        sent = plain["sent"]
+        if sent is not None:
+            sent = (sent if sent.tzinfo is None else sent.astimezone(datetime.UTC)).replace(tzinfo=None)
+        assert got.sent == sent
+
+
+def test_deep_nesting_is_opened_up_to_a_bound(spark):
+    message = MIMEText("innermost", "plain", "utf-8")
+    for _ in range(mime.MOST_NESTED - 1):
+        message = multipart(message)
+    (got, plain), = read(spark, [message.as_bytes()])
+    assert [p.text for p in got.parts] == [p["text"] for p in plain["parts"]] == ["innermost"]
 
 
 def test_from_files_to_results(spark, root, messages, tmp_path):
