@@ -38,11 +38,13 @@ class SpanSet:
 BATCH_BYTES = "16m"
 
 
-def map_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """``rows.mapInArrow`` with batches of at most ``BATCH_BYTES``, whatever the texts' lengths: texts in a worker take
+def map_batches(
+    rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str, most: str = BATCH_BYTES
+) -> DataFrame:
+    """``rows.mapInArrow`` with batches of at most ``most`` bytes, whatever the texts' lengths: texts in a worker take
     several times their bytes, and a session's batches are four times as large by default. The setting stays, as the
     rows are read only when the result is."""
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
     return rows.mapInArrow(run, schema)
 
 

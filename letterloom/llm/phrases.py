@@ -36,7 +36,9 @@ UNLABELLED = "und"
 FIRST = 64
 WIDEN = 64
 # Bytes of texts that are numbered together: a row of the numbered texts, whose passes take some ten times its bytes.
-TOGETHER = 5 << 20
+TOGETHER = 2 << 20
+# Bytes of rows that a Python worker gets at once: two rows of numbered texts, whose arrays it holds several times.
+BATCH = "4m"
 # Bits of a bitmap: 2 MB. Fuller bitmaps let more phrases through to the exact counts.
 FILTER_BITS = 24
 
@@ -96,7 +98,7 @@ def bitmap(phrases: DataFrame, log_size: int = FILTER_BITS) -> Bitmap:
                     ones = np.bitwise_or.reduceat(np.uint64(1) << (slot & np.uint64(63)), first)
                     yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (place, ones)], ["place", "ones"])
 
-    rows = map_batches(phrases.select(*names), run, "place bigint, ones bigint")
+    rows = map_batches(phrases.select(*names), run, "place bigint, ones bigint", BATCH)
     table = rows.groupBy("place").agg(F.bit_or("ones").alias("ones")).toArrow()
     bits = np.zeros(max(1, 1 << log_size >> 6), np.uint64)
     bits[table["place"].to_numpy()] = table["ones"].to_numpy().view(np.uint64)
@@ -167,7 +169,7 @@ def encoded(docs: DataFrame, text: str = "text", lang: str = "lang", seed: int =
                 for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
                     yield numbered_row(lang, *_numbered(texts[start:stop]))
 
-    return map_batches(rows, run, _CORPUS)
+    return map_batches(rows, run, _CORPUS, BATCH)
 
 
 def _one_list(values: np.ndarray) -> pa.Array:
@@ -220,10 +222,10 @@ def _pass(corpus: DataFrame, frequent: Bitmap, emit: Callable[[Chunk], Iterator[
         for batch in batches:
             for row in range(batch.num_rows):
                 codes = batch.column("codes")[row].values.to_numpy()
-                for found in emit(Chunk.of(codes, batch.column("ids")[row].as_py(), shared.value)):
+                for found in emit(Chunk.of(codes, batch.column("ids")[row].as_buffer(), shared.value)):
                     yield pa.RecordBatch.from_pydict({k: pa.array(v.astype(np.int64)) for k, v in found.items()})
 
-    return map_batches(corpus.select("codes", "ids"), run, schema)
+    return map_batches(corpus.select("codes", "ids"), run, schema, BATCH)
 
 
 def _columns(words: list[np.ndarray], n: int = LONGEST) -> dict[str, np.ndarray]:
@@ -306,7 +308,7 @@ def _frequent_words(corpus: DataFrame, least: int) -> tuple[Bitmap, DataFrame] |
                 words = words.filter(fresh)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words, codes.filter(keep).filter(fresh)], ["lang", "word", "w1"])
 
-    named = map_batches(corpus.select("lang", "words", "codes"), run, "lang string, word string, w1 bigint").distinct()
+    named = map_batches(corpus.select("lang", "words", "codes"), run, "lang string, word string, w1 bigint", BATCH).distinct()
     words = written(named.join(often, "w1").select("lang", "word", "w1", "f"), "phrases-words")
     if not words.groupBy("w1").count().where("count > 1").isEmpty():
         return None
