@@ -289,30 +289,15 @@ def _looked_up(corpus: DataFrame, frequent: Bitmap, wanted: Bitmap) -> DataFrame
 
 
 def _frequent_words(corpus: DataFrame, least: int) -> tuple[Bitmap, DataFrame] | None:
-    """Bitmap and table ``(lang, word, w1, f)`` of the words that occur often enough; None if words share a code."""
-    counts = corpus.select(F.explode(F.arrays_zip("codes", "counts")).alias("x")).groupBy(F.col("x.codes").alias("w1")).agg(F.sum("x.counts").alias("f"))
-    often = written(counts.where(F.col("f") >= least), "phrases-codes")
-    seen = bitmap(often.select("w1"))
-    shared = corpus.sparkSession.sparkContext.broadcast(seen)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: dict[str, set[str]] = {}  # a task tells a language's word once
-        for batch in batches:
-            for row in range(batch.num_rows):
-                lang, codes = batch.column("lang")[row].as_py(), batch.column("codes")[row].values
-                keep = pa.array(shared.value.has([codes.to_numpy().view(np.uint64)]))
-                words, before = batch.column("words")[row].values.filter(keep), told.setdefault(lang, set())
-                own = words.to_numpy(zero_copy_only=False).tolist()
-                fresh = pa.array([w not in before for w in own], pa.bool_())
-                before.update(own)
-                words = words.filter(fresh)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words, codes.filter(keep).filter(fresh)], ["lang", "word", "w1"])
-
-    named = map_batches(corpus.select("lang", "words", "codes"), run, "lang string, word string, w1 bigint", BATCH).distinct()
-    words = written(named.join(often, "w1").select("lang", "word", "w1", "f"), "phrases-words")
-    if not words.groupBy("w1").count().where("count > 1").isEmpty():
+    """Bitmap and table ``(lang, word, w1, f)`` of the words that occur often enough; None if one of them shares its code."""
+    each = corpus.select("lang", F.explode(F.arrays_zip("words", "codes", "counts")).alias("x"))
+    each = each.select("lang", F.col("x.words").alias("word"), F.col("x.codes").alias("w1"), F.col("x.counts").alias("f"))
+    every = written(each.groupBy("lang", "word", "w1").agg(F.sum("f").alias("f")), "phrases-vocabulary")
+    shared = every.groupBy("w1").agg(F.count("*").alias("n"), F.max("f").alias("most")).where((F.col("n") > 1) & (F.col("most") >= least))
+    if not shared.isEmpty():
         return None
-    return seen, words
+    words = written(every.where(F.col("f") >= least), "phrases-words")
+    return bitmap(words.select("w1")), words
 
 
 # Scores
