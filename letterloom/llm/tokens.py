@@ -28,7 +28,7 @@ from letterloom.session import written
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 SHARD_TOKENS = 1 << 18
-# Pieces whose ids a Python worker remembers (about 150 MB); it forgets them all when there are more.
+# Pieces whose ids a Python worker remembers (about 150 MB); of more, it keeps those of the texts at hand.
 KNOWN_PIECES = 700_000
 # Texts that are cut into pieces at once.
 TEXTS_TOGETHER = 2048
@@ -71,11 +71,20 @@ class PieceEncoder:
         for at in range(0, len(joinable), 50_000):
             some = joinable[at : at + 50_000]
             ids = self._whole(["".join(some)])[0]
-            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in some])
+            ends = np.cumsum(pc.binary_length(pa.array(some)).to_numpy().astype(np.int64))
             cuts = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1
-            size, data, a = self.dtype(0).itemsize, ids.tobytes(), 0
-            for p, b in zip(some, (cuts * size).tolist(), strict=True):
-                known[p], a = data[a:b], b
+            places = np.concatenate([[0], cuts * self.dtype(0).itemsize]).astype(np.int32)
+            runs = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(places), pa.py_buffer(ids)])
+            known.update(zip(some, runs.to_numpy(zero_copy_only=False), strict=True))
+
+    def _codes(self, distinct: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        if len(self.known) > KNOWN_PIECES:
+            self.known = {p: self.known[p] for p in distinct if p in self.known}
+        known = self.known
+        codes = list(map(known.get, distinct))
+        self._learn([p for p, ids in zip(distinct, codes, strict=True) if ids is None])
+        return [known[p] if ids is None else ids for p, ids in zip(distinct, codes, strict=True)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text (null: none)."""
@@ -89,11 +98,7 @@ class PieceEncoder:
         if not len(texts):
             return []
         counts, distinct, which = distinct_pieces(texts)
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        known = self.known
-        self._learn([p for p in distinct if p not in known])
-        codes = [known[p] for p in distinct]
+        codes = self._codes(distinct)
         pool = np.frombuffer(b"".join(codes), self.dtype)
         sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // self.dtype(0).itemsize
         ids, ends = gathered(pool, sizes, which)

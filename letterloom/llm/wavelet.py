@@ -12,6 +12,8 @@ _HEAD = struct.Struct("<4sBQ")
 _PLANE = struct.Struct("<QII")
 # Bits between two stored counts of ones; a rank counts fewer than that many bits itself.
 STEP = 512
+# Occurrences of a token up to which each is followed up by itself.
+FEW = 32
 
 
 class WaveletMatrix:
@@ -29,12 +31,14 @@ class WaveletMatrix:
     def of(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, zeros, counts, now = [], [], [], ids
         for k in range(bits - 1, -1, -1):
-            ones = (now >> k & 1).astype(bool)
-            low = now[~ones]
+            ones = (now & now.dtype.type(1 << k)) != 0
             planes.append(np.packbits(ones))
-            zeros.append(len(low))
             counts.append(_counts(planes[-1]))
-            now = np.concatenate([low, now[ones]])
+            zeros.append(len(now) - int(counts[-1][-1]))
+            below = np.empty_like(now)
+            np.compress(~ones, now, out=below[: zeros[-1]])
+            np.compress(ones, now, out=below[zeros[-1] :])
+            now = below
         return cls(len(ids), planes, zeros, counts)
 
     def to_bytes(self) -> bytes:
@@ -66,9 +70,10 @@ class WaveletMatrix:
         now = np.zeros(self.n, dtype)
         for k, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             ones = np.unpackbits(plane, count=self.n).view(bool)
+            now[zeros:] |= dtype(1 << k)
             above = np.empty(self.n, dtype)
-            above[~ones] = now[:zeros]
-            above[ones] = now[zeros:] | dtype(1 << k)
+            above[np.flatnonzero(~ones)] = now[:zeros]
+            above[np.flatnonzero(ones)] = now[zeros:]
             now = above
         return now
 
@@ -102,6 +107,8 @@ class WaveletMatrix:
 
     def _range(self, token: int, end: int) -> tuple[int, int]:
         """Where the occurrences of ``token`` before place ``end`` lie in the last order."""
+        if not 0 <= token < 1 << self.bits:
+            return 0, 0
         low, high = 0, end
         for k in range(self.bits):
             a, b = self._ones(k, low), self._ones(k, high)
@@ -117,6 +124,18 @@ class WaveletMatrix:
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
+    def occurrences(self, token: int) -> np.ndarray:
+        """All places of ``token``, in order: followed up one by one if they are few, else plane by plane."""
+        low, high = self._range(token, self.n)
+        if high - low <= FEW:
+            return np.array([self.select(token, i) for i in range(high - low)], np.int64)
+        found = np.arange(low, high)
+        for k in range(self.bits - 1, -1, -1):
+            bit = token >> (self.bits - 1 - k) & 1
+            is_bit = np.unpackbits(self.planes[k], count=self.n) == bit
+            found = np.flatnonzero(is_bit)[found - self.zeros[k] if bit else found]
+        return found
+
     def select(self, token: int, nth: int) -> int:
         """Place of the nth occurrence (from 0) of ``token``."""
         low, high = self._range(token, self.n)
