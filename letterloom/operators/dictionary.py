@@ -1,8 +1,9 @@
-"""An index's dictionary laid out for patterns: three tables beside the index, each written when it is first asked for.
+"""An index's dictionary laid out for patterns and phrases: tables beside the index, each written when it is first asked for.
 
 ``words``      field, term, df; cut into parts by ranges of (field, term), so a prefix or a range reads the parts that ``fences`` names
 ``grams``      gram, field, term, df; runs of three signs of ``^term$``, on shelves by hash of the gram
 ``spellings``  key, lost, field, term, df; what is left of a term's first letters when up to two are lost, on shelves by hash of the key
+``pairs``      field, first, second, doc_id, pos, len; where a common word stands beside another word, on shelves by hash of both
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from letterloom.functions.text import bind
 from letterloom.plans.index import Index
+from letterloom.session import written
 
 TERMS_PER_PART = 20_000
 MAX_PARTS = 4096
@@ -24,6 +26,9 @@ GRAM = 3
 SPELLED_LETTERS = 7
 MAX_EDITS = 2
 ROWS_PER_FILE = 5_000_000
+# A word is common if at least one of so many documents holds it. A document has at most so many common words, on
+# average, as all words have, so there are few however many documents there are.
+COMMON_ONE_IN = 8
 
 _SCHEMAS = {
     "words": "field string, term string, df bigint, part int",
@@ -31,11 +36,12 @@ _SCHEMAS = {
     "grams": "gram string, field string, term string, df bigint, shelf int",
     "gram_counts": "field string, gram string, n bigint",
     "spellings": "key string, lost int, field string, term string, df bigint, shelf int",
+    "pairs": "field string, first string, second string, doc_id {id}, pos array<int>, len int, shelf int",
 }
 
 
-def shelf_of(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(SHELVES)).cast("int")
+def shelf_of(*key: Column) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(SHELVES)).cast("int")
 
 
 def grams_of(run: Column) -> Column:
@@ -75,6 +81,20 @@ def spellings_of(word: Column) -> Column:
     return bind(F.left(word, F.lit(SPELLED_LETTERS)), all_of)
 
 
+def _neighbours(entries: Column) -> Column:
+    """``array<struct<first, second, pos>>``: words of ``array<struct<term, pos>>`` at places that follow each other."""
+    places = F.flatten(F.transform(entries, lambda e: F.transform(e["pos"], lambda p: F.struct(p.alias("pos"), e["term"].alias("term")))))
+
+    def pairs(ws: Column) -> Column:
+        after = lambda i: F.get(ws, i + 1)
+        both = F.transform(
+            ws, lambda w, i: F.struct(w["term"].alias("first"), after(i)["term"].alias("second"), w["pos"].alias("pos"), after(i)["pos"].alias("then"))
+        )
+        return F.filter(both, lambda b: b["then"] == b["pos"] + 1)
+
+    return bind(F.array_sort(places), pairs)
+
+
 @dataclass(frozen=True)
 class Dictionary:
     """The dictionary of one version of an index."""
@@ -90,7 +110,7 @@ class Dictionary:
         done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         if not done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
             write(path)
-        return self.spark.read.schema(_SCHEMAS[name]).parquet(path)
+        return self.spark.read.schema(_SCHEMAS[name].format(id=self.index.id_type)).parquet(path)
 
     def _terms(self) -> DataFrame:
         return self.index.terms().select("field", "term", "df")
@@ -123,6 +143,33 @@ class Dictionary:
         rows = self._terms().select("*", F.inline(spellings_of(F.col("term"))))
         return self._table("spellings", lambda path: self._shelved(rows, "key", path))
 
+    def is_common(self, df: Column) -> Column:
+        return df * COMMON_ONE_IN >= self.index.n_docs
+
+    def pairs(self) -> DataFrame:
+        """Neighbouring words of which at least one is common, with the places of the first in each document.
+
+        Neighbours are found inside a document's row; only pairs with a common word are shuffled, once, by shelf and a
+        slice of the documents, so the pairs of a word that most documents hold are written by many tasks.
+        """
+
+        def write(path: str) -> None:
+            common = written(self._terms().where(self.is_common(F.col("df"))), "common-words")
+            held = common.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+            slices = -(-2 * held // (ROWS_PER_FILE * SHELVES)) or 1
+            rows = self.index.forward().select("doc_id", "field", "len", F.explode_outer(_neighbours(F.col("entries"))).alias("p"))
+            rows = rows.where("p is not null").select("doc_id", "field", "len", "p.first", "p.second", "p.pos")
+            for side in ("first", "second"):
+                marks = common.select("field", F.col("term").alias(side), F.lit(True).alias(f"{side}_common"))
+                rows = rows.join(marks, ["field", side], "left")
+            rows = rows.where("first_common or second_common").drop("first_common", "second_common")
+            keys = ["shelf", "slice", "field", "first", "second", "doc_id", "len"]
+            rows = rows.withColumns({"shelf": shelf_of(F.col("first"), F.col("second")), "slice": F.pmod(F.xxhash64("doc_id"), F.lit(slices))})
+            rows = rows.repartition("shelf", "slice").groupBy(*keys).agg(F.sort_array(F.collect_list("pos")).alias("pos")).drop("slice")
+            rows.sortWithinPartitions("shelf", "field", "first", "second").write.mode("overwrite").partitionBy("shelf").parquet(path)
+
+        return self._table("pairs", write)
+
     def _shelved(self, rows: DataFrame, key: str, path: str) -> None:
         """A shelf is written by as many tasks as the dictionary's size asks for, and sorted in each file."""
         tasks = -(-30 * self._terms().count() // (ROWS_PER_FILE * SHELVES)) or 1

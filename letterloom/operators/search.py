@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from letterloom.functions.text import bind, term_entries, tokens
-from letterloom.operators.dictionary import Dictionary
+from letterloom.operators.dictionary import Dictionary, shelf_of
 from letterloom.operators.expand import EXPANDED_KINDS, expand, with_reasons
 from letterloom.plans.index import Index, bucket_of
 from letterloom.session import written
@@ -231,30 +231,71 @@ def _expanded_hits(clauses: DataFrame, index: Index, kinds) -> DataFrame:
     return hits.withColumn("weight", F.col("boost") * F.col("counted") * F.col("unit")).select(*_HIT)
 
 
+def _phrase_parts(words: DataFrame, index: Index) -> DataFrame:
+    """What a phrase is looked up by, one row each: words, and pairs of neighbours (``second`` is set) of which one is common.
+
+    A word that is in a pair is not looked up by itself, so an exact phrase of two words or more never reads the
+    postings of a common word that has a neighbour. Phrases with a word that no document holds drop out. ``idf`` is the
+    sum over the phrase's words, ``rarity`` counts from the part that the fewest documents can hold.
+    """
+    each = Window.partitionBy("query_id", "clause_id")  # the words of one phrase
+    row = each.orderBy("i")
+    common = Dictionary(index).is_common(F.col("df"))
+    known = _look_up(words, index).withColumns({"found": F.count("*").over(each), "idf": F.sum(_idf(index)).over(each), "common": common})
+
+    def beside(step: int) -> Column:
+        """The neighbour in the phrase, if the two are looked up together."""
+        there = lambda c: F.lead(c, step).over(row)
+        together = (F.col("slop") == 0) & (there("i") == F.col("i") + step) & (F.col("common") | there("common"))
+        return F.when(together, F.struct(there("term").alias("term"), there("df").alias("df")))
+
+    known = known.where("found = n_terms").withColumns({"next": beside(1), "last": beside(-1)})
+    alone = F.when(F.col("next").isNull() & F.col("last").isNull(), F.struct(F.lit(None).cast("string").alias("second"), F.col("df").alias("most")))
+    pair = F.when(F.col("next").isNotNull(), F.struct(F.col("next.term").alias("second"), F.least("df", "next.df").alias("most")))
+    parts = known.withColumn("part", F.explode(F.array(alone, pair))).where("part is not null").select("*", "part.*")
+    parts = parts.withColumns(
+        {
+            "n_parts": F.count("*").over(each),
+            "rarity": F.row_number().over(each.orderBy("most", F.col("second").isNull(), "i")),
+            "shelf": shelf_of(F.col("term"), F.col("second")),
+        }
+    )
+    return written(parts.drop("part", "next", "last", "common", "found", "df", "most"), "phrase-parts")
+
+
 def _phrase_hits(words: DataFrame, index: Index) -> DataFrame:
     """Documents that hold all words of a phrase in place, one row per clause and document.
 
-    Only documents with the phrase's rarest word are looked at; where those are few, the
-    matches of its common words are dropped before any shuffle.
+    Only documents with the phrase's rarest part are looked at; where those are few, the
+    matches of its common parts are dropped before any shuffle.
     """
     keys = ["query_id", "clause_id"]
-    each = Window.partitionBy(*keys)  # the words of one phrase
-    ranked = (
-        _look_up(words, index)
-        .withColumn("found", F.count("*").over(each))
-        .withColumn("rarity", F.row_number().over(each.orderBy("df", "i")))
-        .where("found = n_terms")
-        .drop("found")
-    )
-    ranked = written(ranked, "phrase-words")
-    lead = written(_meet(ranked.where("rarity = 1"), index).select(*keys, "doc_id"), "phrase-docs")
-    met = _meet(ranked, index, "pos", "len").join(lead, [*keys, "doc_id"], "left_semi")
-    gathered = met.groupBy(*keys, "doc_id", *_QUERY_FLAGS, "n_terms", "slop", "boost", "len").agg(
-        F.count("*").alias("n"),
-        F.sum(_idf(index)).alias("idf"),
-        F.sort_array(F.collect_list(F.struct("i", "term", "pos"))).alias("w"),
-    )
-    scored = gathered.where("n = n_terms").withColumn("freq", phrase_frequency(F.col("w"), F.col("slop"))).where("freq > 0")
+    parts = _phrase_parts(words, index)
+    pair = F.col("second").isNotNull()
+    size = F.octet_length("term") + F.octet_length("second") + F.octet_length("field") + WORD_BYTES
+    of_pairs = {"bytes": F.sum(F.when(pair, size)), "low": F.min(F.when(pair, F.col("term"))), "high": F.max(F.when(pair, F.col("term")))}
+    # one row with at most SHELVES numbers
+    shelves = F.collect_set(F.when(pair, F.col("shelf"))).alias("shelves")
+    span = parts.agg(shelves, F.count_if(~pair).alias("words"), *[c.alias(n) for n, c in of_pairs.items()]).first()
+
+    def met(some: DataFrame, *columns: str) -> DataFrame:
+        """Parts joined to where they stand; pairs by reading their shelves between the first and the last of them."""
+        frames = []
+        if span.words or not span.shelves:
+            frames.append(_meet(some.where(~pair), index, "pos", "len").select(*columns))
+        if span.shelves:
+            pairs = some.where(pair)
+            held = Dictionary(index).pairs().withColumnRenamed("first", "term")
+            held = held.where(F.col("shelf").isin(span.shelves) & F.col("term").between(span.low, span.high))
+            pairs = F.broadcast(pairs) if span.bytes <= BROADCAST_BYTES else pairs
+            frames.append(pairs.join(held, ["shelf", "field", "term", "second"]).select(*columns))
+        return _union(frames)
+
+    lead = written(met(parts.where("rarity = 1"), *keys, "doc_id"), "phrase-docs")
+    same = [*keys, "doc_id", *_QUERY_FLAGS, "n_parts", "slop", "boost", "idf", "len"]
+    found = met(parts, *same, "i", "term", "pos").join(lead, [*keys, "doc_id"], "left_semi")
+    gathered = found.groupBy(*same).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("i", "term", "pos"))).alias("w"))
+    scored = gathered.where("n = n_parts").withColumn("freq", phrase_frequency(F.col("w"), F.col("slop"))).where("freq > 0")
     weight = F.col("boost") * F.col("counted") * F.sqrt("freq") * F.col("idf") * F.col("idf") / F.sqrt("len")
     return scored.withColumn("constant", F.lit(False)).withColumn("weight", weight).select(*_HIT)
 

@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from letterloom.operators import dictionary
 from letterloom.operators import search as s
 from letterloom.operators.dictionary import Dictionary
 from letterloom.operators.expand import expand as expand_in
@@ -186,6 +187,44 @@ def test_phrases(spark, index):
     assert {tuple(h) for h in hits} == want and len(hits) == len(want)
 
 
+@pytest.mark.parametrize("one_in", [1, 3])
+def test_phrases_of_common_words(spark, index, tmp_path, monkeypatch, one_in):
+    """Whatever counts as common, results are the same, and no postings of a common word with a neighbour are read."""
+    monkeypatch.setattr(dictionary, "COMMON_ONE_IN", one_in)
+    own = index_over(spark, DOCS, str(tmp_path / "own"))
+    read = set()
+    meet = s._meet
+
+    def watched(words, *rest):
+        read.update(r["term"] for r in words.select("term").collect())
+        return meet(words, *rest)
+
+    monkeypatch.setattr(s, "_meet", watched)
+    phrases = ["the then", "on no", "on on on", "rare word on on no", "no such phrase", "a the a", "night knight night noon", "word", "the"]
+    rows = [one("phrase", p, query=q) for q, p in enumerate(phrases)]
+    close(s.search(own, clauses(spark, rows), kinds=("phrase",), occurs=("should",)), brute(rows, 25))
+    terms = {r["term"]: r["df"] for r in own.terms().collect()}
+    assert not {w for w in read if terms[w] * one_in >= own.n_docs} - {"word", "the"}
+    mixed = [one("phrase", "on no", query=0), one("phrase", "on no", query=1, slop=2), one("phrase", "on on on", query=1, clause=1)]
+    close(s.search(own, clauses(spark, mixed), kinds=("phrase",), occurs=("should",)), brute(mixed, 25))
+
+
+def test_pairs_leave_gaps_and_removed_documents_out(spark, tmp_path):
+    words = {0: ["to", "be", "or", "not", "to", "be"], 1: ["to"], 2: ["be", "to"], 3: ["rare"] * 3}
+    first = index_over(spark, words, str(tmp_path / "pairs"))
+    rows = Dictionary(first).pairs().select("first", "second", "doc_id", "pos", "len").collect()
+    want = [("be", "or", 0, [1], 6), ("be", "to", 2, [0], 2), ("not", "to", 0, [3], 6), ("or", "not", 0, [2], 6), ("rare", "rare", 3, [0, 1], 3), ("to", "be", 0, [0, 4], 6)]
+    assert sorted(map(tuple, rows)) == want
+    listing = first.docs().where("doc_id <> 0").select("doc_id", "path", "id", "stamp")
+    later = refresh_index(first, listing, lambda changed: first.forward().limit(0).selectExpr("doc_id", "field", "array('') as values"))
+    assert sorted(r[:2] for r in Dictionary(later).pairs().select("first", "second").collect()) == [("be", "to"), ("rare", "rare")]
+    # a second value stands far from the first, and a stop word leaves a gap
+    gone = spark.createDataFrame([(5, ["x the y", "z"])], "doc_id bigint, values array<string>")
+    listing = gone.selectExpr("doc_id", "'p' as path", "'x' as id", "1L as stamp")
+    texts = gone.select("doc_id", F.lit("body").alias("field"), "values")
+    assert Dictionary(write_index(listing, texts, str(tmp_path / "gaps"), stop_words=("the",))).pairs().count() == 0
+
+
 def test_phrase_mixed_with_words(spark, index):
     rows = [one("phrase", "the then", occur="must"), one("term", "on", clause=1), one("term", "cab", clause=2, occur="must_not")]
     close(s.search(index, clauses(spark, rows)), brute(rows, 25))
