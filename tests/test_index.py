@@ -120,3 +120,15 @@ def test_writers_start_from_the_newest_version(spark, documents, tmp_path):
     assert content(first) == before == content(rebuilt)
     assert open_index(spark, root) == rebuilt and open_index(spark, root, second.version) == second
     assert needs_compaction(second, generations=1) and not needs_compaction(rebuilt)
+
+
+def test_a_task_writes_no_more_than_a_file_of_postings(spark, tmp_path):
+    """At 200 words a document a gigabyte of texts has 100 million postings and 8 buckets: more than a task should sort."""
+    from letterloom.plans import index as plan
+
+    assert 100_000_000 // plan.MIN_BUCKETS // plan.ROWS_PER_FILE >= 4
+    rows = spark.range(300).selectExpr("id as doc_id", "'body' as field", "array(concat('common w', id)) as values")
+    listing = rows.selectExpr("doc_id", "cast(doc_id as string) as path", "'x' as id", "1L as stamp")
+    index = plan.write_index(listing, rows, str(tmp_path / "cut"), stop_words=(), rows_per_file=20)
+    slices = index.raw_postings().where("term = 'common'").groupBy("slice").count().collect()
+    assert sum(r["count"] for r in slices) == 300 and max(r["count"] for r in slices) < 60
