@@ -332,3 +332,22 @@ def test_a_prefix_reads_one_part_of_the_dictionary(spark, tmp_path, monkeypatch)
     read = re.search(r"PartitionFilters: \[[^\]]*part#\d+ (?:IN \(([\d,]+)\)|= (\d+))", plan)
     assert len((read[1] or read[2]).split(",")) <= 2
     assert sorted(r.term for r in found.collect()) == ["night"]
+
+
+def test_matches_are_not_shuffled_before_they_are_ranked(spark, index):
+    """Postings go to their documents' tasks once, and are multiplied by the queries there."""
+    rows = [one("term", "the", query=q) for q in range(4)] + [one("range", "no", "the", query=q, clause=1) for q in range(4)]
+    rows += [one("wildcard", "n*t", query=q, clause=2) for q in range(4)] + [one("phrase", "the then", slop=1, query=q, clause=3) for q in range(4)]
+    for kinds in (("term",), ("range",), ("wildcard",), ("phrase",)):
+        own = [r for r in rows if r[3] in kinds]
+        ranked = s.search(index, clauses(spark, own), kinds=kinds, occurs=("should",))
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(doc_id#\d+L, \d+\), REPARTITION_BY_NUM", plan)
+        assert not re.search(r"Exchange hashpartitioning\((?!doc_id#\d+L, \d+\)|query_id#\d+L, \d+\))", plan)
+
+
+def test_ranges_within_and_across_each_other(spark, index):
+    ends = [None, "a", "ab", "abc", "cab", "no", "the", "than", "then", "élan"]
+    pairs = [(a, b) for a in ends for b in ends if a is None or b is None or a <= b] + [("the", "no"), ("x", "x")]
+    rows = [one("range", a, b, query=q) for q, (a, b) in enumerate(pairs)] + [one("prefix", p, query=200 + q) for q, p in enumerate(["t", "th", "tha", ""])]
+    close(s.search(index, clauses(spark, rows), 100, kinds=("range", "prefix"), occurs=("should",)), brute(rows, 100))
