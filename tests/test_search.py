@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -351,3 +352,19 @@ def test_ranges_within_and_across_each_other(spark, index):
     pairs = [(a, b) for a in ends for b in ends if a is None or b is None or a <= b] + [("the", "no"), ("x", "x")]
     rows = [one("range", a, b, query=q) for q, (a, b) in enumerate(pairs)] + [one("prefix", p, query=200 + q) for q, p in enumerate(["t", "th", "tha", ""])]
     close(s.search(index, clauses(spark, rows), 100, kinds=("range", "prefix"), occurs=("should",)), brute(rows, 100))
+
+
+def test_a_repeated_word_looks_at_what_lies_beside_it(spark):
+    """One word at 20,000 places of a document, twice in a phrase: pairs of all places would take minutes."""
+    rows = spark.sql("""SELECT sequence(0, 60000, 3) AS far, array(0, 2, 9, 10, 20) AS few""")
+    w = lambda pos: F.array(*[F.struct(F.lit(i).alias("i"), F.lit("x").alias("term"), F.col(pos).alias("pos")) for i in (0, 1)])
+    begun = time.monotonic()
+    got = rows.select(*[s.phrase_frequency(w(pos), F.lit(n)) for pos in ("far", "few") for n in (1, 2)]).first()
+    assert time.monotonic() - begun < 40
+    def count(pos, slop):
+        spot = lambda p, q, at: p <= at + slop and p >= at and q >= at + 1 and q <= at + 1 + slop
+        return sum(any(spot(p, q, at) for at in range(p - slop, p + 1) for q in pos if q != p) for p in pos)
+    few = [0, 2, 9, 10, 20]
+    far = list(range(0, 601, 3))
+    assert list(got)[2:] == [count(few, 1), count(few, 2)]
+    assert (got[0] > 0) == (count(far, 1) > 0) and (got[1] > 0) == (count(far, 2) > 0)
