@@ -1,16 +1,19 @@
 import datetime
 import re
+import tracemalloc
 from email.header import Header
 from email.mime.image import MIMEImage
 from email.mime.message import MIMEMessage
 from email.mime.multipart import MIMEMultipart
 from email.mime.text import MIMEText
 
+import pyarrow as pa
 import pytest
 
 from letterloom.operators.search import as_clauses, fetch, result_view, search
 from letterloom.plans.index import write_index
 from letterloom.functions import mime
+from letterloom.sources import messages as sources
 from letterloom.sources.files import listing, scan_files
 from letterloom.sources.messages import header_lines, ingest_messages, message_docs, message_texts, rejects
 from tests.plain_mime import parse_message
@@ -199,3 +202,42 @@ def test_listing_reads_no_contents(spark, root):
     files = listing(scan_files(spark, root, ".eml"))
     assert files.columns == ["path", "id", "stamp", "size"]
     assert "content" not in files._jdf.queryExecution().executedPlan().toString().split("ReadSchema:")[1]
+
+
+def undecoded(rows):
+    """A batch as it reaches Python: of each message the header values and the signs of its parts."""
+    headers = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+    parts = pa.list_(pa.struct([("idx", pa.int32()), ("content_type", pa.string()), ("encoding", pa.string()), ("charset", pa.string()), ("raw", pa.string())]))
+    named = [None if values is None else [{"name": "Subject", "value": v} for v in values] for values, _ in rows]
+    whole = [None if raws is None else [{"idx": i, "content_type": "text/html", "encoding": "", "charset": "utf-8", "raw": r} for i, r in enumerate(raws)] for _, raws in rows]
+    n = len(rows)
+    columns = [pa.array([f"m/{i}" for i in range(n)]), pa.array([f"{i}" for i in range(n)]), *[pa.array([0] * n, pa.int64())] * 2, pa.array(named, headers), pa.array([False] * n), pa.array(whole, parts)]
+    return pa.RecordBatch.from_arrays(columns, ["path", "id", "stamp", "size", "headers", "multipart", "parts"])
+
+
+def test_a_large_batch_is_decoded_a_little_at_a_time():
+    sign = "é".encode().decode("latin-1")
+    batch = undecoded([([f"s{i}"], ["url", sign * 200_000]) for i in range(60)])  # 400,000 signs each, 800 kB in Arrow
+    tracemalloc.start()
+    try:
+        rows, chars = 0, 0
+        for out in sources._decoded(iter([batch])):
+            rows += out.num_rows
+            chars += sum(len(t) for t in out.column("parts").flatten().field("text").to_pylist())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (rows, chars) == (60, 60 * 200_003)
+    assert peak < 10_000_000
+
+
+def test_runs_of_any_size_decode_the_same(monkeypatch):
+    rows = [(["a"], ["x" * 50, None]), (None, None), ([], []), (["=?utf-8?Q?b=C3=A9?="], [None]), (["c" * 500], ["y"]), ([""], ["", "z" * 3, "w" * 900]), (["d"], [])]
+    batch = undecoded(rows * 3).slice(2, 17)
+    whole = pa.Table.from_batches(sources._decoded(iter([batch]))).to_pylist()
+    assert [r["path"] for r in whole] == [f"m/{i}" for i in range(2, 19)]
+    for most in (0, 1, 60, 1000):
+        monkeypatch.setattr(sources, "DECODED_TOGETHER", most)
+        runs = [*sources._decoded(iter([batch, batch.slice(0, 0)]))]
+        assert pa.Table.from_batches(runs).to_pylist() == whole
+        assert len(runs) > 1
