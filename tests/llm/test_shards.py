@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer, pre_tokenizers
 
 from letterloom.llm import shards, tokens, wavelet
 from letterloom.session import written
@@ -66,3 +67,29 @@ def test_what_a_full_memory_keeps(monkeypatch):
         for text in texts:
             ids = coder.encode(pa.array([text]))[0]
             assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+ENDS = ["dog. dog, dog dog!? (dog) dog.%%% dog's.", "it's, 'll. 12.5. 3,", ". ,.. ... .a ., x", "école. Straße, ×. ÷, ª² ①. e\u0301. 日. ß", "\ndog.\ndog\n.\n", "dog.\u200b dog\u200b.", "a<|endoftext|>. b.<|endoftext|>, <|endoftext.|>", "", "."]
+
+
+def test_a_word_is_known_once_whatever_signs_end_it():
+    coder = tokens.PieceEncoder(tokens.VOCABULARY)
+    for _ in range(2):
+        for text, ids in zip(ENDS, coder.encode(pa.array(ENDS)), strict=True):
+            assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert not {" dog,", " dog!?", " dog.%%%", "\ndog."} & set(coder.known) and " dog" in coder.known
+
+
+@pytest.mark.parametrize("splits", [True, False])
+def test_signs_that_a_vocabulary_joins_stay_with_their_word(tmp_path, splits):
+    fixed = Tokenizer.from_file(tokens.VOCABULARY)
+    if splits:
+        fixed.add_special_tokens(["<dog.>", "dog,"])
+    else:
+        fixed.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.Split("\n", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    fixed.save(path := str(tmp_path / "own.json"))
+    coder = tokens.PieceEncoder(path)
+    assert set(tokens.END_SIGNS) - set(coder.end_signs) == ({".", ","} if splits else set(tokens.END_SIGNS))
+    texts = [*ENDS[:3], "a <dog.> dog, dog. b", "the <dog.>, dog,."]
+    for text, ids in zip(texts, coder.encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
