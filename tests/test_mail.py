@@ -1,9 +1,11 @@
 import os
+import re
+from urllib.parse import unquote_plus
 
 from letterloom.operators.search import as_clauses, query_words
 from letterloom.plans.index import compact_index, open_index
 from letterloom.plans.mail import index_mail, mail_messages, mail_rejects, refresh_mail, search_mail
-from letterloom.sources.files import scan_files
+from letterloom.sources.files import FILES_PER_FOLDER, TASKS_PER_CORE, scan_files, write_files
 from letterloom.sources.pages import file_text
 
 
@@ -80,3 +82,33 @@ def test_words_and_phrases_with_stop_words(spark, tmp_path):
 def test_saved_pages(spark, tmp_path):
     (tmp_path / "p.txt").write_text("<p>one &amp; two</p>")
     assert [r.text for r in file_text(scan_files(spark, str(tmp_path), "txt")).collect()] == ["one & two"]
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    """A file that fills a partition by itself is not a task of its own."""
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    for n in range(tasks + 8):
+        put(tmp_path, f"a/{n}.eml", f"word{n}", 1_700_000_000 + n)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    try:
+        files = scan_files(spark, str(tmp_path), ".eml")
+        assert files.rdd.getNumPartitions() == tasks and len({r.path for r in files.select("path").collect()}) == tasks + 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_rows_become_files_in_few_folders(spark, tmp_path):
+    """A file for each folder and name of a task, whatever they hold; a folder for each file would be a task each when they are listed."""
+    rows = [(f"s{n % 2}", n, f"text {n}") for n in range(600)] + [("a/b %", 1, "été"), (None, 2, None), ("s0", 0, "again")]
+    df = spark.createDataFrame(rows, "source string, doc_id bigint, value string").coalesce(1)
+    write_files(df, f"{tmp_path}/mail", "source", "doc_id")
+    found = {r.path: bytes(r.content).decode() for r in scan_files(spark, f"{tmp_path}/mail", ".TXT").collect()}
+    by_name = {}
+    for path, text in found.items():
+        folder, name = re.search(r"/source=([^/]*)/[^/]*/doc_id=([0-9]+)\.txt$", path).groups()
+        by_name[None if folder.startswith("__HIVE") else unquote_plus(folder), int(name)] = text
+    want = {(s, n): f"{t or ''}\n" for s, n, t in rows[:-1]} | {("s0", 0): "text 0\nagain\n"}
+    assert by_name == want
+    assert len({path.rpartition("/")[0] for path in found}) == 2 * -(-300 // FILES_PER_FOLDER) + 2
+    assert not [f for d in os.walk(tmp_path) for f in d[2] if not f.endswith(".txt")]
