@@ -368,3 +368,34 @@ def test_a_repeated_word_looks_at_what_lies_beside_it(spark):
     far = list(range(0, 601, 3))
     assert list(got)[2:] == [count(few, 1), count(few, 2)]
     assert (got[0] > 0) == (count(far, 1) > 0) and (got[1] > 0) == (count(far, 2) > 0)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_two_words_near_each_other_are_counted_in_one_pass(spark, tmp_path, monkeypatch):
+    """The words of a document are held against those beside them, not the places of each phrase; documents that came twice as before."""
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 60)))) for i in range(40)]
+    rows = spark.createDataFrame(docs + docs[:6] + [(7, docs[8][1]), (9, "a x a"), (60, "x a a"), (60, "x a a")], "doc_id bigint, text string")
+    listing = rows.select("doc_id", F.col("doc_id").cast("string").alias("path"), F.lit("x").alias("id"), F.lit(1).cast("bigint").alias("stamp"))
+    texts = rows.select("doc_id", F.lit("body").alias("field"), F.array("text").alias("values"))
+    index = write_index(listing, texts, str(tmp_path / "index"), stop_words=())
+    words = ["a b", "b a", "a a", "c g", "g g", "x a", "a x", "d e f", "e e e", "absent a"]
+    asked = [one("phrase", w, slop=slop, query=10 * slop + q, clause=slop) for q, w in enumerate(words) for slop in range(4)]
+    asked += [one("phrase", "a b", slop=2, query=100, clause=c, boost=1.0 + c) for c in range(3)]
+
+    def hits():
+        found = s.clause_hits(index, clauses(spark, asked), ("phrase",), ("should",))
+        return found, sorted((r.query_id, r.clause_id, r.doc_id, round(r.weight, 9)) for r in found.collect())
+
+    now, got = hits()
+    assert "MapInArrow" in plan_of(now)
+    monkeypatch.setattr(s, "NEAR", -1)
+    before, want = hits()
+    assert "MapInArrow" not in plan_of(before) and got == want and len(got) > 300
+    # few documents hold the rarest words: the others are left out before they are dealt
+    monkeypatch.setattr(s, "NEAR", 64)
+    monkeypatch.setattr(s, "BROADCAST_BYTES", 20_000)
+    assert hits()[1] == want
