@@ -42,6 +42,86 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def best_sums(asked, best: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``doc_id, patterns, part`` rows, one for each word, to ``doc_id, query, weight, counted``, the sums of a query's clauses in a document, of those documents
+    of a task that can be among the ``best`` so many of a query.
+
+    ``asked`` is a broadcast dict of arrays: for each clause, sorted by query, its ``pattern``, ``weight`` and ``counted``; for each query
+    its number, its ``first`` clause and its count ``scoring``. Patterns are numbered from 0 to ``n_patterns``.
+    """
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = asked.value
+        width, clause, first, scoring = a["n_patterns"], a["pattern"], a["first"], np.maximum(a["scoring"], 1)
+        most = max(1, CELLS // max(width, len(clause), 1))
+        top = np.full((len(first), best), -np.inf)
+        kept: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def least() -> np.ndarray:
+            return np.where(np.isfinite(top[:, -1]), top[:, -1] - ROUNDED * (1 + 1e-9 * abs(np.maximum(top[:, -1], 0))), -np.inf)
+
+        for table, starts in whole_documents(batches):
+            lists = table["patterns"].combine_chunks()
+            patterns, each = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+            begin = np.cumsum(each) - each
+            part, ends = table["part"].to_numpy(), np.append(starts[1:], table.num_rows)
+            for at in range(0, len(starts), most):
+                n = min(most, len(starts) - at)
+                own = slice(starts[at], ends[at + n - 1])
+                sizes = each[own]
+                row = np.repeat(np.arange(n), (ends - starts)[at : at + n])
+                cell = np.repeat(row * width, sizes) + patterns[begin[own.start] : begin[own.start] + sizes.sum()]
+                units = np.bincount(cell, np.repeat(part[own], sizes), n * width).reshape(n, width)
+                met = (units > 0 if (part[own] > 0).all() else np.bincount(cell, minlength=n * width).reshape(n, width) > 0)[:, clause]
+                weight = np.add.reduceat((units / 1e9)[:, clause] * a["weight"], first, axis=1)
+                counted = np.add.reduceat(met * a["counted"], first, axis=1)
+                score = np.where(counted > 0, weight * counted / scoring, -np.inf)
+                top = -np.sort(-np.concatenate([top, score.T], axis=1), axis=1)[:, :best]
+                doc, query = np.nonzero((counted > 0) & (score >= least()))
+                kept.append((table["doc_id"].take(pa.array(starts[at : at + n][doc])).combine_chunks(), query, weight[doc, query], counted[doc, query]))
+        for doc_ids, query, weight, counted in kept:
+            some = np.flatnonzero(weight * counted / scoring[query] >= least()[query])
+            columns = [a["queries"][query[some]], weight[some], counted[some]]
+            yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(some)), *map(pa.array, columns)], ["doc_id", "query", "weight", "counted"])
+
+    return summed
+
+
+def likely_words(asked) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``field, term, df`` rows to those that share a spelling with a pattern of their field, with the ``patterns`` to hold them against.
+
+    ``asked`` is a broadcast ``(letters, lost, by_field)``: so many first letters count, of which so many may be lost; ``by_field`` has
+    for each field and spelling the patterns for each length of a term.
+    """
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, lost, by_field = asked.value
+        known = {field: frozenset(own) for field, own in by_field.items()}
+        for batch in batches:
+            rows, found = [], []
+            for i, (field, term) in enumerate(zip(batch.column("field").to_pylist(), batch.column("term").to_pylist(), strict=True)):
+                held, own, size = set(), by_field[field], len(term)
+                for spelt in spellings(term[:letters], lost) & known[field]:
+                    held.update(own[spelt].get(size, ()))
+                if held:
+                    rows.append(i)
+                    found.append(list(held))
+            columns = [*batch.take(pa.array(rows, pa.int64())).columns, pa.array(found, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "patterns"])
+
+    return likely
+
+
+def spellings(start: str, lost: int) -> set[str]:
+    """What is left of a word's first letters when up to two are lost."""
+    out, n = {start}, len(start)
+    if lost > 0:
+        out.update([start[:i] + start[i + 1 :] for i in range(n)])
+    if lost > 1:
+        out.update([start[:i] + start[i + 1 : j] + start[j + 1 :] for i in range(n) for j in range(i + 1, n)])
+    return out
+
+
 def near_words(asked) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``doc_id, len, part, pos`` rows, sorted by the first two, to ``doc_id, len, phrase, freq``: at how many places of its first word a phrase
     of two words starts a match.

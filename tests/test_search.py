@@ -399,3 +399,16 @@ def test_two_words_near_each_other_are_counted_in_one_pass(spark, tmp_path, monk
     monkeypatch.setattr(s, "NEAR", 64)
     monkeypatch.setattr(s, "BROADCAST_BYTES", 20_000)
     assert hits()[1] == want
+
+
+def test_misspelt_words_of_the_best_documents_are_summed_where_they_are(spark, index, monkeypatch):
+    """No table holds documents times patterns or clauses, and the dictionary is spelt as it is read."""
+    rows = [one("fuzzy", w, slop=slop, query=q, clause=c, boost=1.0 + c) for q, c, w, slop in itertools.product(range(4), range(3), ["then", "nigth", "a", "élon", "zzzzz"], range(3)) if (q + c + slop) % 2]
+    rows = [(*r[:1], i, *r[2:]) for i, r in enumerate(rows)]
+    found = s.search(index, clauses(spark, rows), 100, kinds=("fuzzy",), occurs=("should",))
+    close(found, brute(rows, 100))
+    assert "MapInArrow" in plan_of(found) and "Generate" not in plan_of(found)
+    few = s.search(index, clauses(spark, rows), 3, kinds=("fuzzy",), occurs=("should",))
+    close(few, brute(rows, 3))
+    monkeypatch.setattr("letterloom.operators.expand.SPELT_AT_ONCE", 0)
+    assert sorted(few.collect()) == sorted(s.search(index, clauses(spark, rows), 3, kinds=("fuzzy",), occurs=("should",)).collect())
