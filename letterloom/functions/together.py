@@ -88,38 +88,75 @@ def best_sums(asked, best: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def likely_words(asked) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``field, term, df`` rows to those that share a spelling with a pattern of their field, with the ``patterns`` to hold them against.
+    """``field, term, df`` rows to those that may share a spelling with a pattern of their field, with the ``patterns`` to hold them against.
 
-    ``asked`` is a broadcast ``(letters, lost, by_field)``: so many first letters count, of which so many may be lost; ``by_field`` has
-    for each field and spelling the patterns for each length of a term.
+    ``asked`` is a broadcast dict: ``letters``, so many first letters count, and for each field under ``by_field`` the arrays that
+    :func:`spelt` gives of its patterns, sorted by ``key``.
     """
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, lost, by_field = asked.value
-        known = {field: frozenset(own) for field, own in by_field.items()}
+        a = asked.value
         for batch in batches:
-            rows, found = [], []
-            for i, (field, term) in enumerate(zip(batch.column("field").to_pylist(), batch.column("term").to_pylist(), strict=True)):
-                held, own, size = set(), by_field[field], len(term)
-                for spelt in spellings(term[:letters], lost) & known[field]:
-                    held.update(own[spelt].get(size, ()))
-                if held:
-                    rows.append(i)
-                    found.append(list(held))
-            columns = [*batch.take(pa.array(rows, pa.int64())).columns, pa.array(found, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "patterns"])
+            fields, terms = batch.column("field").to_numpy(zero_copy_only=False), batch.column("term").to_pylist()
+            sizes, found = np.array([len(t) for t in terms]), [np.empty(0, np.int64)]
+            keys = keys_of(terms, a["letters"])
+            for field, own in a["by_field"].items():
+                row = np.flatnonzero(fields == field)
+                wanted = keys[row]
+                first = np.searchsorted(own["keys"], wanted)
+                row, spelling = np.nonzero(own["keys"][np.minimum(first, len(own["keys"]) - 1)] == wanted)
+                at = first[row, spelling]
+                row = np.flatnonzero(fields == field)[row]
+                entry = spread(own["starts"][at], own["counts"][at])
+                row = np.repeat(row, own["counts"][at])
+                fits = abs(sizes[row] - own["length"][entry]) <= own["edits"][entry]
+                found.append(row[fits] << 32 | own["pattern"][entry[fits]])
+            pairs = np.unique(np.concatenate(found))
+            some, starts = np.unique(pairs >> 32, return_index=True)
+            offsets = np.append(starts, len(pairs)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(some)).columns, lists], [*batch.schema.names, "patterns"])
 
     return likely
 
 
-def spellings(start: str, lost: int) -> set[str]:
-    """What is left of a word's first letters when up to two are lost."""
-    out, n = {start}, len(start)
-    if lost > 0:
-        out.update([start[:i] + start[i + 1 :] for i in range(n)])
-    if lost > 1:
-        out.update([start[:i] + start[i + 1 : j] + start[j + 1 :] for i in range(n) for j in range(i + 1, n)])
-    return out
+# A letter's share in a key, by its place: odd numbers of 64 bits.
+_SHARES = np.random.default_rng(7).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+
+
+def keys_of(words: list[str], letters: int) -> np.ndarray:
+    """A row for each word: keys of what is left of its first letters when none, one or two of them are lost, in the order of :func:`losses`.
+    Equal spellings have equal keys; others may by chance."""
+    codes = np.array([w[:letters] for w in words] or [""], f"U{letters}").view(np.uint32).reshape(-1, letters).astype(np.uint64)[: len(words)]
+    # sums up to each place of letters that stand where they stood, or one or two places before that
+    before = [np.concatenate([np.zeros((len(codes), 1), np.uint64), np.cumsum(codes[:, back:] * _SHARES[: letters - back], axis=1, dtype=np.uint64)], axis=1) for back in range(3)]
+    # the share of the letters from one place to another, moved back by so many
+    moved = lambda back, start, end: before[back][:, max(end - back, 0)] - before[back][:, max(start - back, 0)]
+    out = [moved(0, 0, letters)]
+    for lost in losses(letters)[1:]:
+        ends = [*lost, letters]
+        key = moved(0, 0, ends[0])
+        for back, (at, end) in enumerate(zip(lost, ends[1:], strict=True), 1):
+            key = key + moved(back, at + 1, end)
+        out.append(key)
+    return np.stack(out, axis=1)
+
+
+def losses(letters: int) -> list[tuple[int, ...]]:
+    """Which of the first letters are lost: none, one, two."""
+    return [(), *((i,) for i in range(letters)), *((i, j) for i in range(letters) for j in range(i + 1, letters))]
+
+
+def spelt(words: list[str], numbers: list[int], edits: list[int], letters: int) -> dict[str, np.ndarray]:
+    """What patterns are looked up by: sorted ``keys``, and the ``pattern, length, edits`` of each key from ``starts`` on, ``counts`` of them."""
+    lost = np.array([len(at) for at in losses(letters)])
+    word, spelling = np.nonzero(lost <= np.array(edits)[:, None])
+    keys = keys_of(words, letters)[word, spelling]
+    order = np.argsort(keys, kind="stable")
+    known, starts, counts = np.unique(keys[order], return_index=True, return_counts=True)
+    word = word[order]
+    values = {"pattern": np.array(numbers, np.int64), "length": np.array([len(w) for w in words]), "edits": np.array(edits)}
+    return {"keys": known, "starts": starts, "counts": counts} | {c: v[word] for c, v in values.items()}
 
 
 def near_words(asked) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
